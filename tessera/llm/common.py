@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -134,6 +135,8 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     """The rows as a Parquet table in the shared folder, read back: lineage ends here, and a lost executor costs nothing that came before."""
     path = os.path.join(shared_dir(df.sparkSession), f"tessera-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()  # so that Spark's cleaner drops the shuffle files of the steps that have ended
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

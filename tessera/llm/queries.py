@@ -17,12 +17,19 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.recompression import digests, remove_repeats
+
+    return digests(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_SPLIT = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), x -> x != '')"
+_SPLIT = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x != '')"
 
 ORACLE_SQL: dict[str, str] = {
     "op7_minhash_near_dedup": f"""
@@ -39,4 +46,15 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT v, min(t) AS t FROM r GROUP BY 1)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.t, d.doc_id) AS component_id, coalesce(m.t, d.doc_id) = d.doc_id AS kept
         FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.v = d.doc_id""",
+    "op8_substring_dedup": f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS w FROM documents),
+        s AS MATERIALIZED (
+            SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS h
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+        r AS (SELECT doc_id, list(i) AS firsts FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1) GROUP BY doc_id),
+        x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        c AS (SELECT DISTINCT doc_id, unnest(range(a, a + 35)) AS i FROM (SELECT doc_id, unnest(firsts) AS a FROM r)),
+        k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM x LEFT JOIN c USING (doc_id, i) WHERE c.i IS NULL GROUP BY 1)
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
 }
