@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -15,8 +16,8 @@ from tessera.llm.common import chunks
 
 #: Fixed value: the public byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces of text whose encoding a worker keeps; beyond, the oldest half goes.
-KEPT_PIECES = 300_000
+#: Pieces and chunks of text whose encoding a worker keeps; beyond, the oldest half goes.
+KEPT_PIECES = 700_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -56,7 +57,9 @@ class Bpe:
             self.automaton.add_word(b.decode("latin-1"), (len(b), i))
         self.automaton.make_automaton()
         self.agree: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.known: dict[str, tuple[str, int, str]] = {}
+        self.chunks: dict[str, tuple[str, int, str]] = {}
+        self.blanks = re.compile(r"\s | \s").search
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
 
@@ -102,23 +105,44 @@ class Bpe:
             end -= size
         return out[::-1]
 
-    def _piece(self, piece: str) -> tuple[str, int, bytes]:
+    def _piece(self, piece: str) -> tuple[str, int, str]:
         ids = self.encode_piece(piece.encode())
         if len(self.known) >= KEPT_PIECES:
             for old in list(self.known)[: KEPT_PIECES // 2]:
                 del self.known[old]
-        found = self.known[piece] = ",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
+        decoded = self.decode(ids)
+        found = self.known[piece] = ",".join(map(str, ids)), len(ids), piece if decoded == piece else decoded
         return found
 
-    def pieces(self, text: str) -> Iterator[tuple[str, int, bytes]]:
-        """Of each piece: its ids in decimals with commas, their number, and what they decode to."""
-        get, make = self.known.get, self._piece
-        for k, part in enumerate(self.split(text) if self.split else [text]):
+    def _chunk(self, chunk: str) -> tuple[str, int, str]:
+        """A blank and the text up to the next one, which no piece crosses."""
+        ids, counts, decoded = zip(*[self.known.get(p) or self._piece(p) for p in self.find(f" {chunk}")], strict=True)
+        if len(self.chunks) >= KEPT_PIECES:
+            for old in list(self.chunks)[: KEPT_PIECES // 2]:
+                del self.chunks[old]
+        found = self.chunks[chunk] = ",".join(ids), sum(counts), "".join(decoded)
+        return found
+
+    def pieces(self, text: str) -> list[tuple[str, int, str]]:
+        """Of each piece, or blank and what follows it: its ids in decimals with commas, their number, and what they decode to."""
+        if not (text and self.split):
+            parts = [text]
+        else:
+            parts = self.split(text)
+        out = []
+        for k, part in enumerate(parts):
             if k % 2:
-                yield str(self.special[part]), 1, part.encode()
+                out.append((str(self.special[part]), 1, part))
+            elif self.blanks(part) or part[:1] == " " or part[-1:] == " ":  # white space in a row takes its place among pieces from what is around it
+                out += [self.known.get(p) or self._piece(p) for p in self.find(part)]
             else:
-                for p in self.find(part):
-                    yield get(p) or make(p)
+                head, *cut = part.split(" ")
+                out += [self.known.get(p) or self._piece(p) for p in self.find(head)]
+                found = list(map(self.chunks.get, cut))
+                if None in found:
+                    found = [f or self.chunks.get(c) or self._chunk(c) for f, c in zip(found, cut, strict=True)]
+                out += found
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for ids, _, _ in self.pieces(text) for x in ids.split(",")]
@@ -165,10 +189,9 @@ def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _digest(model: Bpe, text: str) -> tuple:
-    found = list(model.pieces(text))
-    ids, n = ",".join([x for x, _, _ in found]), sum([x for _, x, _ in found])
-    decoded = b"".join([x for _, _, x in found]).decode("utf-8", "replace")
-    return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    found = model.pieces(text)
+    ids, counts, decoded = zip(*found, strict=True) if found else ((), (), ())
+    return sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256("".join(decoded).encode()).hexdigest()
 
 
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
