@@ -23,9 +23,23 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.bpe import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op9_toxicity": op9_toxicity,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

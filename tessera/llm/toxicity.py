@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,39 +11,41 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample, chunks, mix, remainder, word_bounds
-
-#: A window is so many words and overlaps the next by half.
-WINDOW_WORDS = 6
-DICTIONARY_BYTES = 48 << 10
-#: Bounds of what training gathers: labelled documents of each label, and bytes of windows.
-SAMPLE_DOCS, SAMPLE_BYTES = 4_000, 12 << 20
+from tessera.llm.common import LOWER, bounded_sample, chunks, mix, remainder
+
+LOWER_TABLE = LOWER.tobytes()
+LOWER_LETTERS = {i: i + 32 for i in range(65, 91)}
+#: A window is so many words; the next begins with its last word, so that no pair of words is torn.
+WINDOW_WORDS = 12
+#: Bytes of text common to both dictionaries, and most segments that either has alone.
+COMMON_BYTES, OWN_SEGMENTS = 4 << 10, 200
+#: A segment is a dictionary's own if at least so many training documents hold it, and it deviates so far from even use.
+LEAST_DOCS, LEAST_DEVIATION, LEAST_RATIO = 4, 5.0, 3.0
+#: Bounds of what training gathers: labelled documents of each label, and bytes of text.
+SAMPLE_DOCS, SAMPLE_BYTES = 4_000, 24 << 20
 THRESHOLD = 0.3
 
 
 def windows(text: bytes) -> list[bytes]:
-    """Windows of six words, three on; the last ends with the text. Words over 64 bytes are cut into windows of their own size class by bytes."""
-    data = np.frombuffer(text, dtype=np.uint8)
-    starts, ends = word_bounds(data)
-    if not len(starts):
-        return []
-    first = np.arange(0, max(1, len(starts) - WINDOW_WORDS // 2), WINDOW_WORDS // 2)
-    last = np.minimum(first + WINDOW_WORDS, len(starts)) - 1
+    """Windows of twelve words, A-Z lower-cased; those of over 1024 bytes (long words) are cut on into overlapping parts."""
+    words = text.translate(LOWER_TABLE).split()
+    step = WINDOW_WORDS - 1
     out = []
-    for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True):
-        out += [text[a:b]] if b - a <= 512 else [text[i : min(b, i + 256)] for i in range(a, b, 128)]
+    for i in range(0, max(min(1, len(words)), len(words) - 1), step):
+        w = b" " + b" ".join(words[i : i + WINDOW_WORDS])
+        out += [w] if len(w) <= 1024 else [w[k : k + 512] for k in range(0, len(w), 448)]
     return out
 
 
 class Distance:
     """Bytes that a window takes with the ordinary dictionary, less those with the toxic one."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, level: int = 3):
+    def __init__(self, toxic: bytes, ordinary: bytes, level: int = 12):
         self.codecs = [self._codec(d, level) for d in (ordinary, toxic)]
 
     @staticmethod
     def _codec(raw: bytes, level: int) -> zstandard.ZstdCompressor:
-        held = zstandard.ZstdCompressionDict(raw)
+        held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         held.precompute_compress(level=level)
         return zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
 
@@ -51,7 +54,7 @@ class Distance:
         return np.array([len(plain(p)) - len(toxic(p)) for p in parts], dtype=np.float64)
 
 
-CUTS = (2.0, 3.0, 4.0, 5.0, 6.0)
+CUTS = (1.0, 2.0, 3.0, 4.0, 6.0)
 
 
 def features(gains: np.ndarray) -> np.ndarray:
@@ -64,12 +67,44 @@ def features(gains: np.ndarray) -> np.ndarray:
     return np.concatenate([top3 / 4, [gains.mean(), np.log(len(gains)) / 8], np.log1p(over), 10 * over / len(gains)])
 
 
-def _train(parts: list[bytes], size: int) -> bytes:
-    parts = [p for p in parts if len(p) >= 8]
+def _segments(text: bytes) -> set[bytes]:
+    """The words of a text and their beginnings of four to seven letters."""
+    out = set()
+    for w in set(text.decode().translate(LOWER_LETTERS).split()):
+        out.add(b" " + w.encode()[:40])
+        out.update(b" " + w[:n].encode() for n in (4, 5, 6, 7) if len(w) > n)
+    return out
+
+
+def _own(mine: Counter, other: Counter, n_mine: int, n_other: int) -> list[bytes]:
+    """Segments that documents of one label hold far more often than the others, the clearest last (nearest to the text)."""
+    found = []
+    for g, c in mine.items():
+        if c >= LEAST_DOCS and c * n_other > LEAST_RATIO * (other[g] + 0.5) * n_mine:
+            p = (c + other[g]) / (n_mine + n_other)
+            deviation = (c - p * n_mine) / np.sqrt(p * n_mine * (1 - p * n_mine / (n_mine + n_other)) + 0.5)
+            if deviation >= LEAST_DEVIATION:
+                found.append((deviation, g))
+    return [g for _, g in sorted(found)[-OWN_SEGMENTS:]]
+
+
+def train(toxic: list[bytes], plain: list[bytes]) -> tuple[bytes, bytes]:
+    """The two dictionaries: what texts of one label hold far more often than the other's, then content trained on both.
+
+    Trained on all toxic text as it is, a dictionary spends its bytes on ordinary words, which both texts share, and its
+    gains on them are noise. So the common content is trained once and stands in both dictionaries at the same distance.
+    """
+    counts = [Counter(), Counter()]
+    for c, texts in zip(counts, (toxic, plain), strict=True):
+        for t in texts:
+            c.update(_segments(t))
+    parts = [w for t in (toxic + plain)[:4000] for w in windows(t) if len(w) >= 8]
     try:
-        return zstandard.train_dictionary(size, parts, k=64, d=6).as_bytes()
+        common = zstandard.train_dictionary(COMMON_BYTES, parts, k=64, d=6).as_bytes()
     except zstandard.ZstdError:  # too few windows for training: the windows themselves serve as content
-        return b" ".join(parts)[-size:] or b" " * 8
+        common = b" ".join(parts)[-COMMON_BYTES:]
+    own = _own(counts[0], counts[1], len(toxic), len(plain)), _own(counts[1], counts[0], len(plain), len(toxic))
+    return b"".join(own[0]) + b" " + common + b" " * 8, b"".join(own[1])[-max(1, len(b"".join(own[0]))) :] + b" " + common + b" " * 8
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 60) -> np.ndarray:
@@ -91,8 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Dictionaries and calibration from a bounded sample: at most about SAMPLE_DOCS labelled documents of either label (a hash of the id draws them) and SAMPLE_BYTES of text, from rows whose crc32(doc_id) mod 4 is not 2.
 
     Half of the sample trains the dictionaries, the other half calibrates, so that calibration sees texts the
-    dictionaries have not. Dictionaries are trained twice: on all windows of either label, and then the toxic one on
-    those windows of toxic documents that the first pair finds most toxic, as most of a toxic document is ordinary.
+    dictionaries have not.
     """
     known = labels.filter("toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.filter(remainder("doc_id", 4) != 2)
@@ -102,24 +136,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     share = min(1.0, SAMPLE_BYTES / max(1, size))
     rows = chosen.filter(F.pmod(F.xxhash64(F.lit("bytes"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "text", "toxic").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    parts = [(windows(r["text"].encode()), r["toxic"]) for r in rows]
-    half = [bool(h & 1) for h in mix(np.array([r["doc_id"] for r in rows], dtype=np.int64).view(np.uint64), 5).tolist()]
-    train = [p for p, h in zip(parts, half, strict=True) if h]
-    plain = _train([w for ws, t in train if not t for w in ws], DICTIONARY_BYTES)
-    toxic = _train([w for ws, t in train if t for w in ws], DICTIONARY_BYTES)
-    for _ in range(2):
-        now = Distance(toxic, plain)
-        picked = []
-        for ws, t in train:
-            if t:
-                gains = now.gains(ws)
-                order = np.argsort(-gains, kind="stable")[: max(3, len(ws) // 10)]
-                picked += [ws[i] for i in order if gains[i] > 0]
-        toxic = _train(picked, DICTIONARY_BYTES // 4)
+    half = (mix(np.array([r["doc_id"] for r in rows], dtype=np.int64).view(np.uint64), 5) & np.uint64(1)).tolist()
+    texts = [[r["text"].encode() for r, h in zip(rows, half, strict=True) if h and bool(r["toxic"]) == t] for t in (True, False)]
+    toxic, plain = train(*texts)
     now = Distance(toxic, plain)
-    rest = [(features(now.gains(ws)), t) for (ws, t), h in zip(parts, half, strict=True) if not h]
-    x = np.array([f for f, _ in rest]).reshape(len(rest), -1) if rest else np.zeros((0, 5 + 2 * len(CUTS)))
-    return {"toxic": toxic, "plain": plain, "weights": _fit_logistic(x, np.array([t for _, t in rest], dtype=np.float64))}
+    rest = [(features(now.gains(windows(r["text"].encode()))), bool(r["toxic"])) for r, h in zip(rows, half, strict=True) if not h]
+    x = np.array([f for f, _ in rest]).reshape(len(rest), 5 + 2 * len(CUTS))
+    # calibrated to the share of toxic labels among all labelled rows, not to that of the drawn sample
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    y = np.array([t for _, t in rest], dtype=np.float64)
+    weights = _fit_logistic(x, y)
+    if 0 < y.sum() < len(y) and counts.get(0) and counts.get(1):
+        weights[-1] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
+    return {"toxic": toxic, "plain": plain, "weights": weights}
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -130,7 +159,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     out. Repeated rows are each returned. Labels rows with null ids or labels are not used; where ids repeat the largest
     label counts. Without any labelled document the score is 0.5.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # two dictionaries and some weights: under 100 kB
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # two dictionaries and some weights: under 50 kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
