@@ -41,12 +41,27 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ppm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pstable import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors.filter("vec_id % 100 = 0"), vectors)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
     "op9_toxicity": op9_toxicity,
     "op4_language_id": op4_language_id,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
