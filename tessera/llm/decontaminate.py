@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -78,11 +79,11 @@ class Benchmark:
         codes[0] = 1  # any word that no item holds
         self.codes = codes
         self.items = [(i, np.array([self.ids[x] for x in w], dtype=np.int64)) for i, w in words]
-        # an item with at most e edits keeps one of any e + 1 of its words: windows stand where one of its longest words does
+        # an item with at most e edits keeps two of any e + 2 of its words, at about their distance: windows stand where two of its longest words do
         self.marks = defaultdict(list)
         for k, (_, w) in enumerate(self.items):
             most = int(EDITS_PER_WORD * len(w))
-            for j in sorted(range(len(w)), key=lambda j: (-len(vocabulary[w[j] - 1]), j))[: most + 1]:
+            for j in sorted(range(len(w)), key=lambda j: (-len(vocabulary[w[j] - 1]), j))[: most + 2]:
                 self.marks[int(w[j])].append((k, j, most))
         self.is_mark = np.zeros(len(vocabulary) + 1, dtype=bool)
         self.is_mark[list(self.marks)] = True
@@ -111,10 +112,17 @@ class Benchmark:
             at += len(ids) + self.gap
             parts += [np.array(ids, dtype=np.int64), np.zeros(self.gap, dtype=np.int64)]
         ids, starts = np.concatenate(parts), np.array(starts)
-        windows = defaultdict(set)
+        lines = defaultdict(list)  # of each item: where it would begin by each of its marks
         for p in np.flatnonzero(self.is_mark[ids]).tolist():
-            for k, j, most in self.marks[int(ids[p])]:
-                windows[self.size_of[k]].update(range(p - j - most, p - j + most + 1))
+            for k, j, _ in self.marks[int(ids[p])]:
+                lines[k].append((p - j, p))
+        windows = defaultdict(set)
+        for k, begins in lines.items():
+            most = int(EDITS_PER_WORD * len(self.items[k][1]))
+            begins.sort()
+            for (a, p), (b, q) in pairwise(begins):
+                if b - a <= 2 * most and (p != q or len(begins) > 2):
+                    windows[self.size_of[k]].update(range(a - most, b + most + 1))
         seen = set()
         for size, ps in windows.items():
             steps, buckets = self.classes[size]
@@ -142,8 +150,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, n_edits: the items of benchmark (item_id LONG, text STRING) found in docs (doc_id LONG, text STRING).
 
     Words are runs of letters, digits and underscores, lower-cased, so case and punctuation count for nothing. An item is
-    found where its words are within one edit (insertion, deletion, substitution of a word) for each five of its words of a passage of the document. Windows stand wherever one of an
-    item's longest words puts it (no passage within the edits lacks all of these). Candidates are windows that agree with the beginning of an item,
+    found where its words are within one edit (insertion, deletion, substitution of a word) for each five of its words of a passage of the document. Windows stand wherever two of an
+    item's longest words put it (no passage within the edits lacks all but one of these). Candidates are windows that agree with the beginning of an item,
     as long as its size class, on all sampled steps of one of 16 random walks; each is then measured exactly. Null and empty texts hold no item; items
     of fewer than five words are not searched; a null item_id or doc_id stays null; repeated rows are each searched, repeated items each found. Other columns are ignored.
 
