@@ -1,13 +1,73 @@
-"""A cleaning pipeline over `documents`."""
+"""A cleaning pipeline over `documents`: toxic documents go, near copies go, repeated passages go, leaked benchmark items go; what is left is encoded.
+
+Every stage takes (spark, docs, sf_dir), docs with the columns of `documents`, and returns a DataFrame, which is written and read again as the next
+one's docs. All rows that a stage was given and does not reject go on. A null doc_id is kept by the filters.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.bpe import encode_digests
+from tessera.llm.common import written
+from tessera.llm.decontaminate import find_leaks
+from tessera.llm.queries import table
+from tessera.llm.recompression import remove_repeats, row_key
+from tessera.llm.setsketch import near_duplicates
+from tessera.llm.toxicity import score_toxicity
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not predict toxic. Equal ids with different texts go together."""
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return docs.select(COLUMNS).join(scored.filter("predicted = 1").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near copies."""
+    gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 35 words and more that start anywhere else too. Texts that lose nothing stay as they are; n_chars follows the text."""
+    cut = remove_repeats(docs).filter("n_removed > 0").select("key", F.col("kept_text").alias("cut_text")).dropDuplicates(["key"])
+    of = docs.select(*COLUMNS, row_key().alias("key")).join(cut.hint("merge"), "key", "left")
+    n_chars = F.when(F.col("cut_text").isNull(), F.col("n_chars")).otherwise(F.length("cut_text"))
+    return of.select("doc_id", F.coalesce("cut_text", "text").alias("text"), "lang", "source", n_chars.cast("long").alias("n_chars"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaked = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.select(COLUMNS).join(leaked.hint("merge"), "doc_id", "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    return encode_digests(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("bpe", encode),
+]
+#: Compression distances, near-copy search and byte-pair encoding are beyond SQL; a brute-force version is in the tests.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES):
+            docs = written(docs, name)
     return docs

@@ -54,7 +54,28 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors.filter("vec_id % 100 = 0"), vectors)
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.revisits import captures, header_lines, resolve_revisits
+
+    return header_lines(resolve_revisits(captures(table(spark, sf_dir, "pages"))))
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ordinal import grade_texts, graded
+
+    return grade_texts(table(spark, sf_dir, "documents"), graded(table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisits": op1_warc_revisits,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op10_quality_grades": op10_quality_grades,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
@@ -67,7 +88,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPLIT = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x != '')"
 
+_TAG = "'\"' || substr({}, 1, 16) || '\"'"
+_LINES = """array_to_string(list_sort(list_filter([
+    CASE WHEN {date} IS NOT NULL THEN 'date: ' || {date} END, CASE WHEN {etag} IS NOT NULL THEN 'etag: ' || {etag} END,
+    'cache-control: max-age=' || {age}, 'content-type: text/html', 'content-length: ' || {size}, 'server: node' || {node}], lambda x: x IS NOT NULL)), chr(10))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_revisits": rf"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, page_id * 7 AS t, md5(coalesce(html, '')) AS d, md5(coalesce(html, '') || '+') AS e,
+                page_crc % 4 AS k, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+            FROM (SELECT *, (WITH RECURSIVE b(i, c) AS (
+                    SELECT 0, 4294967295::UBIGINT UNION ALL
+                    SELECT i + 1, list_reduce(range(8), lambda a, j: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(c, ascii(substr(page_id::VARCHAR, i + 1, 1))::UBIGINT)::UBIGINT)
+                    FROM b WHERE i < length(page_id::VARCHAR))
+                SELECT xor(c, 4294967295::UBIGINT) FROM b ORDER BY i DESC LIMIT 1) AS page_crc FROM pages)),
+        u AS (
+            SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^www[0-9]*\.', ''), ':(80|443)$', '')
+                || regexp_replace(regexp_replace(regexp_replace(regexp_replace(rest, '^[^/?]*', ''), '([?&])((utm_[a-z]+|gclid|fbclid)=[^&]*&?)+', '\1', 'g'), '[?&]+$', ''), '/+$', '') AS url_key
+            FROM p),
+        r AS (
+            SELECT url_key, page_id || '-1' AS record_id, t AS ts, true AS full_, {_TAG.format("d")} AS etag, t AS lm, d AS digest, 1 AS n, html FROM u
+            UNION ALL SELECT url_key, page_id || '-2', t + 86400, k = 0, CASE k WHEN 0 THEN {_TAG.format("e")} WHEN 1 THEN {_TAG.format("d")} WHEN 2 THEN 'W/' || {_TAG.format("d")} ELSE '"other"' END, CASE WHEN k = 0 THEN t + 86400 ELSE t END, e, 2, html FROM u
+            UNION ALL SELECT url_key, page_id || '-3', t + 172800, false, CASE WHEN page_id % 5 <> 0 THEN {_TAG.format("d")} END, t, d, 3, html FROM u
+            UNION ALL SELECT url_key, page_id || '-0', t - 86400, false, {_TAG.format("d")}, t, d, 0, html FROM u WHERE page_id % 10 = 0),
+        j AS (
+            SELECT a.*, b.record_id AS refers_to, b.ts AS refers_ts, b.etag AS b_etag, b.lm AS b_lm, b.digest AS b_digest, b.n AS b_n, b.html AS b_html,
+                row_number() OVER (PARTITION BY a.record_id ORDER BY b.ts DESC NULLS LAST, b.record_id DESC) AS pick
+            FROM r a LEFT JOIN r b ON b.full_ AND a.url_key = b.url_key AND (b.ts < a.ts OR b.ts = a.ts AND b.record_id < a.record_id)
+            WHERE NOT a.full_),
+        o AS (
+            SELECT *, CASE WHEN refers_to IS NULL THEN 'no_earlier_response'
+                WHEN CASE WHEN etag IS NOT NULL THEN replace(etag, 'W/', '') = b_etag ELSE lm = b_lm END THEN 'resolved' ELSE 'validator_mismatch' END AS outcome
+            FROM j WHERE pick = 1)
+        SELECT record_id, url_key, ts, outcome, refers_to, refers_ts, CASE WHEN outcome = 'resolved' THEN b_digest END AS digest,
+            CASE WHEN outcome = 'resolved' THEN {_LINES.format(date="ts", etag="coalesce(etag, b_etag)", age="(60 * (n + 1))", size="octet_length(encode(b_html))", node="b_n")} END AS headers
+        FROM o""",
     "op7_minhash_near_dedup": f"""
         WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_SPLIT.format(_LOWER)} AS w FROM documents),
         s AS MATERIALIZED (

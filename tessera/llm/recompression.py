@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import SpanHasher, chunks, mix, signed, texts_of, word_bounds, word_hashes, written
@@ -173,14 +173,18 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), batch.column("no_text")], names=["key", "doc_id", "n_words", "n_removed", "kept_text", "no_text"])
 
 
+def row_key() -> Column:
+    """The hash of doc_id and text, which equal rows share."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit("row"))
+
+
 def _with_key(docs: DataFrame) -> DataFrame:
-    """Rows with a key of their own: the hash of doc_id and text, so that equal rows share one and are counted by it."""
     text = F.col("text").cast("string")
-    return docs.select(F.xxhash64(F.col("doc_id"), text, F.lit("row")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), text.isNull().alias("no_text"))
+    return docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), text.isNull().alias("no_text"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id LONG, text STRING): doc_id, n_words, n_removed, kept_text, no_text.
+    """One row per row of docs (doc_id LONG, text STRING): key (`row_key`), doc_id, n_words, n_removed, kept_text, no_text.
 
     Words are `[^\\x20\\x09-\\x0D]+`. Each word covered by a window of 35 consecutive words that also starts anywhere
     else, in any document, is removed; windows are judged on the input. kept_text joins the kept words by one blank;
@@ -210,7 +214,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     cover = written(equal.union(repeated).groupBy("key").agg(F.collect_set(F.struct("w0", "n")).alias("runs")), "cover")
     packed = rows.mapInArrow(_pack, "key long, doc_id long, packed binary, no_text boolean")
-    return packed.join(cover, "key", "left").mapInArrow(_removed, "key long, doc_id long, n_words long, n_removed long, kept_text string, no_text boolean").drop("key")
+    return packed.join(cover, "key", "left").mapInArrow(_removed, "key long, doc_id long, n_words long, n_removed long, kept_text string, no_text boolean")
 
 
 def digests(removed: DataFrame) -> DataFrame:
