@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessera.plans import media_queries, stream_queries
+
+QUERIES = media_queries.QUERIES | stream_queries.QUERIES
+ORACLE_SQL = media_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
