@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.bytes import prefix_code, symbol_label
-from tessera.operators.matching import distance_code
+from tessera.operators.matching import with_distance_code
 
 KEYS = ["image_id", "stream"]
 
 
 def tokens_to_symbols(tokens: DataFrame, width: DataFrame) -> DataFrame:
     """(image_id, stream, seq, alphabet, symbol, extra, extra_bits): a literal is four symbols (green, red, blue, alpha), a copy a length and a distance with extra bits, a cache hit its slot + 280."""
-    t = tokens.join(width.select("image_id", "width"), "image_id")
-    length, distance = prefix_code(F.col("len")), prefix_code(distance_code(F.col("dist"), F.col("width")))
+    coded = lambda c: F.struct(*(x.alias(n) for x, n in zip(prefix_code(F.col(c)), ("symbol", "extra", "bits"), strict=True)))
+    t = with_distance_code(tokens.join(width.select("image_id", "width"), "image_id"))
+    t = t.withColumns({"_l": coded("len"), "_d": coded("code")})
+    length, distance = ([F.col(f"{s}.{n}") for n in ("symbol", "extra", "bits")] for s in ("_l", "_d"))
     sym = lambda k, alphabet, symbol, extra=None, bits=None: F.struct(F.lit(k).alias("k"), F.lit(alphabet).alias("alphabet"), symbol.cast("int").alias("symbol"), (F.lit(0) if extra is None else extra).cast("bigint").alias("extra"), (F.lit(0) if bits is None else bits).cast("int").alias("extra_bits"))
     literal = F.array(*(sym(k, a, F.col(ch)) for k, (a, ch) in enumerate([(0, "g"), (1, "r"), (2, "b"), (3, "a")])))
     copy = F.array(sym(0, 0, length[0] + 256, length[1], length[2]), sym(1, 4, distance[0], distance[1], distance[2]))

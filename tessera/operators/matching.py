@@ -24,16 +24,15 @@ def near_offsets() -> list[tuple[int, int]]:
     return cells[:120]
 
 
-def distance_code(dist: Column, width: Column) -> Column:
-    """Code of a distance in a grid of some width: 1 to 120 for a near pixel, else dist + 120. A near cell (dx, dy) stands for dist = dy * width + dx, at least 1."""
-    y = F.floor(dist / width)
-    x = dist - y * width
-    at = F.create_map(*(F.lit(v) for k, c in enumerate(near_offsets(), 1) for v in (c[1] * 32 + c[0], k)))
+def with_distance_code(df: DataFrame, dist: str = "dist", width: str = "width", name: str = "code") -> DataFrame:
+    """Rows with the code of a distance in a grid of some width: 1 to 120 for a near pixel, else dist + 120; null for a null distance. A near cell (dx, dy) stands for dist = dy * width + dx, at least 1. The 120 cells are a broadcast table."""
+    near = df.sparkSession.createDataFrame([(y * 32 + x, k) for k, (x, y) in enumerate(near_offsets(), 1)], "_cell int, _near long")
+    y = F.call_function("div", F.col(dist).cast("long"), F.col(width).cast("long"))
+    x = F.col(dist) - y * F.col(width)
     # within eight columns left of the pixel in row y above, or less than eight right of it in row y + 1 above
-    here = F.try_element_at(at, (y * 32 + x).cast("int"))
-    over = F.try_element_at(at, ((y + 1) * 32 + x - width).cast("int"))
-    near = F.when((x <= 8) & (y < 8), here).when((x > width - 8) & (y < 7), over)
-    return F.coalesce(near, dist + 120).cast("bigint")
+    cell = F.when((x <= 8) & (y < 8), y * 32 + x).when((x > F.col(width) - 8) & (y < 7), (y + 1) * 32 + x - F.col(width)).cast("int")
+    j = df.withColumn("_cell", cell).join(F.broadcast(near), "_cell", "left")
+    return j.withColumn(name, F.coalesce("_near", (F.col(dist) + 120).cast("long"))).drop("_cell", "_near")
 
 
 def distance_from_code(code: Column, width: Column) -> Column:

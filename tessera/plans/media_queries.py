@@ -113,7 +113,7 @@ _SYM = "CASE WHEN n <= 5 THEN greatest(n - 1, 0) ELSE 2 * (length(bin(n - 1)) -
 @register("p10_prefix_code", f"""
     WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey AS n FROM lineitem), s AS (SELECT *, {_SYM} AS symbol FROM t),
     u AS (SELECT *, CASE WHEN symbol < 4 THEN 0 ELSE (symbol - 2) >> 1 END AS extra_bits FROM s)
-    SELECT l_orderkey, l_linenumber, n, symbol, CASE WHEN n <= 5 THEN 0 ELSE n - 1 - ((2 + (symbol & 1)) << extra_bits) END AS extra, extra_bits, n AS decoded FROM u""", plain=True)
+    SELECT l_orderkey, l_linenumber, n, symbol, CASE WHEN n <= 5 THEN 0 ELSE n - 1 - ((2 + (symbol & 1)) << extra_bits) END AS extra, extra_bits, greatest(n, 1) AS decoded FROM u""", plain=True)
 def p10(spark: SparkSession, d: str) -> DataFrame:
     t = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("n"))
     symbol, extra, bits = prefix_code(F.col("n"))
@@ -121,11 +121,10 @@ def p10(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("decoded", prefix_decode(F.col("symbol"), F.col("extra")))
 
 
-@register("p12_distance_code_round_trip", "SELECT l_orderkey, l_linenumber, l_partkey AS dist, 1 + l_suppkey % 40 AS width, l_partkey AS back FROM lineitem", plain=True)
+@register("p12_distance_code_round_trip", "SELECT l_orderkey, l_linenumber, l_partkey + 1 AS dist, 1 + l_suppkey % 40 AS width, l_partkey + 1 AS back FROM lineitem", plain=True)
 def p12(spark: SparkSession, d: str) -> DataFrame:
-    t = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dist"), (1 + F.col("l_suppkey") % 40).alias("width"))
-    code = M.distance_code(F.col("dist"), F.col("width"))
-    return t.withColumn("back", M.distance_from_code(code, F.col("width")))
+    t = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") + 1).alias("dist"), (1 + F.col("l_suppkey") % 40).alias("width"))
+    return M.with_distance_code(t).withColumn("back", M.distance_from_code(F.col("code"), F.col("width"))).drop("code")
 
 
 @register("p13_tiles", "SELECT image_id, (x >> 1)::INT AS tx, (y >> 1)::INT AS ty, count(*) AS n, (max(x) + 4) >> 2 AS tiles_x FROM v_vec_px GROUP BY 1, 2, 3")
@@ -275,7 +274,7 @@ def s5(spark: SparkSession, d: str) -> DataFrame:
 
 # --- palettes and caches ------------------------------------------------------------------------------------------------
 
-_PAL = f"f AS (SELECT image_id, r, g, b, a, {_ARGB} AS argb, min(pos) AS at FROM v_idx_px GROUP BY ALL), pal AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY at) - 1 AS idx, argb, r, g, b, a, count(*) OVER (PARTITION BY image_id) AS n_colors FROM f)"
+_PAL = f"f AS (SELECT image_id, r, g, b, a, {_ARGB} AS argb, min(pos) AS seen FROM v_idx_px GROUP BY ALL), pal AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY seen) - 1 AS idx, argb, r, g, b, a, count(*) OVER (PARTITION BY image_id) AS n_colors FROM f)"
 
 
 @register("a5_build_palette", f"WITH {_PAL} SELECT *, NULL::VARCHAR AS error FROM pal")
@@ -404,7 +403,7 @@ def p19(spark: SparkSession, d: str) -> DataFrame:
 
 @register("p19_copy_symbols")
 def p19_copies(spark: SparkSession, d: str) -> DataFrame:
-    t = M.backref_parse(P.cache_hits(X.doc_px(spark, d)))
+    t = M.backref_parse(P.cache_hits(X.idx_px(spark, d)))
     return C.symbol_histogram(C.tokens_to_symbols(t, t.select("image_id").distinct().withColumn("width", F.lit(16))))
 
 
@@ -461,8 +460,8 @@ def w7(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("h6_pack_bits", f"""WITH {_CODED}, o AS (SELECT *, coalesce(sum(depth) OVER (PARTITION BY image_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM coded),
-    bits AS (SELECT image_id, start + i AS at, (code >> (depth - 1 - i)) & 1 AS bit FROM o, range(15) t(i) WHERE i < depth),
-    bytes AS (SELECT image_id, at // 8 AS k, sum(bit << (at % 8)::INT)::INT AS v FROM bits GROUP BY 1, 2)
+    bits AS (SELECT image_id, start + i AS place, (code >> (depth - 1 - i)) & 1 AS bit FROM o, range(15) t(i) WHERE i < depth),
+    bytes AS (SELECT image_id, place // 8 AS k, sum(bit << (place % 8)::INT)::INT AS v FROM bits GROUP BY 1, 2)
     SELECT image_id, md5(string_agg(lpad(to_hex(v), 2, '0'), '' ORDER BY k)) AS digest, count(*) AS n FROM bytes GROUP BY 1""")
 def h6(spark: SparkSession, d: str) -> DataFrame:
     packed = C.pack_bits(C.apply_codebook(_symbols(spark, d), C.canonical_codes(_ranked(spark, d))))
@@ -498,7 +497,7 @@ def t2(spark: SparkSession, d: str) -> DataFrame:
 def a15(spark: SparkSession, d: str) -> DataFrame:
     from tessera.plans.report import technique_report
 
-    return technique_report(X.doc_px(spark, d), X.idx_px(spark, d))
+    return technique_report(X.vec_px(spark, d), X.idx_px(spark, d), 4)
 
 
 @register("j7_golden_diff", "SELECT image_id, count(*) AS n_different FROM v_doc_px WHERE pos % 97 = 5 OR pos % 101 = 7 GROUP BY 1")
