@@ -107,6 +107,8 @@ def _search(index: pa.Table, queries: pa.Table) -> pa.Table:
     base, asked = _matrix(index.column("vector")), _matrix(queries.column("vector"))
     ids, out = index.column("vec_class").to_numpy(), []
     for q, vector, near in zip(queries.column("query_id").to_pylist(), asked, Tables(base).candidates(asked), strict=True):
+        if len(near) <= NEAREST:  # too few to choose from: all of the shard are candidates
+            near = np.arange(len(base))
         far = np.sqrt(((base[near] - vector) ** 2).sum(axis=1))
         own = np.lexsort((ids[near], far))[: NEAREST + 1]
         out += [(q, int(ids[near[k]]), float(far[k])) for k in own]
