@@ -40,7 +40,7 @@ def windows(text: bytes) -> list[bytes]:
 class Distance:
     """Bytes that a window takes with the ordinary dictionary, less those with the toxic one."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, level: int = 12):
+    def __init__(self, toxic: bytes, ordinary: bytes, level: int = 16):
         self.codecs = [self._codec(d, level) for d in (ordinary, toxic)]
 
     @staticmethod
@@ -77,7 +77,7 @@ def _segments(text: bytes) -> set[bytes]:
 
 
 def _own(mine: Counter, other: Counter, n_mine: int, n_other: int) -> list[bytes]:
-    """Segments that documents of one label hold far more often than the others, the clearest last (nearest to the text)."""
+    """Segments that documents of one label hold far more often than the others, the clearest last."""
     found = []
     for g, c in mine.items():
         if c >= LEAST_DOCS and c * n_other > LEAST_RATIO * (other[g] + 0.5) * n_mine:
@@ -103,8 +103,9 @@ def train(toxic: list[bytes], plain: list[bytes]) -> tuple[bytes, bytes]:
         common = zstandard.train_dictionary(COMMON_BYTES, parts, k=64, d=6).as_bytes()
     except zstandard.ZstdError:  # too few windows for training: the windows themselves serve as content
         common = b" ".join(parts)[-COMMON_BYTES:]
-    own = _own(counts[0], counts[1], len(toxic), len(plain)), _own(counts[1], counts[0], len(plain), len(toxic))
-    return b"".join(own[0]) + b" " + common + b" " * 8, b"".join(own[1])[-max(1, len(b"".join(own[0]))) :] + b" " + common + b" " * 8
+    own = [b"".join(_own(counts[k], counts[1 - k], len(x), len(y))) for k, (x, y) in enumerate([(toxic, plain), (plain, toxic)])]
+    size = max(map(len, own))  # nearest to the text: near matches cost least
+    return common + own[0].rjust(size) + b" " * 8, common + own[1].rjust(size) + b" " * 8
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 60) -> np.ndarray:
