@@ -19,6 +19,8 @@ BASE, RATE, LAST = 1.001, 20.0, 65_535
 PERCENT = 75
 #: Pairs whose most likely similarity is below this are not verified; five standard errors of 128 registers below 0.75.
 LEAST_LIKELY = 0.55
+#: Classes of a bucket that are compared as pairs; in larger buckets, classes and shingles of a block at most, on average.
+SMALL, BLOCK, BLOCK_SHINGLES = 32, 512, 1_000_000
 
 _rng = np.random.default_rng(7_2020)
 _FACTOR = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,25 +135,65 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.filter("doc_id != leader").select(F.greatest("doc_id", "leader").alias("a"), F.least("doc_id", "leader").alias("b")).distinct()
 
 
-def _merged(links: DataFrame, above: str, below: str) -> DataFrame:
-    """(doc_id, into): for each upper end of links the least lower end."""
-    return links.groupBy(F.col(above).alias("doc_id")).agg(F.min(below).alias("into"))
+def _block_links(unit: pa.Table) -> pa.Table:
+    """Links between components of one unit, the members of two blocks of a bucket (or of one): every pair is counted on full sets. Of each group that links join, every member with the least one."""
+    ids, of = unit.column("doc_id").to_numpy(), unit.column("component").to_numpy()
+    low, high = ((unit.column("block").to_numpy() == unit.column(c).to_numpy()).nonzero()[0] for c in ("lo", "hi"))
+    sets = [shingles(t) for t in texts_of(unit.column("text").combine_chunks())]
+    n = np.array([len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    row, item = np.repeat(np.arange(len(sets)), n)[shared], (np.cumsum(times > 1) - 1)[at[shared]]
+    by = np.argsort(item, kind="stable")
+    row, item = row[by], item[by]
+    both = np.zeros((len(low), len(high)), dtype=np.float32)
+    for first in range(0, int(item[-1]) + 1 if len(item) else 0, 2048):
+        a, b = np.searchsorted(item, [first, first + 2048])
+        holds = np.zeros((len(sets), 2048), dtype=np.float32)
+        holds[row[a:b], item[a:b] - first] = 1
+        both += holds[low] @ holds[high].T
+    both = both.astype(np.int64)
+    linked = (100 * both >= PERCENT * (n[low][:, None] + n[high][None, :] - both)) & (of[low][:, None] != of[high][None, :])
+    x, y = (side[k] for side, k in zip((low, high), np.nonzero(linked), strict=True))
+    least, before = ids.copy(), None
+    while before is None or (least != before).any():
+        before = least.copy()
+        m = np.minimum(least[x], least[y])
+        np.minimum.at(least, x, m)
+        np.minimum.at(least, y, m)
+    joined = least != ids
+    return pa.table({"a": ids[joined], "b": least[joined]})
+
+
+def _met(large: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components of the same bucket, for buckets of any size.
+
+    A bucket's members are dealt into blocks of bounded size, those of its largest component apart from the rest. Every two blocks meet
+    in a unit of their own, but for two of the largest component, so every pair of different components is met, and no unit grows with its bucket.
+    """
+    ids = large.select("doc_id").distinct()
+    needed = written(texts.join(ids.hint("merge"), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
+    in_top, dealt = F.col("component") == F.col("top"), F.xxhash64("doc_id", F.lit("block"))
+    block = F.when(in_top, F.col("rests") + F.pmod(dealt, F.col("tops"))).otherwise(F.pmod(dealt, F.col("rests"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(in_top, F.col("rests") - 1).otherwise(F.col("rests") + F.col("tops") - 1).cast("int"))
+    units = large.select("band", "doc_id", "component", block.alias("block"), F.explode(others).alias("other"))
+    units = units.select("band", "doc_id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    found = units.join(needed, "doc_id").groupBy("band", "lo", "hi").applyInArrow(_block_links, "a long, b long")
+    return written(found.distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, most_rounds: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id LONG, text STRING): n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A and B| >= 75 * |A or B| over their sets of distinct 5-word shingles.
     Equal sets form a class by a 128-bit key and stand for themselves by their smallest doc_id. Class members share
     32 bands of four registers; a pair at similarity 0.75 misses every band with probability 5e-6.
 
-    In each band bucket every class is paired with the most connected one (the class whose buckets hold most others: the
-    original among its copies), and verified links give components. Where a bucket still holds several components, its
-    most connected class and three more, drawn anew for each bucket and round, are leaders; each class is paired with up to six
-    leaders of other components that it meets, and in buckets of up to eight with all members of other components. This is
-    repeated while it finds links, so a group of thousands of copies costs a few pairs a copy and round, never all pairs.
-    What it can miss: in crowded buckets, a link between two classes that no chain of other links joins and that are
-    never drawn together.
+    In each band bucket every class is first paired with the most connected one (the class whose buckets hold most others: the
+    original among its copies), and verified links give components: a group of thousands of copies costs one pair a copy and bucket.
+    Where a bucket still holds several components, every two of its members of different components are compared: as pairs
+    in buckets of up to SMALL classes, else block by block on full sets (see `_met`). So no two classes that share a bucket stay uncompared,
+    unless links already join them. A large bucket of texts that are not near copies costs work that grows with the square of its size.
 
     Null or empty texts have no shingles: component_id is their own doc_id. A null doc_id is never linked: its
     component_id is null, kept true. Repeated rows are each returned. Columns other than doc_id and text are ignored.
@@ -162,7 +204,7 @@ def near_duplicates(docs: DataFrame, most_rounds: int = 8) -> DataFrame:
     sets = written(rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("class_id")), "classes")
     classes = written(rows.join(sets, keys).filter("doc_id = class_id").dropDuplicates(["doc_id", "key_a"]).drop("class_id"), "class-sketches")
 
-    bands = classes.select("doc_id", F.explode("bands").alias("band"))
+    bands = classes.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     crowded = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     members = written(bands.join(crowded, "band"), "buckets")
     degrees = members.groupBy("doc_id").agg(F.sum(F.col("size") - 1).alias("degree"))
@@ -170,33 +212,23 @@ def near_duplicates(docs: DataFrame, most_rounds: int = 8) -> DataFrame:
     central = F.max(F.struct("degree", (-F.col("doc_id")).alias("rank"), "doc_id"))
     leaders = members.groupBy("band").agg(central.alias("top")).select("band", F.col("top.doc_id").alias("leader"))
     pairs = written(_pairs(members.join(leaders, "band")), "pairs")
-    tested, links = pairs, _verified(pairs, classes, texts)
-    # between rounds components need not be exact: one step of merging over all links a round; the exact ones come at the end
-    labels = written(classes.select("doc_id").join(_merged(links, "a", "b"), "doc_id", "left").select("doc_id", F.coalesce("into", "doc_id").alias("component")), "labels")
-    for round_ in range(most_rounds):
-        of = members.join(labels, "doc_id")
-        drawn = [F.min(F.struct(F.xxhash64(F.lit(round_), F.lit(k), "band", "doc_id").alias("rank"), "doc_id", "component")).alias(f"d{k}") for k in range(3)]
-        top = F.max(F.struct("degree", F.xxhash64(F.lit(round_), "doc_id").alias("rank"), "doc_id", "component")).alias("d3")
-        mixed = of.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *drawn, top).filter("lo != hi")
-        mixed = mixed.select("band", *(F.struct(f"d{k}.doc_id", f"d{k}.component").alias(f"d{k}") for k in range(4)))
-        of = written(of.join(mixed, "band"), "open")
-        # of the leaders that a class meets in its buckets, six are drawn: the row count stays a few a class
-        meets = lambda i: F.struct(F.xxhash64(F.lit(round_), F.lit(i), "band").alias("rank"), F.col(f"d{i % 4}.doc_id").alias("leader"))
-        picks = [F.min(F.when(F.col(f"d{i % 4}.component") != F.col("component"), meets(i))).alias(f"p{i}") for i in range(6)]
-        led = of.groupBy("doc_id").agg(*picks).select("doc_id", F.explode(F.array(*(F.col(f"p{i}.leader") for i in range(6)))).alias("leader")).filter("leader IS NOT NULL")
-        small = of.filter("size <= 8")
-        cross = small.select("band", "doc_id", "component").join(small.select("band", F.col("doc_id").alias("leader"), F.col("component").alias("other")), "band").filter("component < other")
-        fresh = _pairs(led.union(cross.select("doc_id", "leader")))
-        fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
-        more = _verified(fresh, classes, texts)
-        if more.isEmpty():
-            break
-        tested, links = written(tested.union(fresh), "tested"), links.union(more)
-        of_end = lambda x: labels.select(F.col("doc_id").alias(x), F.col("component").alias(f"of_{x}"))  # noqa: B023, E731
-        ends = links.join(of_end("a"), "a").join(of_end("b"), "b").filter("of_a != of_b").select(F.greatest("of_a", "of_b").alias("hi"), F.least("of_a", "of_b").alias("lo"))
-        labels = written(labels.join(_merged(ends, "hi", "lo").withColumnRenamed("doc_id", "component"), "component", "left").select("doc_id", F.coalesce("into", "component").alias("component")), "labels")
+    links = _verified(pairs, classes, texts)
+    labels = connected_components(links).withColumnRenamed("v", "doc_id")
+    of = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    parts = of.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    mixed = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "component")).alias("top")).filter("parts > 1")
+    cut = lambda n, s: F.ceil(F.greatest(n / F.lit(BLOCK), s / F.lit(BLOCK_SHINGLES))).cast("int")
+    mixed = mixed.select("band", F.col("top.component").alias("top"), cut(F.col("top.n"), F.col("top.s")).alias("tops"), cut(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("rests"))
+    of = written(of.join(mixed, "band"), "open")
+    small = of.filter(F.col("size") <= SMALL)
+    cross = small.select("band", "doc_id", "component").join(small.select("band", F.col("doc_id").alias("leader"), F.col("component").alias("other")), "band").filter("component < other")
+    fresh = written(_pairs(cross.select("doc_id", "leader")).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = [] if fresh.isEmpty() else [_verified(fresh, classes, texts)]
+    large = of.filter(F.col("size") > SMALL)
+    if not large.isEmpty():
+        more.append(_met(large, texts))
+    for one in more:
+        links = links.union(one)
     found = connected_components(links)
 
     of_class = sets.join(found.withColumnRenamed("v", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id")).drop("component", "class_id")

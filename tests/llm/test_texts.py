@@ -76,6 +76,17 @@ def test_near_duplicates_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_near_duplicates_crowded_buckets(spark):
+    """1,500 texts on one template at 0.70 to each other, and among them 40 pairs at 0.754, some of which meet only in crowded buckets."""
+    template = [f"t{k}" for k in range(104)]
+    tails = [[f"u{i}x{k}" for k in range(21)] for i in range(1500)]
+    for i in range(40):
+        tails[1000 + i] = tails[i][:4] + tails[1000 + i][4:]
+    rows = [(i, " ".join(template + t)) for i, t in enumerate(tails)]
+    found = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found if r.doc_id != r.component_id} == {1000 + i: i for i in range(40)}
+
+
 def test_near_duplicates_odd(odd, none):
     rows = setsketch.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and {(r.doc_id, r.n_shingles) for r in rows} >= {(1, 0), (2, 0), (3, 0), (4, 1), (None, 1), (6, 1)}
