@@ -104,11 +104,12 @@ class Benchmark:
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text, item, first word, edits) of every item found in some texts; the window with fewest edits, the first of these."""
-        get, parts, starts = self.ids.get, [], []
+        get, parts, starts, ends = self.ids.get, [], [], []
         at = 0
         for t in texts:
             ids = [get(w, 0) for w in normal_words(t)]
             starts.append(at)
+            ends.append(at + len(ids))
             at += len(ids) + self.gap
             parts += [np.array(ids, dtype=np.int64), np.zeros(self.gap, dtype=np.int64)]
         ids, starts = np.concatenate(parts), np.array(starts)
@@ -122,7 +123,8 @@ class Benchmark:
             begins.sort()
             for (a, p), (b, q) in pairwise(begins):
                 if b - a <= 2 * most and (p != q or len(begins) > 2):
-                    windows[self.size_of[k]].update(range(a - most, b + most + 1))
+                    text = int(np.searchsorted(starts, p, side="right")) - 1  # of the marks: a window begins in no other text
+                    windows[self.size_of[k]].update(range(max(a - most, int(starts[text])), min(b + most + 1, ends[text])))
         seen = set()
         for size, ps in windows.items():
             steps, buckets = self.classes[size]

@@ -264,6 +264,19 @@ def test_leaks(spark, docs, sf_dir, odd, none):
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_stay_in_their_text():
+    """A clean text before one that begins with an item holds nothing, however texts are searched together."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    for n in (5, 10, 20, 40):
+        items = [(i, " ".join(word() for _ in range(n))) for i in range(20)]
+        search = decontaminate.Benchmark(items).search
+        for i, text in items:
+            clean, leaking = " ".join(word() for _ in range(50)), f"{text} {' '.join(word() for _ in range(30))}"
+            together = search([clean, leaking, clean, leaking])
+            assert together == [(1, i, 0, 0), (3, i, 0, 0)] and search([clean]) == [] and search([leaking]) == [(0, i, 0, 0)]
+
+
 def test_leaks_recall_and_edits():
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
