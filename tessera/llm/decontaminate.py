@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding of item-sized word windows, bit-sampling LSH, exact edit distance."""
+"""Benchmark decontamination: an item's longest words give the places where it may stand, a count of its words there, then exact edit distance."""
 
 from __future__ import annotations
 
@@ -12,14 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, mix
+from tessera.llm.common import chunks
 
 #: An item is found where a window of words is within so many edits a word of it.
 EDITS_PER_WORD = 0.2
 #: Items of fewer words are not searched: they are common phrases, and finding them says nothing.
 LEAST_WORDS = 5
-#: Repetitions, each with its own random walk, and embedded positions that each samples.
-REPEATS, SAMPLED = 16, 4
 #: Item text that one pass broadcasts at most; a larger benchmark takes several passes.
 BLOCK_BYTES = 16 << 20
 
@@ -30,33 +28,6 @@ def normal_words(text: str) -> list[str]:
     return _WORDS(text.lower())
 
 
-def size_class(n: int) -> int:
-    """The window size for items of n words: the largest of 5, 6, 7, 8, 10, 12, 15, 18, ... (each a fifth more) up to n."""
-    size = LEAST_WORDS
-    while (more := max(size + 1, size * 6 // 5)) <= n:
-        size = more
-    return size
-
-
-def walk(symbols: np.ndarray, starts: np.ndarray, size: int, steps: np.ndarray) -> np.ndarray:
-    """CGK embeddings of the windows of `size` symbols at `starts`, read at sampled steps only: one hash a repetition and window.
-
-    steps: a row of sampled steps for each repetition. At every step a walk writes the symbol it stands on and moves on or
-    stays, by a random bit of repetition, step and symbol that all strings share. After an edit two walks drift until
-    chance brings them together, so edit distance becomes Hamming distance. Beyond its window a walk writes 0.
-    """
-    at = np.zeros((len(steps), len(starts)), dtype=np.int64)
-    out = np.zeros(at.shape, dtype=np.uint64)
-    own = mix(np.arange(len(steps), dtype=np.uint64), 5)[:, None]
-    for t in range(int(steps.max()) + 1):
-        symbol = np.where(at < size, symbols[starts[None, :] + np.minimum(at, size - 1)], np.uint64(0))
-        reads = (steps == t).any(axis=1)
-        if reads.any():
-            out[reads] = mix(out[reads] ^ symbol[reads], t)
-        at += (mix(symbol ^ own, 1000 + t) & np.uint64(1)).astype(np.int64)
-    return out
-
-
 def edits(item: np.ndarray, text: np.ndarray) -> int:
     """Least edit distance, in words, of an item to any beginning of a text."""
     n = np.arange(len(text) + 1)
@@ -67,19 +38,27 @@ def edits(item: np.ndarray, text: np.ndarray) -> int:
     return int(row.min())
 
 
+def edits_from(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each position of a text, its end included: least edit distance, in words, of an item to any passage that begins there."""
+    text = text[::-1]
+    n = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, dtype=np.int64)
+    for i, word in enumerate(item[::-1], 1):
+        step = np.minimum(row[1:] + 1, row[:-1] + (text != word))
+        row = np.minimum.accumulate(np.append(i, step) - n) + n
+    return row[::-1]
+
+
 class Benchmark:
-    """The searchable form of some items: their vocabulary, and buckets of every size class and repetition."""
+    """The searchable form of some items: their vocabulary, and of each its longest words."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int = 11):
+    def __init__(self, items: list[tuple[int, str]]):
         words = [(i, normal_words(t)) for i, t in items]
         words = [(i, w) for i, w in words if len(w) >= LEAST_WORDS]
         vocabulary = sorted({x for _, w in words for x in w})
         self.ids = {x: k for k, x in enumerate(vocabulary, 1)}
-        codes = mix(np.arange(len(vocabulary) + 1, dtype=np.uint64), 77)
-        codes[0] = 1  # any word that no item holds
-        self.codes = codes
         self.items = [(i, np.array([self.ids[x] for x in w], dtype=np.int64)) for i, w in words]
-        # an item with at most e edits keeps two of any e + 2 of its words, at about their distance: windows stand where two of its longest words do
+        # an item with at most e edits keeps two of any e + 2 of its words, at about their distance: it is looked for where two of its longest words stand
         self.marks = defaultdict(list)
         for k, (_, w) in enumerate(self.items):
             most = int(EDITS_PER_WORD * len(w))
@@ -87,74 +66,56 @@ class Benchmark:
                 self.marks[int(w[j])].append((k, j, most))
         self.is_mark = np.zeros(len(vocabulary) + 1, dtype=bool)
         self.is_mark[list(self.marks)] = True
-        rng = np.random.default_rng(seed)
-        self.gap = 2 * max((len(w) for _, w in self.items), default=0)
-        self.size_of = [size_class(len(w)) for _, w in self.items]
-        self.classes = {}
-        for size in sorted(set(self.size_of)):
-            members = [k for k, s in enumerate(self.size_of) if s == size]
-            steps = np.array([np.sort(rng.choice(2 * size, SAMPLED, replace=False)) for _ in range(REPEATS)])
-            flat = np.concatenate([codes[self.items[k][1][:size]] for k in members])
-            keys = walk(flat, np.arange(len(members)) * size, size, steps)
-            buckets = [defaultdict(list) for _ in range(REPEATS)]
-            for r in range(REPEATS):
-                for k, key in zip(members, keys[r].tolist(), strict=True):
-                    buckets[r][key].append(k)
-            self.classes[size] = (steps, buckets)
+        self.words_of = [set(w.tolist()) for _, w in self.items]
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
-        """(text, item, first word, edits) of every item found in some texts; the window with fewest edits, the first of these."""
-        get, parts, starts, ends = self.ids.get, [], [], []
-        at = 0
-        for t in texts:
-            ids = [get(w, 0) for w in normal_words(t)]
-            starts.append(at)
-            ends.append(at + len(ids))
-            at += len(ids) + self.gap
-            parts += [np.array(ids, dtype=np.int64), np.zeros(self.gap, dtype=np.int64)]
-        ids, starts = np.concatenate(parts), np.array(starts)
-        lines = defaultdict(list)  # of each item: where it would begin by each of its marks
-        for p in np.flatnonzero(self.is_mark[ids]).tolist():
-            for k, j, _ in self.marks[int(ids[p])]:
-                lines[k].append((p - j, p))
-        windows = defaultdict(set)
-        for k, begins in lines.items():
-            most = int(EDITS_PER_WORD * len(self.items[k][1]))
-            begins.sort()
-            for (a, p), (b, q) in pairwise(begins):
-                if b - a <= 2 * most and (p != q or len(begins) > 2):
-                    text = int(np.searchsorted(starts, p, side="right")) - 1  # of the marks: a window begins in no other text
-                    windows[self.size_of[k]].update(range(max(a - most, int(starts[text])), min(b + most + 1, ends[text])))
-        seen = set()
-        for size, ps in windows.items():
-            steps, buckets = self.classes[size]
-            ps = np.array(sorted(p for p in ps if 0 <= p <= len(ids) - size))
-            for i in range(0, len(ps), 4096):
-                keys = walk(self.codes[ids], ps[i : i + 4096], size, steps)
-                for r, own in enumerate(buckets):
-                    held = np.array(list(own), dtype=np.uint64)
-                    for x in np.flatnonzero(np.isin(keys[r], held)).tolist():
-                        seen.update((int(ps[i + x]), k) for k in own[int(keys[r][x])])
-        found: dict[tuple[int, int], tuple[int, int]] = {}
-        for p, k in sorted(seen):
-            item = self.items[k][1]
-            most = int(EDITS_PER_WORD * len(item))
-            text = int(np.searchsorted(starts, p, side="right")) - 1
-            if found.get((text, k), (1, 0))[0] == 0:
+        """(text, item, first word, edits) of every item found in some texts; the passage with fewest edits, the first of these."""
+        get, found = self.ids.get, []
+        for text, t in enumerate(texts):
+            ids = np.array([get(w, 0) for w in normal_words(t)], dtype=np.int64)
+            lines = defaultdict(list)  # of each item: where it would begin by each of its marks
+            for p in np.flatnonzero(self.is_mark[ids]).tolist():
+                for k, j, _ in self.marks[int(ids[p])]:
+                    lines[k].append((p - j, p))
+            for k, begins in sorted(lines.items()):
+                if len(begins) > 1 and (best := self._best(k, sorted(begins), ids)):
+                    found.append((text, self.items[k][0], best[1], best[0]))
+        return found
+
+    def _best(self, k: int, begins: list[tuple[int, int]], ids: np.ndarray) -> tuple[int, int] | None:
+        """(edits, first word) of an item in a text, from where its marks put it."""
+        item, held = self.items[k][1], self.words_of[k]
+        n, most, ranges, best = len(item), int(EDITS_PER_WORD * len(item)), [], None
+        for (a, p), (b, q) in pairwise(begins):
+            if b - a <= 2 * most and (p != q or len(begins) > 2):
+                if ranges and a - most <= ranges[-1][1]:
+                    ranges[-1][1] = b + most
+                else:
+                    ranges.append([a - most, b + most])
+        for low, high in ranges:
+            low = max(low, 0)
+            part = ids[low : high + n + most]
+            if high < low or len(part) < n - most:
+                continue
+            # a passage within the edits has n + most words at most, and n - most of them are the item's
+            there = np.cumsum([0, *(w in held for w in part.tolist())])
+            reach = min(n + most, len(part))
+            if (there[reach:] - there[:-reach]).max() < n - most:
                 continue
-            e = edits(item, ids[p : p + len(item) + most])
-            if e <= most and e < found.get((text, k), (most + 1, 0))[0]:
-                found[text, k] = (e, p - int(starts[text]))
-        return [(text, self.items[k][0], p, e) for (text, k), (e, p) in sorted(found.items())]
+            e = edits_from(item, part)[: high - low + 1]
+            at = int(e.argmin())
+            if e[at] <= most and (best is None or e[at] < best[0]):
+                best = (int(e[at]), low + at)
+        return best
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, n_edits: the items of benchmark (item_id LONG, text STRING) found in docs (doc_id LONG, text STRING).
 
     Words are runs of letters, digits and underscores, lower-cased, so case and punctuation count for nothing. An item is
-    found where its words are within one edit (insertion, deletion, substitution of a word) for each five of its words of a passage of the document. Windows stand wherever two of an
-    item's longest words put it (no passage within the edits lacks all but one of these). Candidates are windows that agree with the beginning of an item,
-    as long as its size class, on all sampled steps of one of 16 random walks; each is then measured exactly. Null and empty texts hold no item; items
+    found where its words are within one edit (insertion, deletion, substitution of a word) for each five of its words of a passage of the document. Passages are looked for
+    wherever two of an item's longest words put it (no passage within the edits lacks all but one of these) and enough of its words stand; there every beginning is measured exactly.
+    So none is missed. Null and empty texts hold no item; items
     of fewer than five words are not searched; a null item_id or doc_id stays null; repeated rows are each searched, repeated items each found. Other columns are ignored.
 
     Documents are independent: no shuffle. The items go to all tasks in blocks of at most BLOCK_BYTES of text, one pass each.

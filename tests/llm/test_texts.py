@@ -277,6 +277,25 @@ def test_leaks_stay_in_their_text():
             assert together == [(1, i, 0, 0), (3, i, 0, 0)] and search([clean]) == [] and search([leaking]) == [(0, i, 0, 0)]
 
 
+def test_leaks_recall_at_the_limit():
+    """All items are found with one edit for each five words, of every kind, and with the fewest edits that brute force finds."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    for n in (5, 8, 10, 15, 20, 30, 40, 60):
+        items = [(i, " ".join(word() for _ in range(n))) for i in range(40)]
+        held = decontaminate.Benchmark(items)
+        for k, (i, text) in enumerate(items):
+            words = text.split()
+            for _ in range(n // 5):
+                at = rnd.randrange(len(words))
+                words[at : at + rnd.randint(0, 1)] = ["zz"] * rnd.randint(0, 1)
+            filler = [word() for _ in range(rnd.choice([0, 3, 30]))]
+            full = " ".join(filler + words + filler)
+            ids = np.array([held.ids.get(w, 0) for w in full.split()])
+            cost, first = min((decontaminate.edits(held.items[k][1], ids[p : p + n + n // 5]), p) for p in range(len(ids)))
+            assert held.search(["", full, " ".join(text.split()[n // 2 :])]) == [(1, i, first, cost)]
+
+
 def test_leaks_recall_and_edits():
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
