@@ -29,9 +29,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies."""
-    gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti")
+    """One row of each group of near copies: that of the smallest doc_id, a null one last. Rows go by `row_key`, so a null id is linked like any other; of rows of the same id and text one stays."""
+    rows = docs.select(*COLUMNS, row_key().alias("key"))
+    grouped = near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = rows.select("key", "doc_id").distinct()
+    by_id = written(grouped.join(ids, "key").select("key", "component_id", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key").alias("rank")), "groups")
+    first = by_id.groupBy("component_id").agg(F.min("rank").alias("first")).select("component_id", F.col("first.key").alias("first"))
+    gone = by_id.join(first, "component_id").filter("key != first").select("key")
+    left = rows.join(gone.hint("merge"), "key", "left_anti")
+    # few rows occur more than once: only their texts are dealt by key
+    often = written(rows.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"), "repeated")
+    one = left.join(often.hint("merge"), "key").groupBy("key").agg(F.min(F.struct(COLUMNS)).alias("row")).select("row.*")
+    return left.join(often.hint("merge"), "key", "left_anti").select(COLUMNS).union(one)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,3 +152,18 @@ def test_pipeline(spark, sf_dir):
     model = bpe.loaded(bpe.default_path())
     expected = {(i, *bpe._digest(model, t)) for k, ((i, _), t) in enumerate(zip(rows, texts, strict=True)) if k not in leaked}
     assert found == expected and recompression.WINDOW == 35
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    """Repeated rows and copies with a null id: one stays, with the sound id, and keeps its text through the next stage."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (1, text(1)), (2, text(2)), (None, text(2)), (None, text(3)), (None, text(3)), (4, text(4)), (4, text(5)), (6, text(6)), (7, text(6)), (8, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = corpus_pipeline.drop_near_copies(spark, docs, "")
+    left = corpus_pipeline.cut_repeats(spark, near, "")
+    expected = [(1, text(1)), (2, text(2)), (4, text(4)), (4, text(5)), (6, text(6)), (8, None), (9, None), (None, text(3))]
+    for found in (near, left):
+        assert found.columns == corpus_pipeline.COLUMNS
+        assert sorted(((r.doc_id, r.text) for r in found.collect()), key=str) == sorted(expected, key=str)
