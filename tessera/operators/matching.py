@@ -59,13 +59,28 @@ def match_candidates(pixels: DataFrame, k: int = PROBES, farthest: int = FARTHES
     return c.withColumn("dist", F.col("pos") - F.col("from_pos")).filter(F.col("dist") < farthest)
 
 
-def match_lengths(candidates: DataFrame, pixels: DataFrame, longest: int = 16, keys: list[str] = KEYS) -> DataFrame:
-    """Candidates with len: how many pixels from pos on equal those from from_pos on, up to `longest`; sequence windows hold the next pixels of each position."""
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(0, longest - 1)
-    ahead = pixels.select(*keys, "pos", F.collect_list(argb()).over(w).alias("ahead"))
-    j = candidates.join(ahead, [*keys, "pos"]).join(ahead.select(*keys, F.col("pos").alias("from_pos"), F.col("ahead").alias("behind")), [*keys, "from_pos"])
-    differs = F.array_position(F.zip_with("ahead", "behind", lambda a, b: F.coalesce(a == b, F.lit(False))), False)
-    return j.select(*keys, "pos", "from_pos", "dist", F.when(differs == 0, F.size("ahead")).otherwise(differs - 1).cast("int").alias("len"))
+def match_lengths(candidates: DataFrame, pixels: DataFrame, longest: int = LONGEST, keys: list[str] = KEYS) -> DataFrame:
+    """Candidates with len: how many pixels from pos on equal those from from_pos on, up to `longest` (LONGEST at most).
+
+    Three looks ahead, each at 16 blocks: of 256 pixels, from where these differ of 16, and from there of one. Blocks of more than one pixel are
+    compared by 64-bit hashes; one that the end of the sequence cuts, or with a null pixel, equals none.
+    """
+    w = Window.partitionBy(*keys).orderBy("pos")
+    p = pixels.select(*keys, "pos", argb().alias("p1"))
+    for size in (1, 16, 256):
+        ahead = [F.lead(f"p{size}", size * i).over(w) for i in range(16)]
+        p = p.withColumn(f"a{size}", F.array(*ahead))
+        if size < 256:
+            p = p.withColumn(f"p{size * 16}", F.when(~F.exists(f"a{size}", lambda x: x.isNull()), F.xxhash64(f"a{size}", F.lit(size))))
+    out = candidates.withColumn("len", F.lit(0))
+    for size in (256, 16, 1):
+        at = lambda of, name: p.select(*keys, (F.col("pos")).alias(of), F.col(f"a{size}").alias(name))  # noqa: B023, E731
+        out = out.withColumns({"_at": F.col("pos") + F.col("len"), "_from": F.col("from_pos") + F.col("len")})
+        out = out.join(at("_at", "ahead"), [*keys, "_at"], "left").join(at("_from", "behind"), [*keys, "_from"], "left")
+        differs = F.array_position(F.zip_with("ahead", "behind", lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+        more = F.coalesce(F.when(differs == 0, 16).otherwise(differs - 1), F.lit(0)) * size
+        out = out.withColumn("len", (F.col("len") + more).cast("int")).drop("_at", "_from", "ahead", "behind")
+    return out.select(*keys, "pos", "from_pos", "dist", F.least("len", F.lit(longest)).alias("len"))
 
 
 def longest_match(lengths: DataFrame, least: int = 3, keys: list[str] = KEYS) -> DataFrame:

@@ -66,6 +66,28 @@ def test_parse_and_expand(spark):
     assert [r.error for r in M.backref_expand(bad).collect()] == ["bad_distance"]
 
 
+def test_match_lengths_in_full(spark):
+    """Lengths over 16 up to the format's 4,096, at the end of a sequence and over a mismatch; the longer of two long matches wins."""
+    long = [(k * 7919) % 9973 for k in range(900)]
+    colors = [*long, -1, *long[:20], -2, *long, -3, *[5] * 5000]
+    rows = [(1, p, 0, 0, (c >> 16) & 255, (c >> 8) & 255, c & 255, 255) for p, c in enumerate(colors)]
+    pixels = spark.createDataFrame(rows, PIXELS)
+    at = len(long) + 22
+    pairs = [(at, 0), (at, 901), (901, 0), (at + 1, 1), (at + 643, 643), (len(colors) - 4999, len(colors) - 5000), (len(colors) - 300, len(colors) - 301), (len(colors) - 1, 3)]
+    candidates = spark.createDataFrame([(1, p, f, p - f) for p, f in pairs], "image_id long, pos long, from_pos long, dist long")
+
+    def length(p, f):
+        n = 0
+        while n < M.LONGEST and p + n < len(colors) and colors[p + n] == colors[f + n]:
+            n += 1
+        return n
+
+    found = M.match_lengths(candidates, pixels)
+    assert {(r.pos, r.from_pos): r.len for r in found.collect()} == {(p, f): length(p, f) for p, f in pairs}
+    best = {r.pos: (r.dist, r.len) for r in M.longest_match(found).collect()}
+    assert best[at] == (at, 900) and max(n for _, n in best.values()) == M.LONGEST
+
+
 def test_too_many_colors(spark):
     p = spark.range(300).select(F.lit(1).cast("long").alias("image_id"), F.col("id").alias("pos"), F.col("id").cast("int").alias("x"), F.lit(0).alias("y"), (F.col("id") % 256).cast("int").alias("r"), F.expr("CAST(id div 256 AS INT)").alias("g"), F.lit(0).alias("b"), F.lit(255).alias("a"))
     palette = L.build_palette(p)
