@@ -16,8 +16,10 @@ from tessera.llm.common import chunks
 
 #: Fixed value: the public byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces and chunks of text whose encoding a worker keeps; beyond, the oldest half goes.
-KEPT_PIECES = 700_000
+#: Bytes of known encodings that a worker keeps, of pieces and of pieces in a row each; and the longest, in letters, that are kept.
+KEPT_BYTES, LONGEST_KEPT = 24 << 20, 64
+#: Token pairs whose compatibility a worker keeps.
+KEPT_PAIRS = 200_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -27,13 +29,34 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Kept:
+    """What a worker knows, bounded in bytes: two generations, of which the older goes when the younger holds half the bound."""
+
+    def __init__(self, most: int = KEPT_BYTES):
+        self.most, self.young, self.old, self.held = most, {}, {}, 0
+
+    def older(self, key: str) -> tuple[str, int, str] | None:
+        """What the older generation knows, which then counts as young."""
+        if (found := self.old.get(key)) is not None:
+            self.add(key, found)
+        return found
+
+    def add(self, key: str, value: tuple[str, int, str]) -> None:
+        if len(key) > LONGEST_KEPT:
+            return
+        if self.held >= self.most // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[key] = value
+        self.held += 340 + len(key) + len(value[0]) + (0 if value[2] is key else len(value[2]) + 60)  # objects and a dictionary's place, measured
+
+
 class Bpe:
     """One vocabulary. `encode_piece` is exact byte-pair encoding without merging anything.
 
     In byte-pair encoding every prefix of a piece has one encoding, and the encodings of prefixes extend each other along
     back-pointers: the last token of a prefix is the one vocabulary entry ending there that is compatible with the last
-    token of the prefix before it. Candidates come from an automaton over the vocabulary, whose suffix links list the
-    entries that end at each byte; two tokens are compatible when merging their joined bytes gives the two back.
+    token of the prefix before it. Candidates come from an automaton over the vocabulary (that of all entries
+    at once, by Aho and Corasick, in the place of a suffix automaton): its suffix links list the entries that end at each byte; two tokens are compatible when merging their joined bytes gives the two back.
     """
 
     def __init__(self, path: str):
@@ -57,8 +80,7 @@ class Bpe:
             self.automaton.add_word(b.decode("latin-1"), (len(b), i))
         self.automaton.make_automaton()
         self.agree: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[str, int, str]] = {}
-        self.chunks: dict[str, tuple[str, int, str]] = {}
+        self.known, self.rows = Kept(), Kept()
         self.blanks = re.compile(r"\s | \s").search
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
@@ -86,7 +108,7 @@ class Bpe:
                 undone, x = (px[2], 0), px[1]
             else:
                 undone, y = (py[2], 1), py[0]
-        if len(self.agree) > 2_000_000:
+        if len(self.agree) >= KEPT_PAIRS:
             self.agree.clear()
         self.agree[a, b] = ok
         return ok
@@ -106,21 +128,19 @@ class Bpe:
         return out[::-1]
 
     def _piece(self, piece: str) -> tuple[str, int, str]:
-        ids = self.encode_piece(piece.encode())
-        if len(self.known) >= KEPT_PIECES:
-            for old in list(self.known)[: KEPT_PIECES // 2]:
-                del self.known[old]
-        decoded = self.decode(ids)
-        found = self.known[piece] = ",".join(map(str, ids)), len(ids), piece if decoded == piece else decoded
+        if (found := self.known.young.get(piece) or self.known.older(piece)) is None:
+            ids = self.encode_piece(piece.encode())
+            decoded = self.decode(ids)
+            found = ",".join(map(str, ids)), len(ids), piece if decoded == piece else decoded
+            self.known.add(piece, found)
         return found
 
-    def _chunk(self, chunk: str) -> tuple[str, int, str]:
+    def _row(self, row: str) -> tuple[str, int, str]:
         """A blank and the text up to the next one, which no piece crosses."""
-        ids, counts, decoded = zip(*[self.known.get(p) or self._piece(p) for p in self.find(f" {chunk}")], strict=True)
-        if len(self.chunks) >= KEPT_PIECES:
-            for old in list(self.chunks)[: KEPT_PIECES // 2]:
-                del self.chunks[old]
-        found = self.chunks[chunk] = ",".join(ids), sum(counts), "".join(decoded)
+        if (found := self.rows.young.get(row) or self.rows.older(row)) is None:
+            ids, counts, decoded = zip(*map(self._piece, self.find(f" {row}")), strict=True)
+            found = ",".join(ids), sum(counts), "".join(decoded)
+            self.rows.add(row, found)
         return found
 
     def pieces(self, text: str) -> list[tuple[str, int, str]]:
@@ -134,14 +154,12 @@ class Bpe:
             if k % 2:
                 out.append((str(self.special[part]), 1, part))
             elif self.blanks(part) or part[:1] == " " or part[-1:] == " ":  # white space in a row takes its place among pieces from what is around it
-                out += [self.known.get(p) or self._piece(p) for p in self.find(part)]
+                out += map(self._piece, self.find(part))
             else:
                 head, *cut = part.split(" ")
-                out += [self.known.get(p) or self._piece(p) for p in self.find(head)]
-                found = list(map(self.chunks.get, cut))
-                if None in found:
-                    found = [f or self.chunks.get(c) or self._chunk(c) for f, c in zip(found, cut, strict=True)]
-                out += found
+                out += map(self._piece, self.find(head))
+                found = list(map(self.rows.young.get, cut))
+                out += [f or self._row(c) for f, c in zip(found, cut, strict=True)] if None in found else found
         return out
 
     def encode(self, text: str) -> list[int]:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +20,12 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD6E8FEB86659FD93 | 1
 _MASK = (1 << 64) - 1
-_BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Words of more bytes are hashed one by one; powers of more words are not kept.
+_LONG_WORD, _KEPT_POWERS = 64, 1 << 17
+#: Of eight bytes read at once, the first so many.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -33,24 +36,16 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, kept and extended as needed."""
+@lru_cache(maxsize=4)
+def _kept_powers(base: int, size: int) -> np.ndarray:
+    steps = np.full(size, base, dtype=np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n >= len(self.up):
-            size = max(n + 1, 2 * len(self.up), 1 << 16)
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self.up, self.down
-
-
-_BYTES, _WORDS = _Powers(_BASE), _Powers(_WORD_BASE)
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of a base modulo 2**64; long tables are made anew, so that a worker holds 1 MB of each at most."""
+    return _kept_powers(base, _KEPT_POWERS)[:n] if n <= _KEPT_POWERS else _kept_powers.__wrapped__(base, n)
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,23 +56,49 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of its bytes, then mixed with its length."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    up, down = _BYTES.upto(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: its length, then its bytes, eight at a time, each step mixed; of words over 64 bytes, xxh3.
+
+    No sum or polynomial of the bytes stands between a word and its hash, so words of regular structure do not meet.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64), 40 + seed)
+    if not len(size):
+        return out
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    at = np.flatnonzero(size <= _LONG_WORD)
+    for k in range(0, _LONG_WORD, 8):
+        if k:
+            at = at[size[at] > k]
+        if not len(at):
+            break
+        out[at] = mix(out[at] ^ (eight[starts[at] + k] & _FIRST[np.minimum(size[at] - k, 8)]), seed)
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    return out
+
+
+def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of every k consecutive words, from the words' hashes, each step mixed."""
+    n = len(words) - k + 1
+    out = mix(words[:n])
+    for i in range(1, k):
+        out = mix(out ^ words[i : i + n], i)
+    return out
 
 
 class SpanHasher:
-    """Hashes of spans of consecutive words, from the words' hashes, in constant time a span."""
+    """Hashes of spans of consecutive words, from the words' hashes, in constant time a span: polynomials modulo 2**64.
+
+    Long sequences of regular structure can share a hash: spans meet by these, and are then compared by something else.
+    """
 
     def __init__(self, words: np.ndarray):
-        self.up, self.down = _WORDS.upto(len(words) + 1)
+        self.down = _powers(pow(_WORD_BASE, -1, 1 << 64), len(words) + 1)
         self.sums = np.zeros(len(words) + 1, dtype=np.uint64)
-        np.cumsum(words * self.up[: len(words)], out=self.sums[1:])
+        np.cumsum(words * _powers(_WORD_BASE, len(words) + 1)[: len(words)], out=self.sums[1:])
 
     def spans(self, first: np.ndarray, past: np.ndarray, salt: int = 0) -> np.ndarray:
         return mix((self.sums[past] - self.sums[first]) * self.down[first] + (past - first).astype(np.uint64), salt)
@@ -105,29 +126,16 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) ->
         yield batch.slice(first), texts[first:]
 
 
-def by_chunks(fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], most: int = 1 << 20) -> Callable:
-    """A mapInArrow function from one on parts of batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in chunks(batch, most=most):
-                yield fn(part, texts)
-
-    return run
-
-
 def remainder(doc_id: Column | str, n: int) -> Column:
     """crc32 of an id as text, modulo n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests on one machine), a folder of our own."""
+    """The folder that driver and executors share, `spark.checkpoint.dir`. Where it is unset there is none to write to, and this says so."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return found
 
 

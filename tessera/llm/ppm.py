@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, chunks, mix, remainder, signed, word_bounds, word_hashes, written
+from tessera.llm.common import LOWER, mix, remainder, signed, texts_of, word_bounds, word_hashes, written
 
 ORDER = 5
-#: Capacity of the trie: the most contexts-and-symbols of the highest order that a model holds; see `fit`.
-MOST_NODES = 3_000_000
 #: Symbols are bytes, and one that stands before a text and ends it.
 EDGE, ALPHABET, BITS = 256, 257, 9
 END_WORD = -1
-#: Distinct items that a task counts before it hands them on.
-HELD = 1_500_000
+#: Bytes of text, and texts, of a block, what one task scores at a time; bytes of text for each shard of what is counted.
+BLOCK_BYTES, BLOCK_TEXTS, SHARD_BYTES = 16 << 20, 100_000, 8 << 20
+#: What is counted: words, and byte contexts with their symbol.
+WORDS, CONTEXTS = 0, 1
 
 
 def packed(text: bytes, order: int = ORDER) -> np.ndarray:
@@ -62,12 +65,14 @@ class Trie:
     count. After the shortest context, the symbols left share alike.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER, pairs: tuple[np.ndarray, np.ndarray] | None = None):
+        """keys: as `packed` gives them; they may be only those of some pairs of nearest symbols, if `pairs` holds the keys and counts of order 1 of all."""
         self.order = order
-        self.keys, self.counts = [np.zeros(0)] * (order + 1), [np.zeros(0)] * (order + 1)
+        self.keys, self.counts = [np.zeros(0, dtype=np.int64)] * (order + 1), [np.zeros(0, dtype=np.int64)] * (order + 1)
         self.keys[order], self.counts[order] = _summed(keys, counts)
         for k in range(order - 1, -1, -1):
-            self.keys[k], self.counts[k] = _summed(_low(self.keys[k + 1], k + 1), self.counts[k + 1])
+            whole = k == 1 and pairs is not None
+            self.keys[k], self.counts[k] = pairs if whole else _summed(_low(self.keys[k + 1], k + 1), self.counts[k + 1])
         self.contexts, self.total, self.kinds, self.ruled = [], [], [], []
         for k in range(order + 1):
             context = self.keys[k] >> BITS
@@ -105,152 +110,244 @@ class Trie:
         return out
 
 
-def _emit(words: list, found: list) -> Iterator[pa.RecordBatch]:
-    for kind, parts in ((0, words), (1, found)):
-        if parts:
-            keys, n = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
-            for i in range(0, len(keys), 100_000):
-                part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, dtype=np.int32)), pa.array(keys[part]), pa.array(n[part])], names=["kind", "key", "n"])
-
-
 def _words(text: bytes) -> np.ndarray:
     data = LOWER[np.frombuffer(text, dtype=np.uint8)]
     h = signed(word_hashes(data, *word_bounds(data)))
     return np.append(np.where(h == END_WORD, END_WORD - 1, h), END_WORD)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and of byte contexts of training texts."""
-    words, found, held = [], [], 0
-    for batch in batches:
-        for _, texts in chunks(batch, most=2 << 20):
-            for into, items in ((words, [_words(t) for t in texts]), (found, [packed(t) for t in texts])):
-                keys, n = np.unique(np.concatenate(items), return_counts=True)
-                into.append((keys, n))
-                held += len(keys)
-            if held > HELD:
-                words, found = [_summed(np.concatenate([k for k, _ in x]), np.concatenate([n for _, n in x])) for x in (words, found)]
-                words, found = [words], [found]
-                held = len(words[0][0]) + len(found[0][0])
-                if held > HELD // 2:
-                    yield from _emit(words, found)
-                    words, found, held = [], [], 0
-    yield from _emit(words, found)
-
-
-def fit(counts: DataFrame, most_nodes: int = MOST_NODES) -> Trie:
-    """The trie of all counted training text. Its capacity is fixed, as in any such model: of the highest order, the nodes
-    with the highest counts stay, by the lowest count at which they fit (1 while all fit). Shorter contexts are summed from
-    what stays. So at most `most_nodes` rows of two numbers come to the driver and go out again, whatever the corpus."""
-    nodes = counts.filter("kind = 1")
-    sizes = nodes.groupBy(F.least("n", F.lit(1_000_000)).alias("c")).agg(F.count("*").alias("size"))
-    least, fit_ = 1, 0
-    for r in sizes.orderBy(F.desc("c")).limit(1_000_000).toLocalIterator():
-        fit_ += r["size"]
-        if fit_ > most_nodes:
-            least = r["c"] + 1
-            break
-    table = nodes.filter(F.col("n") >= least).select("key", "n").toArrow()
-    return Trie(table.column("key").to_numpy(), table.column("n").to_numpy())
-
-
-_POSTINGS = "key long, block long, docs array<int>, ids array<long>"
-
-
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each distinct word of a block of texts: which of these hold it, once for each time; and one row with the texts' ids."""
-    for batch in batches:
-        for part, texts in chunks(batch, most=16 << 20):
-            items = [_words(t) for t in texts]
-            docs = np.repeat(np.arange(len(items), dtype=np.int32), [len(x) for x in items])
-            keys = np.concatenate(items)
-            by = np.argsort(keys, kind="stable")
-            keys, docs = keys[by], docs[by]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            ids = part.column("row").to_numpy()
-            block = int(signed(mix(np.append(ids, len(ids)).view(np.uint64), 9).sum(keepdims=True))[0])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)).astype(np.int32)), pa.array(docs))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(np.full(len(first), block)), lists, pa.nulls(len(first), pa.list_(pa.int64()))], names=["key", "block", "docs", "ids"])
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([block]), pa.nulls(1, pa.list_(pa.int32())), pa.array([ids.tolist()], pa.list_(pa.int64()))], names=["key", "block", "docs", "ids"])
-
-
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of log10(c + 1) and numbers of known words of each text, from all rows of its block."""
-    sums: dict[int, list[np.ndarray]] = {}
-    ids: dict[int, list[list[int]]] = {}
-
-    def add(block: int, *more: np.ndarray) -> None:
-        held = sums.setdefault(block, [np.zeros(0), np.zeros(0)])
-        for k, x in enumerate(more):
-            size = max(len(held[k]), len(x))
-            held[k] = np.pad(held[k], (0, size - len(held[k]))) + np.pad(x, (0, size - len(x)))
-
-    for batch in batches:
-        named = batch.filter(pc.is_valid(batch.column("ids")))
-        for block, own in zip(named.column("block").to_pylist(), named.column("ids").to_pylist(), strict=True):
-            ids.setdefault(block, []).append(own)
-        rest = batch.filter(pc.is_valid(batch.column("docs")))
-        if not rest.num_rows:
-            continue
-        lists, blocks, c = rest.column("docs"), rest.column("block").to_numpy(), rest.column("c").to_numpy()
-        times, docs = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-        base, known, of = (np.repeat(x, times) for x in (np.log10(c + 1.0), (c > 0).astype(np.float64), blocks))
-        for block in np.unique(blocks).tolist():
-            here = of == block
-            add(block, np.bincount(docs[here], base[here]), np.bincount(docs[here], known[here]))
-    for block, each in ids.items():  # a block of repeated rows may come more than once: its sums hold all of them
-        for own in each:
-            part = [x / len(each) for x in sums[block]]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(part[0]), pa.array(np.rint(part[1]).astype(np.int64))], names=["row", "base", "known"])
-
-
-def score_texts(docs: DataFrame) -> DataFrame:
+_BLOCK = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, packed binary"
+
+
+def _blocks(block_bytes: int):
+    """Neighbouring rows as one: ids, which are held out, sizes in bytes, and the texts as one zstandard frame. The table is written, so a block's number holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor(level=1)
+        base = TaskContext.get().partitionId() << 32
+        ids, held, texts, size, n = [], [], [], 0, 0
+
+        def block() -> pa.RecordBatch:
+            cells = [[base + n], [ids], [held], [[len(t) for t in texts]], [codec.compress(b"".join(texts))]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["block", "doc_ids", "held", "sizes", "packed"])
+
+        for batch in batches:
+            for i, h, t in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts_of(batch.column("text")), strict=True):
+                if texts and (size + len(t) > block_bytes or len(texts) >= BLOCK_TEXTS):
+                    yield block()
+                    ids, held, texts, size, n = [], [], [], 0, n + 1
+                ids.append(i), held.append(h), texts.append(t)
+                size += len(t)
+        if texts:
+            yield block()
+
+    return run
+
+
+def _texts(packed_: bytes, sizes: list[int]) -> list[bytes]:
+    whole, ends = zstandard.ZstdDecompressor().decompress(packed_, max_output_size=max(1, sum(sizes))), np.cumsum([0, *sizes]).tolist()
+    return [whole[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _runs(texts: list[bytes], most: int = 2 << 20) -> Iterator[slice]:
+    """Neighbouring texts of about `most` bytes together."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(t)
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
+def _distinct(texts: list[bytes], held: list[bool], of) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct items of some texts, ascending, with how often training texts hold them."""
+    parts = []
+    for out in (False, True):
+        own = [t for t, h in zip(texts, held, strict=True) if h == out]
+        for run in _runs(own):
+            keys, n = np.unique(np.concatenate([of(t) for t in own[run]]), return_counts=True)
+            parts.append((keys, np.zeros_like(n) if out else n))
+    return _summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+
+
+def _dealt(keys: np.ndarray, n: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64), 21) % np.uint64(n)).astype(np.int64)
+
+
+def _cut(shard: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, slice]]]:
+    """Order by shard, and each shard's slice of it."""
+    by = np.argsort(shard, kind="stable")
+    shard = shard[by]
+    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    return by, zip(shard[first].tolist(), map(slice, first.tolist(), np.append(first[1:], len(shard)).tolist()), strict=True)
+
+
+_COUNTED = "kind int, shard long, block long, keys binary, n binary, trained long"
+
+
+def _counted(shards: int):
+    """One row for each kind, block and shard: the block's distinct items of the shard, ascending, and how often its training texts hold each. Of kind 2: its contexts of one symbol."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, held, sizes, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "held", "sizes", "packed")), strict=True):
+                texts = _texts(raw, sizes)
+                for kind, of in ((WORDS, _words), (CONTEXTS, packed)):
+                    keys, n = _distinct(texts, held, of)
+                    by, cuts = _cut(_dealt(keys, shards))
+                    own, times = keys[by], n[by]
+                    rows = [(kind, s, block, own[c].tobytes(), times[c].astype(np.int32 if times[c].max() < 1 << 31 else np.int64).tobytes(), int(times[c].sum())) for s, c in cuts]
+                    if kind == CONTEXTS:
+                        low, times = _summed(_low(keys[n > 0], 2), n[n > 0])
+                        rows.append((2, 0, block, low.tobytes(), times.tobytes(), 0))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], names=["kind", "shard", "block", "keys", "n", "trained"])
+
+    return run
+
+
+def _longs(cells: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.int64) for x in cells.to_pylist()]
+
+
+def _counts(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of a shard's rows: each row's keys; and all distinct keys, ascending, with their counts."""
+    keys = _longs(table.column("keys"))
+    n = [np.frombuffer(x, dtype=np.int64 if len(x) == 8 * len(k) else np.int32).astype(np.int64) for x, k in zip(table.column("n").to_pylist(), keys, strict=True)]
+    return keys, *_summed(np.concatenate(keys), np.concatenate(n))
+
+
+_ANSWER = "block long, kind int, shard long, values binary, distinct_words long"
+
+
+def _answers(table: pa.Table, kind: int, values: list[np.ndarray], distinct: int = 0) -> pa.Table:
+    """What a shard gives back to each block: the value of each of its items, in their order."""
+    n = table.num_rows
+    raw = [zstandard.compress(v.tobytes(), 1) for v in values]
+    return pa.table({"block": table.column("block"), "kind": pa.array([kind] * n, pa.int32()), "shard": table.column("shard"), "values": pa.array(raw, pa.binary()), "distinct_words": pa.array([distinct] + [0] * (n - 1), pa.int64())})
+
+
+def _word_answers(table: pa.Table) -> pa.Table:
+    """Each word's count in all training texts."""
+    rows, keys, n = _counts(table)
+    return _answers(table, WORDS, [n[np.searchsorted(keys, k)] for k in rows], int((n > 0).sum()))
+
+
+def _pair_shard(keys: np.ndarray, n: int) -> np.ndarray:
+    return _dealt((keys >> BITS) & ((1 << (2 * BITS)) - 1), n)
+
+
+def _totals(pair_shards: int):
+    """The distinct contexts with symbols of a shard and their counts, dealt by the two symbols before the last: all that one context's probabilities rest on, but for the contexts of one symbol, comes together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, keys, n = _counts(table)
+        by, cuts = _cut(_pair_shard(keys, pair_shards))
+        keys, n, shard = keys[by], n[by], table.column("shard")[0].as_py()
+        rows = [(p, shard, keys[c].tobytes(), n[c].tobytes()) for p, c in cuts]
+        return pa.table({"pair_shard": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary()), "n": pa.array([r[3] for r in rows], pa.binary())})
+
+    return run
+
+
+def _asked(pairs: tuple[np.ndarray, np.ndarray]):
+    """log10 probabilities of the contexts' symbols of one pair shard."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, n = (_longs(table.column(c)) for c in ("keys", "n"))
+        all_, counts = np.concatenate(keys), np.concatenate(n)
+        value = Trie(all_[counts > 0], counts[counts > 0], pairs=pairs).log10(all_)
+        ends = np.cumsum([0, *map(len, keys)])
+        return pa.table({"shard": table.column("shard"), "keys": table.column("keys"), "values": pa.array([value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+
+    return run
+
+
+def _context_answers(asked: pa.Table, found: pa.Table) -> pa.Table:
+    keys = np.concatenate(_longs(found.column("keys")))
+    values = np.concatenate([np.frombuffer(x) for x in found.column("values").to_pylist()])
+    by = np.argsort(keys)
+    keys, values = keys[by], values[by]
+    return _answers(asked, CONTEXTS, [values[np.searchsorted(keys, k)] for k in _longs(asked.column("keys"))])
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+def _scored(shards: int):
+    """The sums of each text of a block, whose items are found again, in the order in which their values came."""
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, held, sizes, raw = (block.column(c)[0].as_py() for c in ("doc_ids", "held", "sizes", "packed"))
+        texts, sums, n_tokens = _texts(raw, sizes), {}, None
+        for kind, of, dtype in ((WORDS, _words, np.int64), (CONTEXTS, packed, np.float64)):
+            own = sorted((s, v) for k, s, v in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "values")), strict=True) if k == kind)
+            keys, _ = _distinct(texts, held, of)
+            keys = keys[_cut(_dealt(keys, shards))[0]]
+            value = np.concatenate([np.frombuffer(zstandard.decompress(v), dtype=dtype) for _, v in own])
+            index, parts = pd.Index(keys), []
+            for run in _runs(texts):
+                items = [of(t) for t in texts[run]]
+                found, first = value[index.get_indexer(np.concatenate(items))], np.cumsum([0, *map(len, items)])[:-1]
+                parts.append([np.add.reduceat(x, first) for x in ([np.log10(found + 1.0), found > 0, np.ones(len(found))] if kind == WORDS else [found])])
+            sums[kind] = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        base, known, n_tokens = sums[WORDS]
+        whole = lambda x: pa.array(np.asarray(x, dtype=np.int64))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": whole(n_tokens), "n_known": whole(known), "base": pa.array(base), "score": pa.array(sums[CONTEXTS][0])})
+
+    return run
+
+
+def _pairs(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols after one symbol, with counts: at most 257 * 257 rows, which go to the driver and out again."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, n in zip(_longs(batch.column("keys")), _longs(batch.column("n")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "times"])
+
+    rows = counted.filter("kind = 2").select("keys", "n").mapInArrow(each, "key long, times long")
+    table = rows.groupBy("key").agg(F.sum("times").alias("times")).orderBy("key").toArrow()
+    return table.column("key").to_numpy(), table.column("times").to_numpy()
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(remainder(doc_id, 7) == 2, F.lit(False))
+
+
+def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per row of docs (doc_id LONG, text STRING): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training texts are those whose crc32(doc_id) mod 7 is not 2. score is the sum of log10 probabilities of a text's bytes
-    (A-Z as they are) and of its end by the trie of all training texts; base_score that of its words, A-Z lower-cased, and
+    (A-Z as they are) and of its end by the trie of all training texts, which keeps every context; base_score that of its words, A-Z lower-cased, and
     their end, by add-one word frequencies. Null text is empty: one token, the end. A null doc_id is not held out and trains. Repeated rows
-    train as often as they occur and are each returned. Without training text, frequencies are those of no count, and bytes share alike.
+    train as often as they occur and are each returned. Without training text, frequencies are those of no count, and bytes share alike. Other columns are ignored.
 
-    Words meet their counts by a shuffle of postings (word, texts that hold it), one a word and block of 16 MB of text; a second
-    one by block brings the counts together for the block's texts. No vocabulary is gathered anywhere. Word hashes have 64 bits.
+    Neither words nor trie are gathered anywhere. Texts stand in blocks of 16 MB. A block sends its distinct words and six-byte
+    sequences, with counts, to shards, of which there are as many as the input has 8 MB; a row is what one block has for one shard, so it never takes more
+    rows than items. A shard adds up and answers: counts for words at once; for bytes, the shards' distinct sequences meet by their two nearest
+    context bytes, where the trie of those contexts gives all their probabilities (the 257 * 257 contexts of one byte are sent along), which go back to the shards.
+    The answers meet each block's texts by its number. Words are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(remainder(doc_id, 7) == 2, F.lit(False)).alias("held_out"), F.xxhash64(doc_id, text, F.lit("row")).alias("row"))
-    counted = rows.filter("NOT held_out").select("text").mapInArrow(_count, "kind int, key long, n long")
-    counts = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    size = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = spark.sparkContext.broadcast(fit(counts))
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = model.value
-        known, values = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for batch in batches:
-            for part, texts in chunks(batch, most=2 << 20):
-                keys = [packed(t) for t in texts]
-                distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-                place = _lookup(known, distinct)
-                value = np.zeros(len(distinct))
-                value[place >= 0] = values[place[place >= 0]]
-                fresh = place < 0
-                value[fresh] = trie.log10(distinct[fresh])
-                if len(known) < 2_000_000:  # what earlier texts asked is kept
-                    known, values = np.append(known, distinct[fresh]), np.append(values, value[fresh])
-                    by = np.argsort(known)
-                    known, values = known[by], values[by]
-                ends = np.cumsum([len(k) for k in keys])
-                score = np.add.reduceat(value[at], np.append(0, ends[:-1]))
-                n = np.array([len(_words(t)) for t in texts], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("row", "doc_id", "held_out")] + [pa.array(n), pa.array(score)], names=["row", "doc_id", "held_out", "n_tokens", "score"])
-
-    scored = rows.mapInArrow(code, "row long, doc_id long, held_out boolean, n_tokens long, score double")
-    lists = rows.select("row", "text").mapInArrow(_postings, _POSTINGS)
-    met = lists.join(counts.filter("kind = 0").select("key", F.col("n").alias("c")).hint("merge"), "key", "left").select("block", F.coalesce("c", F.lit(0)).alias("c"), "docs", "ids")
-    partial = met.repartition("block").mapInArrow(_partial, "row long, base double, known long").groupBy("row").agg(F.sum("base").alias("base"), F.sum("known").alias("known"))
-    times = rows.groupBy("row").agg(F.count("*").alias("times"))
-    sums = partial.join(times, "row").select("row", (F.col("base") / F.col("times")).alias("base"), F.expr("known div times").alias("known"))
-    each = float(np.log10(size[0] + size[1] + 1))
-    return scored.join(sums, "row").select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(int(size[0])).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), text.alias("text"))
+    blocks = written(rows.mapInArrow(_blocks(block_bytes), _BLOCK), "blocks")
+    size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    shards = max(32, -(-size // shard_bytes))
+    pair_shards = max(32, 4 * math.isqrt(shards))  # distinct contexts grow with less than the input
+
+    counted = written(blocks.mapInArrow(_counted(shards), _COUNTED), "counted")
+    contexts = counted.filter(F.col("kind") == CONTEXTS)
+    totals = contexts.select("shard", "keys", "n").groupBy("shard").applyInArrow(_totals(pair_shards), "pair_shard long, shard long, keys binary, n binary")
+    values = totals.groupBy("pair_shard").applyInArrow(_asked(_pairs(counted)), "shard long, keys binary, values binary")
+    by_context = contexts.select("shard", "block", "keys").groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(_context_answers, _ANSWER)
+    by_word = counted.filter(F.col("kind") == WORDS).select("shard", "block", "keys", "n").groupBy("shard").applyInArrow(_word_answers, _ANSWER)
+    answers = written(by_word.union(by_context), "answers")
+
+    trained = counted.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0]
+    distinct = answers.agg(F.coalesce(F.sum("distinct_words"), F.lit(0))).first()[0]
+    scored = blocks.groupBy("block").cogroup(answers.select("block", "kind", "shard", "values").groupBy("block")).applyInArrow(_scored(shards), _SCORED)
+    each = float(np.log10(trained + distinct + 1))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(trained)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score")

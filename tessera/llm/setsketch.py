@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, SpanHasher, chunks, mix, signed, texts_of, word_bounds, word_hashes, written
+from tessera.llm.common import LOWER, chunks, mix, sequence_hashes, signed, texts_of, word_bounds, word_hashes, written
 from tessera.llm.components import connected_components
 
 REGISTERS, ROWS, SHINGLE = 128, 4, 5
@@ -34,9 +34,7 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     words = word_hashes(data, starts, ends)
     if not len(words):
         return words
-    k = min(k, len(words))
-    first = np.arange(len(words) - k + 1)
-    return np.unique(SpanHasher(words).spans(first, first + k))
+    return np.unique(sequence_hashes(words, min(k, len(words))))
 
 
 def registers(items: np.ndarray) -> np.ndarray:

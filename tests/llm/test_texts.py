@@ -87,6 +87,23 @@ def test_near_duplicates_crowded_buckets(spark):
     assert {r.doc_id: r.component_id for r in found if r.doc_id != r.component_id} == {1000 + i: i for i in range(40)}
 
 
+def _thue_morse(n, other=0):
+    return "".join("ab"[(bin(i).count("1") + other) % 2] for i in range(n))
+
+
+def test_words_of_regular_structure_stay_apart(spark):
+    """Words that polynomials modulo a power of two take for the same are neither near copies nor repeats."""
+    x, y = _thue_morse(2048), _thue_morse(2048, 1)
+    short = spark.createDataFrame([(1, f"one two three four {x}"), (2, f"one two three four {y}")], "doc_id long, text string")
+    assert [(r.doc_id, r.component_id) for r in setsketch.near_duplicates(short).orderBy("doc_id").collect()] == [(1, 1), (2, 2)]
+    words = " ".join(f"w{i}" for i in range(34))
+    long_ = [(1, f"{words} {x}"), (2, f"{words} {y}")]
+    # and sequences of two words of such structure
+    long_ += [(3, " ".join(_thue_morse(2048))), (4, " ".join(_thue_morse(2048, 1)))]
+    found = recompression.digests(recompression.remove_repeats(spark.createDataFrame(long_, "doc_id long, text string"))).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == {i + 1: r for i, r in enumerate(recompression.reference([t for _, t in long_]))}
+
+
 def test_near_duplicates_odd(odd, none):
     rows = setsketch.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and {(r.doc_id, r.n_shingles) for r in rows} >= {(1, 0), (2, 0), (3, 0), (4, 1), (None, 1), (6, 1)}
@@ -155,6 +172,25 @@ def test_bpe_equals_library(odd, none, docs):
     assert bpe.encode_digests(none).count() == 0
 
 
+def test_bpe_cache_is_bounded():
+    """What a worker keeps stays under its bound in bytes, measured, and what it forgot it encodes alike."""
+    import tracemalloc
+
+    tracemalloc.start()
+    kept, before = bpe.Kept(4 << 20), tracemalloc.get_traced_memory()[0]
+    for i in range(60_000):
+        kept.add(f"piece{i}", (f"{i},{i + 1}", 2, f"piece{i}!"))
+    assert tracemalloc.get_traced_memory()[0] - before <= 5 << 20
+    tracemalloc.stop()
+    kept.add("x" * 65, ("1", 1, "x"))
+    assert kept.older("piece0") is None and "x" * 65 not in kept.young and len(kept.old) > 1000
+    assert kept.older(next(iter(kept.old))) is not None
+    own = bpe.Bpe(bpe.default_path())
+    own.known, own.rows = bpe.Kept(20_000), bpe.Kept(20_000)
+    texts = [" ".join(f"w{i % 97}{i % 13}" for i in range(k, k + 400)) for k in range(5)] * 2
+    assert [own.encode(t) for t in texts] == [bpe.loaded(bpe.default_path()).encode(t) for t in texts]
+
+
 def test_bpe_random_pieces():
     from tokenizers import Tokenizer
 
@@ -191,6 +227,16 @@ def test_base_score_brute_force(docs):
         assert -math.inf < r.score < 0
 
 
+def test_score_brute_force(docs):
+    """Scores from many blocks and shards are those of one trie over all training text, whatever the blocks."""
+    texts = [(r.doc_id, r.text.encode()) for r in docs.collect()]
+    trained = np.concatenate([ppm.packed(t) for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2])
+    trie = ppm.Trie(*np.unique(trained, return_counts=True))
+    expected = {i: trie.log10(ppm.packed(t)).sum() for i, t in texts}
+    found = {r.doc_id: r.score for r in ppm.score_texts(docs.repartition(3), block_bytes=20_000, shard_bytes=5_000).collect()}
+    assert found.keys() == expected.keys() and all(math.isclose(found[i], expected[i], rel_tol=1e-9) for i in expected)
+
+
 def test_scores_odd(odd, none):
     rows = ppm.score_texts(odd).collect()
     assert len(rows) == len(ODD) and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
