@@ -123,7 +123,7 @@ def _blocks(block_bytes: int):
     """Neighbouring rows as one: ids, which are held out, sizes in bytes, and the texts as one zstandard frame. The table is written, so a block's number holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = zstandard.ZstdCompressor(level=1)
+        codec = zstandard.ZstdCompressor(level=3)
         base = TaskContext.get().partitionId() << 32
         ids, held, texts, size, n = [], [], [], 0, 0
 
@@ -199,23 +199,26 @@ def _counted(shards: int):
                     keys, n = _distinct(texts, held, of)
                     by, cuts = _cut(_dealt(keys, shards))
                     own, times = keys[by], n[by]
-                    rows = [(kind, s, block, own[c].tobytes(), times[c].astype(np.int32 if times[c].max() < 1 << 31 else np.int64).tobytes(), int(times[c].sum())) for s, c in cuts]
+                    rows = [(kind, s, block, _small(own[c]), _small(times[c]), int(times[c].sum())) for s, c in cuts]
                     if kind == CONTEXTS:
                         low, times = _summed(_low(keys[n > 0], 2), n[n > 0])
-                        rows.append((2, 0, block, low.tobytes(), times.tobytes(), 0))
+                        rows.append((2, 0, block, _small(low), _small(times), 0))
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], names=["kind", "shard", "block", "keys", "n", "trained"])
 
     return run
 
 
-def _longs(cells: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=np.int64) for x in cells.to_pylist()]
+def _small(x: np.ndarray) -> bytes:
+    return zstandard.compress(x.tobytes(), 1)
+
+
+def _large(cells: pa.ChunkedArray | pa.Array, dtype: type = np.int64) -> list[np.ndarray]:
+    return [np.frombuffer(zstandard.decompress(x), dtype=dtype) for x in cells.to_pylist()]
 
 
 def _counts(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Of a shard's rows: each row's keys; and all distinct keys, ascending, with their counts."""
-    keys = _longs(table.column("keys"))
-    n = [np.frombuffer(x, dtype=np.int64 if len(x) == 8 * len(k) else np.int32).astype(np.int64) for x, k in zip(table.column("n").to_pylist(), keys, strict=True)]
+    keys, n = _large(table.column("keys")), _large(table.column("n"))
     return keys, *_summed(np.concatenate(keys), np.concatenate(n))
 
 
@@ -225,8 +228,7 @@ _ANSWER = "block long, kind int, shard long, values binary, distinct_words long"
 def _answers(table: pa.Table, kind: int, values: list[np.ndarray], distinct: int = 0) -> pa.Table:
     """What a shard gives back to each block: the value of each of its items, in their order."""
     n = table.num_rows
-    raw = [zstandard.compress(v.tobytes(), 1) for v in values]
-    return pa.table({"block": table.column("block"), "kind": pa.array([kind] * n, pa.int32()), "shard": table.column("shard"), "values": pa.array(raw, pa.binary()), "distinct_words": pa.array([distinct] + [0] * (n - 1), pa.int64())})
+    return pa.table({"block": table.column("block"), "kind": pa.array([kind] * n, pa.int32()), "shard": table.column("shard"), "values": pa.array(map(_small, values), pa.binary()), "distinct_words": pa.array([distinct] + [0] * (n - 1), pa.int64())})
 
 
 def _word_answers(table: pa.Table) -> pa.Table:
@@ -246,7 +248,7 @@ def _totals(pair_shards: int):
         _, keys, n = _counts(table)
         by, cuts = _cut(_pair_shard(keys, pair_shards))
         keys, n, shard = keys[by], n[by], table.column("shard")[0].as_py()
-        rows = [(p, shard, keys[c].tobytes(), n[c].tobytes()) for p, c in cuts]
+        rows = [(p, shard, _small(keys[c]), _small(n[c])) for p, c in cuts]
         return pa.table({"pair_shard": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary()), "n": pa.array([r[3] for r in rows], pa.binary())})
 
     return run
@@ -256,21 +258,20 @@ def _asked(pairs: tuple[np.ndarray, np.ndarray]):
     """log10 probabilities of the contexts' symbols of one pair shard."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, n = (_longs(table.column(c)) for c in ("keys", "n"))
+        keys, n = (_large(table.column(c)) for c in ("keys", "n"))
         all_, counts = np.concatenate(keys), np.concatenate(n)
         value = Trie(all_[counts > 0], counts[counts > 0], pairs=pairs).log10(all_)
         ends = np.cumsum([0, *map(len, keys)])
-        return pa.table({"shard": table.column("shard"), "keys": table.column("keys"), "values": pa.array([value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+        return pa.table({"shard": table.column("shard"), "keys": table.column("keys"), "values": pa.array([_small(value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
 
     return run
 
 
 def _context_answers(asked: pa.Table, found: pa.Table) -> pa.Table:
-    keys = np.concatenate(_longs(found.column("keys")))
-    values = np.concatenate([np.frombuffer(x) for x in found.column("values").to_pylist()])
+    keys, values = (np.concatenate(_large(found.column(c), kind)) for c, kind in (("keys", np.int64), ("values", np.float64)))
     by = np.argsort(keys)
     keys, values = keys[by], values[by]
-    return _answers(asked, CONTEXTS, [values[np.searchsorted(keys, k)] for k in _longs(asked.column("keys"))])
+    return _answers(asked, CONTEXTS, [values[np.searchsorted(keys, k)] for k in _large(asked.column("keys"))])
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
@@ -286,7 +287,7 @@ def _scored(shards: int):
             own = sorted((s, v) for k, s, v in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "values")), strict=True) if k == kind)
             keys, _ = _distinct(texts, held, of)
             keys = keys[_cut(_dealt(keys, shards))[0]]
-            value = np.concatenate([np.frombuffer(zstandard.decompress(v), dtype=dtype) for _, v in own])
+            value = np.concatenate([np.frombuffer(zstandard.decompress(v), dtype) for _, v in own])
             index, parts = pd.Index(keys), []
             for run in _runs(texts):
                 items = [of(t) for t in texts[run]]
@@ -305,7 +306,7 @@ def _pairs(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, n in zip(_longs(batch.column("keys")), _longs(batch.column("n")), strict=True):
+            for keys, n in zip(_large(batch.column("keys")), _large(batch.column("n")), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "times"])
 
     rows = counted.filter("kind = 2").select("keys", "n").mapInArrow(each, "key long, times long")
@@ -339,15 +340,14 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: in
     pair_shards = max(32, 4 * math.isqrt(shards))  # distinct contexts grow with less than the input
 
     counted = written(blocks.mapInArrow(_counted(shards), _COUNTED), "counted")
-    contexts = counted.filter(F.col("kind") == CONTEXTS)
-    totals = contexts.select("shard", "keys", "n").groupBy("shard").applyInArrow(_totals(pair_shards), "pair_shard long, shard long, keys binary, n binary")
+    by_kind = lambda k: counted.filter(F.col("kind") == k).select("shard", "block", "keys", "n").groupBy("shard")
+    word_answers = written(by_kind(WORDS).applyInArrow(_word_answers, _ANSWER), "answers")
+    totals = by_kind(CONTEXTS).applyInArrow(_totals(pair_shards), "pair_shard long, shard long, keys binary, n binary")
     values = totals.groupBy("pair_shard").applyInArrow(_asked(_pairs(counted)), "shard long, keys binary, values binary")
-    by_context = contexts.select("shard", "block", "keys").groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(_context_answers, _ANSWER)
-    by_word = counted.filter(F.col("kind") == WORDS).select("shard", "block", "keys", "n").groupBy("shard").applyInArrow(_word_answers, _ANSWER)
-    answers = written(by_word.union(by_context), "answers")
+    answers = by_kind(CONTEXTS).cogroup(values.groupBy("shard")).applyInArrow(_context_answers, _ANSWER).union(word_answers)
 
     trained = counted.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0]
-    distinct = answers.agg(F.coalesce(F.sum("distinct_words"), F.lit(0))).first()[0]
+    distinct = word_answers.agg(F.coalesce(F.sum("distinct_words"), F.lit(0))).first()[0]
     scored = blocks.groupBy("block").cogroup(answers.select("block", "kind", "shard", "values").groupBy("block")).applyInArrow(_scored(shards), _SCORED)
     each = float(np.log10(trained + distinct + 1))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(trained)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score")
