@@ -59,7 +59,7 @@ def parse(names: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.
 
 
 def anchors(words: np.ndarray, valid: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """The anchor of every window, as runs of windows: (name, first window, number of windows, fingerprint of all their words).
+    """The anchor of every window, as runs of windows: (name, first window, number of windows).
 
     words: hashes; valid: the first positions of windows that lie in one document. A window's anchor is the symbol of
     the highest level whose context lies inside it, ties to the least hash of that context, then to the leftmost. That is
@@ -95,24 +95,37 @@ def anchors(words: np.ndarray, valid: np.ndarray, window: int = WINDOW) -> tuple
     name = np.concatenate(all_name) if all_name else np.zeros(0, dtype=np.uint64)
     at = np.flatnonzero(valid)
     if not len(at):
-        return name[:0], at, at, name[:0]
+        return name[:0], at, at
     own = best[at]
     first, last = _grouped(np.append(True, (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)), len(at))
-    w0, n_windows = at[first], last - first + 1
-    return name[own[first]], w0, n_windows, spans.spans(w0, w0 + n_windows + window - 1, 7)
-
-
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of some texts, one after another with a stop between; where each text's words start; which positions start a window inside one text."""
-    parts, starts, at = [], [], 0
-    for k, t in enumerate(texts):
-        data = np.frombuffer(t, dtype=np.uint8)
-        h = word_hashes(data, *word_bounds(data))
-        parts += [h, mix(np.array([k], dtype=np.uint64), 999)]
-        starts.append(at)
-        at += len(h) + 1
-    words = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-    return words, np.array(starts, dtype=np.int64), np.array([len(p) for p in parts[::2]], dtype=np.int64)
+    return name[own[first]], at[first], last - first + 1
+
+
+class Words:
+    """The words of some texts, one text after another with a stop between: their hashes, where each text's words start, how many it has, and the words' bytes."""
+
+    def __init__(self, texts: list[bytes]):
+        parts, first, past, starts, at, size = [], [], [], [], 0, 0
+        plain = [b" ".join(t.split()) for t in texts]
+        for k, t in enumerate(plain):
+            data = np.frombuffer(t, dtype=np.uint8)
+            a, b = word_bounds(data)
+            parts += [word_hashes(data, a, b), mix(np.array([k], dtype=np.uint64), 999)]
+            first += [a + size, [size + len(t)]]
+            past += [b + size, [size + len(t)]]
+            starts.append(at)
+            at += len(a) + 1
+            size += len(t)
+        join = lambda x, kind: np.concatenate(x).astype(kind, copy=False) if x else np.zeros(0, dtype=kind)
+        self.hashes, self.first, self.past = join(parts, np.uint64), join(first, np.int64), join(past, np.int64)
+        self.starts, self.counts = np.array(starts, dtype=np.int64), np.array([len(p) for p in parts[::2]], dtype=np.int64)
+        self.bytes = b"".join(plain)
+
+    def prints(self, w0: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """BLAKE2b, 128 bits, of each n words from w0 on, with a blank between: two columns of 64 bits. Passages that share it are equal word by word."""
+        whole, digest = memoryview(self.bytes), hashlib.blake2b
+        raw = [digest(whole[a:b], digest_size=16).digest() for a, b in zip(self.first[w0].tolist(), self.past[w0 + n - 1].tolist(), strict=True)]
+        return np.frombuffer(b"".join(raw), dtype=np.int64).reshape(-1, 2)
 
 
 def _valid(n: int, starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -123,17 +136,19 @@ def _valid(n: int, starts: np.ndarray, counts: np.ndarray, window: int) -> np.nd
     return np.cumsum(change[:-1]) > 0
 
 
-_ANCHORS = "name long, print long, key long, w0 int, n int"
+_PRINT = ["print_a", "print_b"]
+_ANCHORS = "name long, print_a long, print_b long, key long, w0 int, n int"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in chunks(batch):
-            words, starts, counts = _words(texts)
-            name, w0, n, mark = anchors(words, _valid(len(words), starts, counts, WINDOW))
-            of = np.searchsorted(starts, w0, side="right") - 1
-            key = part.column("key").to_numpy()[of]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(signed(mark)), pa.array(key), pa.array((w0 - starts[of]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["name", "print", "key", "w0", "n"])
+            words = Words(texts)
+            name, w0, n = anchors(words.hashes, _valid(len(words.hashes), words.starts, words.counts, WINDOW))
+            of = np.searchsorted(words.starts, w0, side="right") - 1
+            mark, key = words.prints(w0, n + WINDOW - 1), part.column("key").to_numpy()[of]
+            cells = (signed(name), mark[:, 0], mark[:, 1], key, (w0 - words.starts[of]).astype(np.int32), n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["name", *_PRINT, "key", "w0", "n"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +162,12 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of the regions that are to be compared window by window."""
     for batch in batches:
         for key, text, rows in zip(batch.column("key").to_pylist(), texts_of(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
-            data = np.frombuffer(text, dtype=np.uint8)
-            spans = SpanHasher(word_hashes(data, *word_bounds(data)))
-            rows = sorted(rows, key=lambda r: r["w0"])
+            words, rows = Words([text]), sorted(rows, key=lambda r: r["w0"])
             n = np.array([r["n"] for r in rows])
             at = np.concatenate([np.arange(r["w0"], r["w0"] + r["n"]) for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([r["name"] for r in rows], dtype=np.int64), n)), pa.array(signed(spans.spans(at, at + WINDOW, 11))), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32))], names=["name", "print", "key", "w0"])
+            mark = words.prints(at, np.full(len(at), WINDOW))
+            cells = (np.repeat(np.array([r["name"] for r in rows], dtype=np.int64), n), mark[:, 0], mark[:, 1], np.full(len(at), key), at.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["name", *_PRINT, "key", "w0"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,24 +208,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Windows meet by their anchors (see `anchors`): one row a run of windows that share one. Anchor names that occur once
     end there. Runs that equal another in every word repeat whole; of the other names, one copy of each different run is
-    opened and its windows compared one by one, by 128 bits of hashes. Counts are combined before each shuffle, and joins back to the runs
-    can be split, so a passage that a third of all documents share is no hot spot.
+    opened and its windows compared one by one. Words are compared by the 128-bit BLAKE2b digest of their bytes, so nothing is taken for repeated by a
+    hash of hashes. Counts are combined before each shuffle, and both sides of each join are tables, so adaptive execution
+    splits a name or passage that a third of all rows share.
     """
     rows = _with_key(docs)
     runs = written(rows.select("key", "text").mapInArrow(_anchor_rows, _ANCHORS), "anchors")
-    names = runs.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name")
-    shared = written(runs.join(names, "name"), "shared")
-    regions = shared.groupBy("name", "print").agg(F.count("*").alias("c"), F.min(F.struct("key", "w0", "n")).alias("one"))
-    regions = written(regions.select("name", "print", "c", "one.*"), "regions")
-    equal = shared.join(regions.filter("c > 1").select("name", "print"), ["name", "print"]).select("key", "w0", "n")
+    names = written(runs.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name"), "names")
+    shared = written(runs.join(names.hint("merge"), "name"), "shared")
+    passage = ["name", *_PRINT]
+    regions = written(shared.groupBy(*passage).agg(F.count("*").alias("c"), F.min(F.struct("key", "w0", "n")).alias("one")).select(*passage, "c", "one.*"), "regions")
+    often = written(regions.filter("c > 1").select(*passage), "often")
+    equal = written(shared.join(often.hint("merge"), passage).select("key", "w0", "n"), "equal")
 
     # a region that occurs once may still hold windows of other regions of its name: one copy of each of these is opened
-    unlike = regions.filter("c = 1").select("name").distinct()
-    opened = regions.join(unlike, "name").groupBy("key").agg(F.collect_list(F.struct("w0", "n", "name")).alias("runs"))
+    unlike = written(regions.filter("c = 1").select("name").distinct(), "unlike")
+    opened = written(regions.join(unlike.hint("merge"), "name").select("key", "w0", "n", "name"), "opened")
+    opened = opened.groupBy("key").agg(F.collect_list(F.struct("w0", "n", "name")).alias("runs"))
     texts = rows.select("key", "text").join(opened, "key").dropDuplicates(["key"])
-    windows = written(texts.mapInArrow(_window_rows, "name long, print long, key long, w0 int"), "windows")
-    alike = windows.groupBy("name", "print").agg(F.count("*").alias("c")).filter("c > 1").select("name", "print")
-    repeated = windows.join(alike, ["name", "print"]).select("key", "w0", F.lit(1).alias("n"))
+    windows = written(texts.mapInArrow(_window_rows, "name long, print_a long, print_b long, key long, w0 int"), "windows")
+    alike = written(windows.groupBy(*passage).agg(F.count("*").alias("c")).filter("c > 1").select(*passage), "alike")
+    repeated = windows.join(alike.hint("merge"), passage).select("key", "w0", F.lit(1).alias("n"))
 
     cover = written(equal.union(repeated).groupBy("key").agg(F.collect_set(F.struct("w0", "n")).alias("runs")), "cover")
     packed = rows.mapInArrow(_pack, "key long, doc_id long, packed binary, no_text boolean")

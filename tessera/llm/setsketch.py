@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,7 +87,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys.append((None, None)), sketches.append(None), bands.append(None)
                     continue
                 r = registers(s)
-                keys.append((int(signed(mix(s, 1).sum(keepdims=True))[0]), int(signed(mix(s, 2).sum(keepdims=True))[0])))
+                keys.append(struct.unpack("<qq", hashlib.blake2b(s.tobytes(), digest_size=16).digest()))
                 sketches.append(r.tobytes())
                 grouped = r.reshape(-1, ROWS).astype(np.uint64)
                 bands.append(signed(mix(grouped @ (np.uint64(1) << np.arange(0, 64, 64 // ROWS, dtype=np.uint64)), 3) ^ mix(band_no, 4)))
@@ -105,15 +107,36 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
 
+def _lower_words(text: bytes) -> list[bytes]:
+    return text.translate(LOWER.tobytes()).split()
+
+
+def near(x: list[bytes], y: list[bytes]) -> bool:
+    """Whether the sets of 5-word shingles of two sequences of words are similar enough, on the words themselves: words are numbered, shingles are tuples of numbers."""
+    number: dict[bytes, int] = {}
+    a, b = (np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64) for words in (x, y))
+    if not len(a) or not len(b):
+        return False
+    if min(len(a), len(b)) < SHINGLE:  # a shorter sequence is a set of itself alone
+        return len({tuple(w[i : i + SHINGLE]) for w in (x, y) for i in range(max(1, len(w) - SHINGLE + 1))}) == 1
+    code = lambda w, k: w[k : len(w) - SHINGLE + 1 + k]
+    both = np.concatenate([code(a, 0), code(b, 0)])
+    for k in range(1, SHINGLE):
+        if len(number) > 1 << 12:  # five numbers do not fit 63 bits together: pairs are numbered anew
+            both = np.unique(both, return_inverse=True)[1]
+        both = both * len(number) + np.concatenate([code(a, k), code(b, k)])
+    own, other = (np.unique(part) for part in np.split(both, [len(a) - SHINGLE + 1]))
+    shared = len(np.intersect1d(own, other, assume_unique=True))
+    return 100 * shared >= PERCENT * (len(own) + len(other) - shared)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep, last, held = [], None, None
+        keep, last, held = [], None, []
         for x, y in zip(texts_of(batch.column("text_a")), texts_of(batch.column("text_b")), strict=True):
             if last is None or y != last:
-                last, held = y, shingles(y)
-            own = shingles(x)
-            both = len(np.intersect1d(own, held, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(own) + len(held) - both))
+                last, held = y, _lower_words(y)
+            keep.append(near(_lower_words(x), held))
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
 
@@ -134,10 +157,11 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 
 def _block_links(unit: pa.Table) -> pa.Table:
-    """Links between components of one unit, the members of two blocks of a bucket (or of one): every pair is counted on full sets. Of each group that links join, every member with the least one."""
+    """Links between components of one unit, the members of two blocks of a bucket (or of one): every pair is counted on full sets of hashes, and those that join anything are confirmed on words."""
     ids, of = unit.column("doc_id").to_numpy(), unit.column("component").to_numpy()
     low, high = ((unit.column("block").to_numpy() == unit.column(c).to_numpy()).nonzero()[0] for c in ("lo", "hi"))
-    sets = [shingles(t) for t in texts_of(unit.column("text").combine_chunks())]
+    texts = texts_of(unit.column("text").combine_chunks())
+    sets = [shingles(t) for t in texts]
     n = np.array([len(x) for x in sets])
     _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times[at] > 1
@@ -152,15 +176,19 @@ def _block_links(unit: pa.Table) -> pa.Table:
         both += holds[low] @ holds[high].T
     both = both.astype(np.int64)
     linked = (100 * both >= PERCENT * (n[low][:, None] + n[high][None, :] - both)) & (of[low][:, None] != of[high][None, :])
-    x, y = (side[k] for side, k in zip((low, high), np.nonzero(linked), strict=True))
-    least, before = ids.copy(), None
-    while before is None or (least != before).any():
-        before = least.copy()
-        m = np.minimum(least[x], least[y])
-        np.minimum.at(least, x, m)
-        np.minimum.at(least, y, m)
-    joined = least != ids
-    return pa.table({"a": ids[joined], "b": least[joined]})
+    group, links = list(range(len(ids))), []
+
+    def find(i: int) -> int:
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    for x, y in zip(*(side[k].tolist() for side, k in zip((low, high), np.nonzero(linked), strict=True)), strict=True):
+        i, j = find(x), find(y)
+        if i != j and near(_lower_words(texts[x]), _lower_words(texts[y])):
+            group[i] = j
+            links.append((x, y))
+    return pa.table({c: pa.array(ids[[link[k] for link in links]] if links else [], pa.int64()) for k, c in enumerate("ab")})
 
 
 def _met(large: DataFrame, texts: DataFrame) -> DataFrame:
@@ -184,7 +212,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id LONG, text STRING): n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A and B| >= 75 * |A or B| over their sets of distinct 5-word shingles.
-    Equal sets form a class by a 128-bit key and stand for themselves by their smallest doc_id. Class members share
+    Equal sets form a class by a 128-bit BLAKE2b digest of the whole set's hashes and stand for themselves by their smallest doc_id. Links between
+    classes are confirmed on the words themselves (see `near`). Class members share
     32 bands of four registers; a pair at similarity 0.75 misses every band with probability 5e-6.
 
     In each band bucket every class is first paired with the most connected one (the class whose buckets hold most others: the

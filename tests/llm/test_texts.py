@@ -362,3 +362,19 @@ def test_leaks_recall_and_edits():
 @pytest.mark.parametrize("name", ["op7_minhash_near_dedup", "op8_substring_dedup", "op1_warc_revisits"])
 def test_query_equals_sql(name, spark, sf_dir, duck, same):
     same(QUERIES[name](spark, sf_dir), duck, ORACLE_SQL[name])
+
+
+def test_near_on_words():
+    """Exact similarity of word sequences against sets of tuples, short and long ones, with few and many different words."""
+    rnd = random.Random(2)
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    seen = set()
+    for n, kinds in ((0, 3), (3, 1), (4, 2), (5, 2), (30, 3), (200, 1000), (6000, 9000)):
+        for _ in range(30 if n < 1000 else 4):
+            x = [b"%d" % rnd.randrange(kinds) for _ in range(n)]
+            y = [w if rnd.random() > 0.02 else b"z" for w in x][: rnd.choice([n, n, n - 1])]
+            a, b = sets(x), sets(y)
+            expected = bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+            seen.add(expected)
+            assert setsketch.near(x, y) == expected
+    assert seen == {True, False}
