@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import mix, signed, written
 
 #: Tables, projections of each, buckets probed in each; the bucket width is so many standard deviations of a projection.
-TABLES, PROJECTIONS, PROBES, WIDTH = 14, 6, 150, 1.3
+TABLES, PROJECTIONS, PROBES, WIDTH = 120, 10, 60, 2.5
+#: A candidate is what at least so many tables find in the probed buckets; where that is true of fewer, so many of those that most tables find.
+AGREE, FEWEST = 18, 150
 NEAREST = 10
-#: Distinct vectors of an index shard, and queries of a block: what one task holds.
-SHARD, BLOCK = 40_000, 2_000
+#: Distinct vectors of an index shard, and queries of a block: what one task holds. Queries whose counts stand side by side.
+SHARD, BLOCK, TOGETHER = 40_000, 8_000, 64
 
 
 def perturbations(probes: int, projections: int) -> list[list[int]]:
@@ -54,7 +56,11 @@ class Tables:
         scale = np.sqrt(((vectors - self.center) ** 2).sum(axis=1).mean()) or 1.0
         self.width = WIDTH * scale
         self.shift = rng.uniform(0, self.width, (TABLES, PROJECTIONS))
-        self.sets = perturbations(PROBES, PROJECTIONS)
+        sets = perturbations(PROBES, PROJECTIONS)
+        self.sets = np.zeros((len(sets), 2 * PROJECTIONS), dtype=np.int64)
+        for s, ranks in enumerate(sets):
+            self.sets[s, ranks] = 1
+        self.steps = np.concatenate([-np.eye(PROJECTIONS, dtype=np.int64), np.eye(PROJECTIONS, dtype=np.int64)])  # of each boundary: the cell beyond it
         self.keys, self.rows = [], []
         for t in range(TABLES):
             key = self._key(np.floor(self._project(vectors, t)).astype(np.int64))
@@ -73,24 +79,26 @@ class Tables:
         return signed(out)
 
     def candidates(self, queries: np.ndarray) -> Iterator[np.ndarray]:
-        """Of each query: the places of the vectors in its probed buckets of all tables."""
-        found: list[list[np.ndarray]] = [[] for _ in queries]
-        for t in range(TABLES):
-            at = self._project(queries, t)
-            cell = np.floor(at).astype(np.int64)
-            below = at - cell
-            order = np.argsort(np.concatenate([below, 1 - below], axis=1), axis=1)  # boundaries, nearest first
-            for i in range(len(queries)):
-                cells = np.repeat(cell[i : i + 1], len(self.sets), axis=0)
-                for s, ranks in enumerate(self.sets):
-                    for r in ranks:
-                        b = order[i, r]
-                        cells[s, b % PROJECTIONS] += 1 if b >= PROJECTIONS else -1
-                key = self._key(cells)
+        """Of each query: the places of the vectors that AGREE tables or more hold in the buckets it probes, FEWEST of those that most tables hold at least."""
+        n = len(self.rows[0])
+        for at in range(0, len(queries), TOGETHER):
+            some = queries[at : at + TOGETHER]
+            counts = np.zeros((len(some), n), dtype=np.int16)
+            for t in range(TABLES):
+                place = self._project(some, t)
+                cell = np.floor(place).astype(np.int64)
+                below = place - cell
+                order = np.argsort(np.concatenate([below, 1 - below], axis=1), axis=1)  # boundaries, nearest first
+                cells = cell[:, None, :] + self.sets @ self.steps[order]
+                key = self._key(cells.reshape(-1, PROJECTIONS))
                 first, past = np.searchsorted(self.keys[t], key), np.searchsorted(self.keys[t], key, side="right")
-                found[i] += [self.rows[t][a:b] for a, b in zip(first, past, strict=True) if b > a]
-        for parts in found:
-            yield np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int64)
+                size = past - first
+                within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                rows = self.rows[t][np.repeat(first, size) + within]
+                # a vector has one bucket a table, so no pair occurs twice here
+                counts.reshape(-1)[np.repeat(np.arange(len(key)) // len(self.sets) * n, size) + rows] += 1
+            for own in counts:
+                yield np.flatnonzero(own >= min(AGREE, np.partition(own, n - FEWEST)[n - FEWEST] if n > FEWEST else 0))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -99,7 +107,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float64) if len(flat) else np.zeros((0, 1))
 
 
-def _search(index: pa.Table, queries: pa.Table) -> pa.Table:
+def _search(index: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     """The nearest found of every query in one shard: distances to all candidates, in double precision on the vectors themselves."""
     names = ["query_id", "vec_class", "score"]
     if not index.num_rows or not queries.num_rows:
@@ -107,15 +115,13 @@ def _search(index: pa.Table, queries: pa.Table) -> pa.Table:
     base, asked = _matrix(index.column("vector")), _matrix(queries.column("vector"))
     ids, out = index.column("vec_class").to_numpy(), []
     for q, vector, near in zip(queries.column("query_id").to_pylist(), asked, Tables(base).candidates(asked), strict=True):
-        if len(near) <= NEAREST:  # too few to choose from: all of the shard are candidates
-            near = np.arange(len(base))
         far = np.sqrt(((base[near] - vector) ** 2).sum(axis=1))
-        own = np.lexsort((ids[near], far))[: NEAREST + 1]
-        out += [(q, int(ids[near[k]]), float(far[k])) for k in own]
+        own = np.lexsort((ids[near], far))[: k + 1]
+        out += [(q, int(ids[near[i]]), float(far[i])) for i in own]
     return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=names)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEAREST) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEAREST, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of every query (vec_id LONG, embedding ARRAY) among vectors, by Euclidean distance in double precision, ties to the smaller vec_id; a query's own row is left out.
 
     Null or zero vectors, those with null or non-finite components, and those not of the most frequent length take no part; nor do null ids. Fewer candidates
@@ -123,8 +129,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEAREST) -> DataFra
 
     Equal vectors are indexed once, for their k + 1 smallest ids; these are found by salted groups, so a vector that a
     third of all rows hold is no hot spot. Distinct vectors are dealt into shards by a hash, queries into blocks, and every block
-    meets every shard in a task of its own that builds the shard's tables and probes them: memory is bounded by SHARD and BLOCK,
-    and only the nearest of a shard leave it. Every row is indexed, and no bucket is capped.
+    meets every shard in a task of its own that builds the shard's tables, probes them, and measures what AGREE of them or more find: memory is bounded
+    by `shard` and `block`, and only the nearest of a shard leave it. Every row is indexed, and no bucket is capped. A table of buckets met by a join would send a row for
+    each vector of each probed bucket; at the contrast of such vectors these are more than the copies of shards, one for each `block` queries.
     """
 
     def usable(df: DataFrame) -> DataFrame:
@@ -142,11 +149,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = NEAREST) -> DataFra
     classes = members.filter("vec_id = vec_class").select("vec_class", "vector", "key")
     asked = usable(queries).filter(F.size("vector") == d).select(F.col("vec_id").alias("query_id"), "vector")
 
-    shards = max(1, -(-classes.count() // SHARD))
-    blocks = max(1, -(-asked.count() // BLOCK))
+    shards = max(1, -(-classes.count() // shard))
+    blocks = max(1, -(-asked.count() // block))
     left = classes.select("vec_class", "vector", F.pmod("key", F.lit(shards)).cast("long").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     right = asked.select("query_id", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search, "query_id long, vec_class long, score double")
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(lambda index, asked: _search(index, asked, k), "query_id long, vec_class long, score double")
     # the k + 1 nearest classes hold the k nearest rows, the query's own put aside
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_class"))).filter(F.col("r") <= k + 1)
     each = best.join(members.select("vec_class", "vec_id"), "vec_class").filter("vec_id != query_id")

@@ -98,7 +98,7 @@ def train(toxic: list[bytes], plain: list[bytes]) -> tuple[bytes, bytes]:
     for c, texts in zip(counts, (toxic, plain), strict=True):
         for t in texts:
             c.update(_segments(t))
-    parts = [w for t in (toxic + plain)[:4000] for w in windows(t) if len(w) >= 8]
+    parts = [w for t in toxic + plain for w in windows(t) if len(w) >= 8]
     try:
         common = zstandard.train_dictionary(COMMON_BYTES, parts, k=64, d=6).as_bytes()
     except zstandard.ZstdError:  # too few windows for training: the windows themselves serve as content
@@ -123,11 +123,11 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict:
+def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     """Dictionaries and calibration from a bounded sample: at most about SAMPLE_DOCS labelled documents of either label (a hash of the id draws them) and SAMPLE_BYTES of text, from rows whose crc32(doc_id) mod 4 is not 2.
 
     Half of the sample trains the dictionaries, the other half calibrates, so that calibration sees texts the
-    dictionaries have not.
+    dictionaries have not. None if the sample lacks either label: nothing tells them apart then.
     """
     known = labels.filter("toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.filter(remainder("doc_id", 4) != 2)
@@ -138,6 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     rows = chosen.filter(F.pmod(F.xxhash64(F.lit("bytes"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "text", "toxic").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     half = (mix(np.array([r["doc_id"] for r in rows], dtype=np.int64).view(np.uint64), 5) & np.uint64(1)).tolist()
+    if {bool(r["toxic"]) for r in rows} != {True, False}:
+        return None
     texts = [[r["text"].encode() for r, h in zip(rows, half, strict=True) if h and bool(r["toxic"]) == t] for t in (True, False)]
     toxic, plain = train(*texts)
     now = Distance(toxic, plain)
@@ -158,17 +160,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     The whole text is compared, in overlapping windows; documents are independent, so no shuffle. Null and empty texts,
     and texts without words, get the score of a document without windows. A null doc_id is scored like any other and is not held
     out. Repeated rows are each returned. Labels rows with null ids or labels are not used; where ids repeat the largest
-    label counts. Without any labelled document the score is 0.5.
+    label counts. Where labelled documents of either label are missing, every score is 0.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # two dictionaries and some weights: under 50 kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
-        distance, w = Distance(held["toxic"], held["plain"]), held["weights"]
+        distance, w = (Distance(held["toxic"], held["plain"]), held["weights"]) if held else (None, None)
         for batch in batches:
             for part, texts in chunks(batch):
-                x = np.array([features(distance.gains(windows(t))) for t in texts])
-                score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+                score = np.zeros(len(texts))
+                if held:
+                    x = np.array([features(distance.gains(windows(t))) for t in texts])
+                    score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     doc_id = F.col("doc_id").cast("long")

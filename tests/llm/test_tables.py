@@ -26,6 +26,35 @@ def test_recall_and_order(spark, sf_dir):
     assert hit >= 0.9 * total
 
 
+def test_hashing_selects():
+    """At sf0.1, recall of the candidates, and their share of all rows."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pylist()
+    ids, all_ = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)
+    asked = np.flatnonzero(ids % 100 == 0)
+    hit = share = 0
+    for q, near in zip(asked, pstable.Tables(all_).candidates(all_[asked]), strict=True):
+        far = np.sqrt(((all_ - all_[q]) ** 2).sum(axis=1))
+        hit += len(set([i for i in np.lexsort((ids, far)) if i != q][:10]) & set(near.tolist())) / 10
+        share += len(near) / len(ids)
+    assert hit >= 0.9 * len(asked) and share < 0.1 * len(asked), (hit / len(asked), share / len(asked))
+
+
+def test_recall_over_shards(spark):
+    """Several shards and blocks, against brute force."""
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = vectors.collect()
+    ids, all_ = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    asked = [int(i) for i in ids if i % 25 == 0]
+    found = pstable.nearest(vectors.filter("vec_id % 25 = 0"), vectors, k=5, shard=len(ids) // 4, block=6).collect()
+    hit = 0
+    for q in asked:
+        far = np.sqrt(((all_ - all_[ids == q][0]) ** 2).sum(axis=1))
+        hit += len({r.vec_id for r in found if r.query_id == q} & {int(ids[i]) for i in [i for i in np.lexsort((ids, far)) if ids[i] != q][:5]})
+    assert len(found) == 5 * len(asked) and hit >= 0.9 * 5 * len(asked)
+
+
 def test_odd_vectors(spark):
     v = [1.0, 0.0, 2.0]
     rows = [(0, v), (0, v), *((i, v) for i in range(1, 30)), (30, None), (31, [0.0] * 3), (32, [1.0, None, 2.0]), (33, [float("nan"), 1.0, 1.0]), (34, [float("inf"), 1.0, 1.0]), (35, [1.0]), (None, v), (36, [1.0, 0.0, 2.5])]
