@@ -396,3 +396,13 @@ def test_near_on_words():
             seen.add(expected)
             assert setsketch.near(x, y) == expected
     assert seen == {True, False}
+
+
+def test_leaks_short_items_and_scripts_without_blanks():
+    """Items of under five words stand as they are; letters of scripts without blanks are words."""
+    items = [(1, "alpha Beta gamma"), (2, "你好世界再见朋友"), (3, "ทดสอบ"), (4, "solo"), (5, "one two three four five")]
+    search = decontaminate.Benchmark(items).search
+    texts = ["x ALPHA, beta: gamma y", "alpha beta delta gamma", "他说你好世界再见朋友吧", "他说你好世界见朋友吧", "คำ ทดสอบ", "a solo b", "one two three four six", "one two three", ""]
+    assert search(texts) == [(0, 1, 1, 0), (2, 2, 2, 0), (3, 2, 2, 1), (4, 3, 2, 0), (5, 4, 1, 0), (6, 5, 0, 1)]
+    assert decontaminate.normal_words("Ab_1 c世界d") == ["ab_1", "c", "世", "界", "d"]
+    assert decontaminate.Benchmark([]).search(texts) == [] and decontaminate.Benchmark([(1, ""), (2, "?!")]).search(texts) == []
