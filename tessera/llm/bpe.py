@@ -16,8 +16,8 @@ from tessera.llm.common import chunks
 
 #: Fixed value: the public byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes of known encodings that a worker keeps, of pieces and of pieces in a row each; and the longest, in letters, that are kept.
-KEPT_BYTES, LONGEST_KEPT = 24 << 20, 64
+#: Bytes of known encodings that a worker keeps, of pieces in a row and of pieces; and the longest, in letters, that are kept.
+KEPT_ROWS, KEPT_PIECES, LONGEST_KEPT = 64 << 20, 24 << 20, 64
 #: Token pairs whose compatibility a worker keeps.
 KEPT_PAIRS = 200_000
 
@@ -32,22 +32,22 @@ def _byte_letters() -> dict[str, int]:
 class Kept:
     """What a worker knows, bounded in bytes: two generations, of which the older goes when the younger holds half the bound."""
 
-    def __init__(self, most: int = KEPT_BYTES):
+    def __init__(self, most: int):
         self.most, self.young, self.old, self.held = most, {}, {}, 0
 
-    def older(self, key: str) -> tuple[str, int, str] | None:
+    def older(self, key: str) -> str | None:
         """What the older generation knows, which then counts as young."""
         if (found := self.old.get(key)) is not None:
             self.add(key, found)
         return found
 
-    def add(self, key: str, value: tuple[str, int, str]) -> None:
+    def add(self, key: str, value: str) -> None:
         if len(key) > LONGEST_KEPT:
             return
         if self.held >= self.most // 2:
             self.old, self.young, self.held = self.young, {}, 0
         self.young[key] = value
-        self.held += 340 + len(key) + len(value[0]) + (0 if value[2] is key else len(value[2]) + 60)  # objects and a dictionary's place, measured
+        self.held += 220 + 2 * len(key) + len(value)  # two strings and a dictionary's place, as it grows
 
 
 class Bpe:
@@ -80,7 +80,8 @@ class Bpe:
             self.automaton.add_word(b.decode("latin-1"), (len(b), i))
         self.automaton.make_automaton()
         self.agree: dict[tuple[int, int], bool] = {}
-        self.known, self.rows = Kept(), Kept()
+        self.known, self.rows = Kept(KEPT_PIECES), Kept(KEPT_ROWS)
+        self.faithful = True  # whether all pieces so far decode to themselves
         self.blanks = re.compile(r"\s | \s").search
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
@@ -127,24 +128,23 @@ class Bpe:
             end -= size
         return out[::-1]
 
-    def _piece(self, piece: str) -> tuple[str, int, str]:
+    def _piece(self, piece: str) -> str:
         if (found := self.known.young.get(piece) or self.known.older(piece)) is None:
             ids = self.encode_piece(piece.encode())
-            decoded = self.decode(ids)
-            found = ",".join(map(str, ids)), len(ids), piece if decoded == piece else decoded
+            self.faithful &= self.decode(ids) == piece
+            found = ",".join(map(str, ids))
             self.known.add(piece, found)
         return found
 
-    def _row(self, row: str) -> tuple[str, int, str]:
+    def _row(self, row: str) -> str:
         """A blank and the text up to the next one, which no piece crosses."""
         if (found := self.rows.young.get(row) or self.rows.older(row)) is None:
-            ids, counts, decoded = zip(*map(self._piece, self.find(f" {row}")), strict=True)
-            found = ",".join(ids), sum(counts), "".join(decoded)
+            found = ",".join(map(self._piece, self.find(f" {row}")))
             self.rows.add(row, found)
         return found
 
-    def pieces(self, text: str) -> list[tuple[str, int, str]]:
-        """Of each piece, or blank and what follows it: its ids in decimals with commas, their number, and what they decode to."""
+    def joined(self, text: str) -> str:
+        """The ids of a text in decimals, with commas between."""
         if not (text and self.split):
             parts = [text]
         else:
@@ -152,7 +152,7 @@ class Bpe:
         out = []
         for k, part in enumerate(parts):
             if k % 2:
-                out.append((str(self.special[part]), 1, part))
+                out.append(str(self.special[part]))
             elif self.blanks(part) or part[:1] == " " or part[-1:] == " ":  # white space in a row takes its place among pieces from what is around it
                 out += map(self._piece, self.find(part))
             else:
@@ -160,10 +160,15 @@ class Bpe:
                 out += map(self._piece, self.find(head))
                 found = list(map(self.rows.young.get, cut))
                 out += [f or self._row(c) for f, c in zip(found, cut, strict=True)] if None in found else found
-        return out
+        return ",".join(out)
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for ids, _, _ in self.pieces(text) for x in ids.split(",")]
+        ids = self.joined(text)
+        return [int(x) for x in ids.split(",")] if ids else []
+
+    def decoded(self, text: str, ids: str) -> str:
+        """What a text's ids decode to: the text itself if its pieces, each decoded when it was first met, all gave themselves back."""
+        return text if self.faithful or not ids else self.decode([int(x) for x in ids.split(",")])
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -207,9 +212,9 @@ def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _digest(model: Bpe, text: str) -> tuple:
-    found = model.pieces(text)
-    ids, counts, decoded = zip(*found, strict=True) if found else ((), (), ())
-    return sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256("".join(decoded).encode()).hexdigest()
+    ids = model.joined(text)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return ids.count(",") + 1 if ids else 0, sha(ids), sha(model.decoded(text, ids))
 
 
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -179,10 +179,10 @@ def test_bpe_cache_is_bounded():
     tracemalloc.start()
     kept, before = bpe.Kept(4 << 20), tracemalloc.get_traced_memory()[0]
     for i in range(60_000):
-        kept.add(f"piece{i}", (f"{i},{i + 1}", 2, f"piece{i}!"))
+        kept.add(f"piece{i}", f"{i},{i + 1}")
     assert tracemalloc.get_traced_memory()[0] - before <= 5 << 20
     tracemalloc.stop()
-    kept.add("x" * 65, ("1", 1, "x"))
+    kept.add("x" * 65, "1")
     assert kept.older("piece0") is None and "x" * 65 not in kept.young and len(kept.old) > 1000
     assert kept.older(next(iter(kept.old))) is not None
     own = bpe.Bpe(bpe.default_path())
