@@ -112,19 +112,24 @@ def _when_long(n: int, cell: Column) -> Column:
     return F.when(F.octet_length("head") >= n, cell)
 
 
+def _part(value: Column, shift: int, bits: int) -> Column:
+    return F.shiftright(value, shift).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+_IS_LOSSLESS, _IS_LOSSY = "fourcc = 'VP8L' AND octet_length(head) >= 5", "fourcc = 'VP8 ' AND octet_length(head) >= 10"
+
+
 def lossless_header(chunks: DataFrame) -> DataFrame:
     """(file_id, chunk_no, magic, width, height, alpha_hint, version) of lossless chunks."""
     bits = le_int("head", 1, 4)
-    part = lambda shift, n: F.shiftright(bits, shift).bitwiseAND(F.lit((1 << n) - 1))
-    return chunks.filter("fourcc = 'VP8L' AND octet_length(head) >= 5").select("file_id", "chunk_no", byte_at("head", 0).alias("magic"), (part(0, 14) + 1).alias("width"), (part(14, 14) + 1).alias("height"), part(28, 1).alias("alpha_hint"), part(29, 3).alias("version"))
+    return chunks.filter(_IS_LOSSLESS).select("file_id", "chunk_no", byte_at("head", 0).alias("magic"), (_part(bits, 0, 14) + 1).alias("width"), (_part(bits, 14, 14) + 1).alias("height"), _part(bits, 28, 1).alias("alpha_hint"), _part(bits, 29, 3).alias("version"))
 
 
 def lossy_header(chunks: DataFrame) -> DataFrame:
     """(file_id, chunk_no, key_frame, version, show, first_partition, start_ok, width, height, x_scale, y_scale, mb_width, mb_height) of lossy chunks."""
     tag, w, h = le_int("head", 0, 3), le_int("head", 6, 2), le_int("head", 8, 2)
-    part = lambda v, shift, n: F.shiftright(v, shift).bitwiseAND(F.lit((1 << n) - 1))
     start = F.hex(F.substr("head", F.lit(4), F.lit(3))) == "9D012A"
-    out = chunks.filter("fourcc = 'VP8 ' AND octet_length(head) >= 10").select("file_id", "chunk_no", (part(tag, 0, 1) == 0).alias("key_frame"), part(tag, 1, 3).alias("version"), (part(tag, 4, 1) == 1).alias("show"), part(tag, 5, 19).alias("first_partition"), start.alias("start_ok"), part(w, 0, 14).alias("width"), part(h, 0, 14).alias("height"), part(w, 14, 2).alias("x_scale"), part(h, 14, 2).alias("y_scale"))
+    out = chunks.filter(_IS_LOSSY).select("file_id", "chunk_no", (_part(tag, 0, 1) == 0).alias("key_frame"), _part(tag, 1, 3).alias("version"), (_part(tag, 4, 1) == 1).alias("show"), _part(tag, 5, 19).alias("first_partition"), start.alias("start_ok"), _part(w, 0, 14).alias("width"), _part(h, 0, 14).alias("height"), _part(w, 14, 2).alias("x_scale"), _part(h, 14, 2).alias("y_scale"))
     return out.withColumns({"mb_width": F.shiftright(F.col("width") + 15, 4), "mb_height": F.shiftright(F.col("height") + 15, 4)})
 
 
@@ -168,12 +173,17 @@ def image_catalog(files: DataFrame, chunks: DataFrame) -> DataFrame:
         .when((code == "VP8 ") & F.col("promised") & ~F.col("alpha_seen"), "missing_alpha").when((code == "VP8L") & (F.col("promised") | F.col("alpha_seen")), "lossless_with_alpha")
     )
     ends = s.withColumn("fault", fault).filter(F.col("fault").isNotNull() | code.isin("VP8 ", "VP8L"))
-    first = ends.groupBy("file_id").agg(F.min_by(F.struct("chunk_no", "fourcc", "fault", "alpha_seen"), "chunk_no").alias("e")).select("file_id", "e.*")
-    less, lossy = lossless_header(chunks).select("file_id", "chunk_no", "width", "height", "alpha_hint"), lossy_header(chunks).select("file_id", "chunk_no", F.col("width").alias("w2"), F.col("height").alias("h2"))
-    j = files.select("file_id").join(first, "file_id", "left").join(less, ["file_id", "chunk_no"], "left").join(lossy, ["file_id", "chunk_no"], "left")
+    # the sides of both kinds are read where the chunk stands: one walk, and one exchange by file
+    lossless, lossy = F.expr(_IS_LOSSLESS), F.expr(_IS_LOSSY)
+    ends = ends.withColumns({"_bits": F.when(lossless, le_int("head", 1, 4)), "_w": F.when(lossy, le_int("head", 6, 2)), "_h": F.when(lossy, le_int("head", 8, 2))})
+    kept = F.struct("chunk_no", "fourcc", "fault", "alpha_seen", "_bits", "_w", "_h")
+    first = ends.groupBy("file_id").agg(F.min_by(kept, "chunk_no").alias("e")).select("file_id", "e.*")
+    width = F.coalesce(_part(F.col("_bits"), 0, 14) + 1, _part(F.col("_w"), 0, 14))
+    height = F.coalesce(_part(F.col("_bits"), 14, 14) + 1, _part(F.col("_h"), 0, 14))
+    j = files.select("file_id").join(first, "file_id", "left").withColumns({"width": width, "height": height, "alpha_hint": _part(F.col("_bits"), 28, 1)})
     ok = F.col("fault").isNull() & F.col("fourcc").isNotNull()
     kind = F.when(F.col("fourcc") == "VP8L", "lossless").when(F.col("alpha_seen"), "lossy+alpha").otherwise("lossy")
-    return j.select("file_id", F.when(ok, kind).alias("format"), F.when(ok, F.coalesce("width", "w2")).alias("width"), F.when(ok, F.coalesce("height", "h2")).alias("height"), F.when(ok, F.when(F.col("fourcc") == "VP8L", F.col("alpha_hint") == 1).otherwise(F.col("alpha_seen"))).alias("has_alpha"), F.when(F.col("fourcc").isNull(), "invalid_format").otherwise(F.col("fault")).alias("error"))
+    return j.select("file_id", F.when(ok, kind).alias("format"), F.when(ok, F.col("width")).alias("width"), F.when(ok, F.col("height")).alias("height"), F.when(ok, F.when(F.col("fourcc") == "VP8L", F.col("alpha_hint") == 1).otherwise(F.col("alpha_seen"))).alias("has_alpha"), F.when(F.col("fourcc").isNull(), "invalid_format").otherwise(F.col("fault")).alias("error"))
 
 
 # --- animations -------------------------------------------------------------------------------------------------------

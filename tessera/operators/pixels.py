@@ -151,8 +151,8 @@ def tile_mode_scores(pixels: DataFrame, bits: int = 4, keys: list[str] = KEYS) -
     """
     p = with_neighbors(pixels, keys).withColumns({"tx": tile_key("x", bits), "ty": tile_key("y", bits)})
     rows = []
-    for mode in predictors():
-        guess = predicted(F.lit(mode))
+    for mode, own in predictors().items():
+        guess = predicted(F.lit(mode), table={mode: own})
         rows += [F.struct(F.lit(mode).alias("mode"), F.lit(k).alias("ch"), wrap8(F.col(ch) - guess[ch]).alias("symbol")) for k, ch in enumerate(CHANNELS)]
     counts = p.select(*keys, "tx", "ty", F.inline(F.array(*rows))).groupBy(*keys, "tx", "ty", "mode", "ch", "symbol").agg(F.count("*").alias("n"))
     each = gini_impurity(counts, [*keys, "tx", "ty", "mode", "ch"], 12)
@@ -259,8 +259,9 @@ def expand_cache(tokens: DataFrame, bits: int = 4, keys: list[str] = KEYS) -> Da
 
 def channel_profile(pixels: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """For each image, stage (plain, subtract_green) and channel: pixels, distinct values, impurity."""
-    stages = pixels.select(*keys, F.lit("plain").alias("stage"), *CHANNELS).union(subtract_green(pixels).select(*keys, F.lit("subtract_green"), *CHANNELS))
-    each = stages.select(*keys, "stage", F.inline(F.array(*(F.struct(F.lit(ch).alias("channel"), F.col(ch).alias("symbol")) for ch in CHANNELS))))
+    cell = lambda stage, ch, symbol: F.struct(F.lit(stage).alias("stage"), F.lit(ch).alias("channel"), symbol.alias("symbol"))
+    less = {ch: wrap8(F.col(ch) - F.col("g")) if ch in "rb" else F.col(ch) for ch in CHANNELS}
+    each = pixels.select(*keys, F.inline(F.array(*(cell("plain", ch, F.col(ch)) for ch in CHANNELS), *(cell("subtract_green", ch, less[ch]) for ch in CHANNELS))))
     hist = each.groupBy(*keys, "stage", "channel", "symbol").agg(F.count("*").alias("n"))
     n = F.col("n").cast("double")
     return hist.groupBy(*keys, "stage", "channel").agg(F.sum("n").alias("total"), F.count("*").alias("n_distinct"), F.round(1 - F.sum(n * n) / (F.sum(n) * F.sum(n)), 9).alias("impurity"))

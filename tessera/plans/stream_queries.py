@@ -30,7 +30,6 @@ def st2(spark: SparkSession, d: str) -> DataFrame:
     at = _folder(spark, "hits")
     cells = X.vec_px(spark, d).withColumn("argb", argb())
     cells.select("image_id", "pos", color_slot(F.col("argb"), 4).alias("slot"), "argb").write.parquet(f"{at}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).parquet(f"{at}/in")
     out = stream_cache_hits(rows).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     out.awaitTermination()

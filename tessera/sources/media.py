@@ -31,11 +31,13 @@ def write_media(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
 
 
 def explode_pixels(images: DataFrame, most_rows: int = 1 << 18) -> DataFrame:
-    """(image_id, pos, x, y, r, g, b, a) from images (image_id, width, height, rgba BINARY); the buffer becomes columns in a task, in batches of bounded size. A short buffer gives its complete pixels."""
+    """(image_id, pos, x, y, r, g, b, a) from images (image_id, width, height, rgba BINARY); the buffer becomes columns in a task, in batches of bounded size. A short buffer gives its complete pixels; an image without id or width, or of width 0, gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for image_id, width, data in zip(*(batch.column(c).to_pylist() for c in ("image_id", "width", "rgba")), strict=True):
+                if image_id is None or not width or width < 0:
+                    continue
                 cells = np.frombuffer(data or b"", dtype=np.uint8)[: len(data or b"") // 4 * 4].reshape(-1, 4).astype(np.int32)
                 for i in range(0, len(cells), most_rows):
                     pos = np.arange(i, min(len(cells), i + most_rows))

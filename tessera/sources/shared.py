@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests on one machine), a folder of our own."""
+    """`spark.checkpoint.dir`, or the session's checkpoint folder; where neither is set there is none to write to, and this says so."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-shared-"))
-        found = spark.sparkContext.getCheckpointDir()
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return found

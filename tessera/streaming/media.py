@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from tessera.operators.container import image_catalog, walk_chunks
 
@@ -25,28 +26,27 @@ def stream_catalog(files: DataFrame, sink: str, checkpoint: str) -> StreamingQue
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class _Hits(StatefulProcessor):
-    """Last value of each slot, by key. State is bounded by the slots; idle keys go after the time to live."""
+def stream_cache_hits(pixels: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """(image_id, pos, hit) of a stream (image_id LONG, pos LONG, slot INT, argb LONG). Within a batch rows are put in order of pos.
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    The state of a key is the last value of each of its slots, one array beside another: a batch reads and writes it once. It is bounded by the
+    slots. With a time to live, idle keys are forgotten; such a query runs batches for its timeouts without end, so it must not be asked to
+    end when its input does (the trigger availableNow).
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "slot int", "argb long", self.ttl_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def hits(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         got = pd.concat(list(rows)).sort_values("pos", kind="stable")
-        hits = []
-        for slot, color, pos in zip(got["slot"], got["argb"], got["pos"], strict=True):
-            seen = self.last.getValue((int(slot),))[0] if self.last.containsKey((int(slot),)) else 0
-            hits.append(pos > 0 and seen == color)
-            self.last.updateValue((int(slot),), (int(color),))
-        yield pd.DataFrame({"image_id": key[0], "pos": got["pos"], "hit": hits})
-
-    def close(self) -> None:
-        pass
-
-
-def stream_cache_hits(pixels: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """(image_id, pos, hit) of a stream (image_id LONG, pos LONG, slot INT, argb LONG). Within a batch rows are put in order of pos; the RocksDB state store has to be set."""
-    return pixels.groupBy("image_id").transformWithStateInPandas(_Hits(ttl_ms), "image_id long, pos long, hit boolean", "Append", "ProcessingTime")
+        last = dict(zip(*state.get, strict=True)) if state.exists else {}
+        before = got.groupby("slot")["argb"].shift()
+        first = before.isna()
+        before[first] = got.loc[first, "slot"].map(last).fillna(0)
+        yield pd.DataFrame({"image_id": key[0], "pos": got["pos"], "hit": (got["pos"] > 0) & (before.astype("int64") == got["argb"])})
+        last |= got.groupby("slot")["argb"].last().to_dict()
+        state.update(([int(k) for k in last], [int(v) for v in last.values()]))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+
+    return pixels.groupBy("image_id").applyInPandasWithState(hits, "image_id long, pos long, hit boolean", "slots array<int>, colors array<long>", "append", "ProcessingTimeTimeout" if ttl_ms else "NoTimeout")
