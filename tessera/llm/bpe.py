@@ -19,7 +19,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Bytes of known encodings that a worker keeps, of pieces in a row and of pieces; and the longest, in letters, that are kept.
 KEPT_ROWS, KEPT_PIECES, LONGEST_KEPT = 64 << 20, 24 << 20, 64
 #: Token pairs whose compatibility a worker keeps.
-KEPT_PAIRS = 200_000
+KEPT_PAIRS = 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -79,7 +79,7 @@ class Bpe:
         for b, i in ids.items():
             self.automaton.add_word(b.decode("latin-1"), (len(b), i))
         self.automaton.make_automaton()
-        self.agree: dict[tuple[int, int], bool] = {}
+        self.agree: dict[int, bool] = {}
         self.known, self.rows = Kept(KEPT_PIECES), Kept(KEPT_ROWS)
         self.faithful = True  # whether all pieces so far decode to themselves
         self.blanks = re.compile(r"\s | \s").search
@@ -92,7 +92,7 @@ class Bpe:
         Undo merges on both sides of the seam, the later one first. At each state, a merge across the seam that comes
         before the merge just undone would have been made first, and then a, b would not stand.
         """
-        if (found := self.agree.get((a, b))) is not None:
+        if (found := self.agree.get(pair := a << 32 | b)) is not None:
             return found
         none = len(self.rank)
         x, y, undone, ok = a, b, (none, 0), True
@@ -111,7 +111,7 @@ class Bpe:
                 undone, y = (py[2], 1), py[0]
         if len(self.agree) >= KEPT_PAIRS:
             self.agree.clear()
-        self.agree[a, b] = ok
+        self.agree[pair] = ok
         return ok
 
     def encode_piece(self, piece: bytes) -> list[int]:
