@@ -16,8 +16,8 @@ from tessera.llm.common import chunks
 
 #: Fixed value: the public byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes of known encodings that a worker keeps, of pieces in a row and of pieces; and the longest, in letters, that are kept.
-KEPT_ROWS, KEPT_PIECES, LONGEST_KEPT = 64 << 20, 24 << 20, 64
+#: Bytes of known encodings that a worker keeps, of what follows a blank and of other pieces; and the longest, in letters, that are kept.
+KEPT_ROWS, KEPT_PIECES, LONGEST_KEPT = 80 << 20, 8 << 20, 64
 #: Token pairs whose compatibility a worker keeps.
 KEPT_PAIRS = 400_000
 
@@ -115,31 +115,40 @@ class Bpe:
         return ok
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        last: list[tuple[int, int] | None] = [None] * len(piece)  # of each prefix: last token and its length
+        # of each prefix the last token, and its length; nothing stands before the empty one
+        last: list[int | None] = [-1, *[None] * len(piece)]
+        sizes = [0] * (len(piece) + 1)
+        agree = self.agree.get
         for end, (size, token) in self.automaton.iter(piece.decode("latin-1")):
-            if last[end] is None:
-                start = end - size
-                if start < 0 or ((before := last[start]) is not None and self.compatible(before[0], token)):
-                    last[end] = (token, size)
-        out, end = [], len(piece) - 1
-        while end >= 0:
-            token, size = last[end]
-            out.append(token)
-            end -= size
+            end += 1
+            if last[end] is None and (before := last[end - size]) is not None:
+                if before >= 0 and (fits := agree(before << 32 | token)) is not True and (fits is False or not self.compatible(before, token)):
+                    continue
+                last[end], sizes[end] = token, size
+        out, end = [], len(piece)
+        while end:
+            out.append(last[end])
+            end -= sizes[end]
         return out[::-1]
 
+    def _new(self, piece: str) -> str:
+        ids = self.encode_piece(piece.encode())
+        self.faithful &= self.decode(ids) == piece
+        return ",".join(map(str, ids))
+
     def _piece(self, piece: str) -> str:
-        if (found := self.known.young.get(piece) or self.known.older(piece)) is None:
-            ids = self.encode_piece(piece.encode())
-            self.faithful &= self.decode(ids) == piece
-            found = ",".join(map(str, ids))
-            self.known.add(piece, found)
+        """A piece's ids. One that begins with a blank is kept as the row after that blank."""
+        kept, key = (self.rows, piece[1:]) if piece[0] == " " else (self.known, piece)
+        if (found := kept.young.get(key) or kept.older(key)) is None:
+            found = self._new(piece)
+            kept.add(key, found)
         return found
 
     def _row(self, row: str) -> str:
         """A blank and the text up to the next one, which no piece crosses."""
         if (found := self.rows.young.get(row) or self.rows.older(row)) is None:
-            found = ",".join(map(self._piece, self.find(f" {row}")))
+            pieces = self.find(f" {row}")
+            found = self._new(pieces[0]) if len(pieces) == 1 else ",".join(map(self._piece, pieces))
             self.rows.add(row, found)
         return found
 
