@@ -34,8 +34,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     grouped = near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
     ids = rows.select("key", "doc_id").distinct()
     by_id = written(grouped.join(ids, "key").select("key", "component_id", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key").alias("rank")), "groups")
-    first = by_id.groupBy("component_id").agg(F.min("rank").alias("first")).select("component_id", F.col("first.key").alias("first"))
-    gone = by_id.join(first, "component_id").filter("key != first").select("key")
+    # a large group meets by its rows' keys, which are its own, not by the group
+    first = by_id.groupBy("component_id").agg(F.min("rank").alias("first")).select(F.col("first.key").alias("key"))
+    gone = by_id.select("key").join(first.hint("merge"), "key", "left_anti")
     left = rows.join(gone.hint("merge"), "key", "left_anti")
     # few rows occur more than once: only their texts are dealt by key
     often = written(rows.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"), "repeated")
