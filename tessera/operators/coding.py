@@ -1,4 +1,8 @@
-"""Symbols, histograms, prefix codes, bit positions and packed payloads."""
+"""Symbols, histograms, prefix codes, bit positions and packed payloads.
+
+Rows with null keys form a group of their own in histograms and meet nothing in a join with code books or widths. A null symbol is counted as one more symbol
+of its histogram; histograms for `codebook_lengths` should have none. Repeated rows count each. Ties go to the lower symbol. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -29,6 +33,7 @@ def tokens_to_symbols(tokens: DataFrame, width: DataFrame) -> DataFrame:
 
 
 def symbol_histogram(symbols: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, alphabet, symbol, n): how often each symbol occurs."""
     return symbols.groupBy(*keys, "alphabet", "symbol").agg(F.count("*").alias("n"))
 
 
@@ -126,6 +131,7 @@ def coded_size(hist: DataFrame, codebook: DataFrame, extra: DataFrame | None = N
 
 
 def depth_histogram(codebook: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, alphabet, depth, n): how many symbols have each depth; -1 is that of an only symbol."""
     return codebook.groupBy(*keys, "alphabet", "depth").agg(F.count("*").alias("n"))
 
 

@@ -1,4 +1,8 @@
-"""RIFF containers: walking, describing, checking and assembling them; header features and the catalog of images."""
+"""RIFF containers: walking, describing, checking and assembling them; header features and the catalog of images.
+
+Every file is its own row: repeated files give repeated rows, an empty or null content is an error row, and a header too short for a field gives null there.
+An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 

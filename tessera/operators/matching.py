@@ -1,4 +1,8 @@
-"""Back-references: earlier equal stretches of a sequence, as candidates, as a greedy parse, and expanded again."""
+"""Back-references: earlier equal stretches of a sequence, as candidates, as a greedy parse, and expanded again.
+
+A null pixel equals none and starts no match; the parse leaves it out. Positions are meant to be unique in a sequence: of rows that share one, each counts,
+in no fixed order. Of equally good matches the nearest wins. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -97,6 +101,20 @@ def triple_bucket(a: int, b: int, c: int) -> int:
     return (h[0] ^ h[1] * SECOND ^ h[2] * THIRD) & ((1 << BUCKET_BITS) - 1)
 
 
+def equal_run(colors: list[int], a: int, b: int, most: int) -> int:
+    """How many colours from a on equal those from b on, up to `most`; whole slices first, halved where they differ."""
+    m, step = 0, 16
+    while m < most:
+        step = min(step, most - m)
+        if colors[a + m : a + m + step] == colors[b + m : b + m + step]:
+            m, step = m + step, step * 2
+        elif step == 1:
+            break
+        else:
+            step //= 2
+    return m
+
+
 def parse(colors: list[int]) -> list[tuple[int, int, int]]:
     """Greedy back-references over a sequence: (position, length, distance), length 0 for a literal. Chains hold visited positions only, nearest first."""
     chains, out, i, n = defaultdict(list), [], 0, len(colors)
@@ -107,9 +125,7 @@ def parse(colors: list[int]) -> list[tuple[int, int, int]]:
             for j in chains[bucket][: -PROBES - 1 : -1]:
                 if i - j >= FARTHEST:
                     break
-                m, most = 0, min(LONGEST, n - i)
-                while m < most and colors[j + m] == colors[i + m]:
-                    m += 1
+                m = equal_run(colors, j, i, min(LONGEST, n - i))
                 if m > length:
                     length, dist = m, i - j
             chains[bucket].append(i)
@@ -121,7 +137,8 @@ def parse(colors: list[int]) -> list[tuple[int, int, int]]:
 
 
 def backref_parse(hits: DataFrame) -> DataFrame:
-    """Tokens of each image from `cache_hits` rows: copies, cache hits and literals. The parse depends on what it chose before, so one task an image; cache hits do not, so they come from a window before it."""
+    """Tokens of each image from `cache_hits` rows: copies, cache hits and literals. The parse depends on what it chose before, so one task an image; cache hits do not, so they come from a window before it.
+    Rows with a null id, position or channel take no part."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos", kind="stable")
@@ -139,29 +156,41 @@ def backref_parse(hits: DataFrame) -> DataFrame:
         frame = pd.DataFrame(out, columns=["image_id", "tok", "pos", "kind", "g", "r", "b", "a", "len", "dist", "slot"])
         return frame.astype({c: "Int64" for c in ("g", "r", "b", "a", "len", "dist", "slot")})
 
-    return hits.groupBy("image_id").applyInPandas(run, _TOKENS)
+    columns = ["image_id", "pos", "r", "g", "b", "a", "argb", "slot", "hit"]
+    return hits.select(columns).dropna().groupBy("image_id").applyInPandas(run, _TOKENS)
 
 
 def backref_expand(tokens: DataFrame, bits: int = 4) -> DataFrame:
-    """(image_id, pos, argb, error) from tokens. Copies may overlap what they make and hold cache hits, so both unfold in one pass; a copy from before the start is an error row and ends its image."""
+    """(image_id, pos, argb, error) from tokens. Copies may overlap what they make and hold cache hits, so both unfold in one pass. An error row ends its
+    image: `bad_distance` for a copy from before the start, `bad_token` for a token that lacks what its kind needs or has it negative. Tokens without image or number are left out."""
+    needs = {"copy": ("len", "dist"), "cache": ("slot",), "literal": ("a", "r", "g", "b")}
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        cache, done, error = [0] * (1 << bits), [], None
+        cache, done, cached, error = [0] * (1 << bits), [], 0, None
         slot_of = lambda c: ((c * MULTIPLIER) & 0xFFFFFFFF) >> (32 - bits)
         for t in group.sort_values("tok", kind="stable").to_dict("records"):
+            values = [t[name] for name in needs.get(t["kind"], ())]
+            if not values or any(pd.isna(v) or v < 0 for v in values) or (t["kind"] == "cache" and values[0] >= len(cache)):
+                error = "bad_token"
+                break
+            values = [int(v) for v in values]
             if t["kind"] == "copy":
-                if t["dist"] > len(done) or t["dist"] < 1:
+                length, dist = values
+                if not 1 <= dist <= len(done):
                     error = "bad_distance"
                     break
-                for _ in range(int(t["len"])):
-                    done.append(done[-int(t["dist"])])
-                    cache[slot_of(done[-1])] = done[-1]
-                continue
-            c = cache[int(t["slot"])] if t["kind"] == "cache" else int(t["a"]) << 24 | int(t["r"]) << 16 | int(t["g"]) << 8 | int(t["b"])
-            cache[slot_of(c)] = c
-            done.append(c)
+                stretch = done[-dist:]
+                done += (stretch * (length // dist + 1))[:length]
+            elif t["kind"] == "cache":
+                for c in done[cached:]:  # the cache is brought up to date where it is read
+                    cache[slot_of(c)] = c
+                cached = len(done)
+                done.append(cache[values[0]])
+            else:
+                a, r, g, b = values
+                done.append(a << 24 | r << 16 | g << 8 | b)
         out = pd.DataFrame({"image_id": group["image_id"].iloc[0], "pos": range(len(done) + bool(error)), "argb": done + [0] * bool(error)})
         out["error"] = [None] * len(done) + [error] * bool(error)
         return out
 
-    return tokens.groupBy("image_id").applyInPandas(run, "image_id long, pos long, argb long, error string")
+    return tokens.dropna(subset=["image_id", "tok"]).groupBy("image_id").applyInPandas(run, "image_id long, pos long, argb long, error string")

@@ -1,4 +1,8 @@
-"""Palettes: building, indexing, packing several indices into a byte, and back."""
+"""Palettes: building, indexing, packing several indices into a byte, and back.
+
+A caller's column named argb is replaced by the colour of r, g, b, a. Pixels with a null channel have no colour: they take an entry of the palette each kind,
+and no index. Repeated pixels are indexed each; where two colours first appear at one position, their order in the palette is not fixed. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -57,5 +61,6 @@ def palette_delta(palette: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def palette_undelta(deltas: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Entries from their differences: `palette_delta` undone."""
     w = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     return deltas.select(*keys, "idx", *(wrap8(F.sum(ch).over(w)).alias(ch) for ch in CHANNELS))

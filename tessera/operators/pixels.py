@@ -1,7 +1,11 @@
 """Jobs over pixel tables (keys..., pos, x, y, r, g, b, a): channel decorrelation, windows, tiles, prediction, scores.
 
 Every function takes `keys`, the columns that tell one sequence or grid from another. Rows with null keys form a grid of their own;
-null channel values give null results; an empty table gives an empty table; other columns pass through where rows do.
+null channel values give null results; an empty table gives an empty table; other columns pass through where rows do, also those named
+like a column that a job needs on its way (mode, tx, ty, l, t, tl, tr, g2r, ...). Columns that a job returns replace others of that name.
+A repeated pixel is one more pixel to counts and to jobs on single rows. Jobs that walk a grid in order (`sequential_modes`,
+`inverse_predict`) leave out rows with a null coordinate or channel, take the first of repeated pixels by position and channels, and allow gaps,
+such as a last row that ends early: a missing pixel is nobody's, and a neighbour of zeros to others.
 """
 
 from __future__ import annotations
@@ -19,11 +23,20 @@ KEYS = ["image_id"]
 CHANNELS = ["r", "g", "b", "a"]
 
 
+def _aside(df: DataFrame, names: list[str], back: bool = False) -> DataFrame:
+    """The caller's columns of these names under other names, or back under their own."""
+    own = {n: f"_own_{n}" for n in names}
+    own = {v: k for k, v in own.items()} if back else own
+    return df.withColumnsRenamed({k: v for k, v in own.items() if k in df.columns})
+
+
 def subtract_green(pixels: DataFrame) -> DataFrame:
+    """Red and blue less green, modulo 256."""
     return pixels.withColumns({"r": wrap8(F.col("r") - F.col("g")), "b": wrap8(F.col("b") - F.col("g"))})
 
 
 def add_green(pixels: DataFrame) -> DataFrame:
+    """Red and blue plus green, modulo 256: `subtract_green` undone."""
     return pixels.withColumns({"r": wrap8(F.col("r") + F.col("g")), "b": wrap8(F.col("b") + F.col("g"))})
 
 
@@ -32,24 +45,30 @@ def _delta(coefficient: Column, channel: Column) -> Column:
     return F.shiftright((signed8(coefficient) * signed8(channel)).cast("bigint"), 5)
 
 
+#: Columns of `cross_color` that live within the job only.
+COEFFICIENTS = ["g2r", "g2b", "r2b", "tx", "ty"]
+
+
 def _with_coeffs(pixels: DataFrame, coeffs: DataFrame | None, bits: int, keys: list[str]) -> DataFrame:
+    pixels = _aside(pixels, [c for c in COEFFICIENTS if c not in keys])
     if coeffs is None:
         return pixels.withColumns({"g2r": F.lit(3), "g2b": F.lit(2), "r2b": F.lit(1)})
     return with_tile(pixels, coeffs, bits, keys)
 
 
 def cross_color(pixels: DataFrame, coeffs: DataFrame | None = None, bits: int = 4, keys: list[str] = KEYS) -> DataFrame:
-    """Red less what green foretells, blue less what green and the original red do; coeffs (keys, tx, ty, g2r, g2b, r2b), or 3, 2, 1 throughout."""
+    """Red less what green foretells, blue less what green and the original red do; coeffs (keys, tx, ty, g2r, g2b, r2b), or 3, 2, 1 throughout. A pixel without coefficients for its tile is left out."""
     p = _with_coeffs(pixels, coeffs, bits, keys)
     red = wrap8(F.col("r") - _delta(F.col("g2r"), F.col("g")))
     blue = wrap8(F.col("b") - _delta(F.col("g2b"), F.col("g")) - _delta(F.col("r2b"), F.col("r")))
-    return p.withColumns({"r": red, "b": blue}).drop("g2r", "g2b", "r2b", "tx", "ty")
+    return _aside(p.withColumns({"r": red, "b": blue}).drop(*COEFFICIENTS), COEFFICIENTS, back=True)
 
 
 def inverse_cross_color(pixels: DataFrame, coeffs: DataFrame | None = None, bits: int = 4, keys: list[str] = KEYS) -> DataFrame:
     """Red first, then blue from the restored red."""
     p = _with_coeffs(pixels, coeffs, bits, keys).withColumn("r", wrap8(F.col("r") + _delta(F.col("g2r"), F.col("g"))))
-    return p.withColumn("b", wrap8(F.col("b") + _delta(F.col("g2b"), F.col("g")) + _delta(F.col("r2b"), F.col("r")))).drop("g2r", "g2b", "r2b", "tx", "ty")
+    p = p.withColumn("b", wrap8(F.col("b") + _delta(F.col("g2b"), F.col("g")) + _delta(F.col("r2b"), F.col("r")))).drop(*COEFFICIENTS)
+    return _aside(p, COEFFICIENTS, back=True)
 
 
 def unpremultiply(pixels: DataFrame) -> DataFrame:
@@ -59,10 +78,12 @@ def unpremultiply(pixels: DataFrame) -> DataFrame:
 
 
 def alpha_from_green(pixels: DataFrame) -> DataFrame:
+    """Green as alpha; the colours go."""
     return pixels.withColumn("a", F.col("g")).drop("r", "g", "b")
 
 
 def has_alpha(pixels: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, has_alpha): whether any pixel is not opaque; null where no alpha is known."""
     return pixels.groupBy(*keys).agg(F.bool_or(F.col("a") != 255).alias("has_alpha"))
 
 
@@ -76,7 +97,7 @@ def with_neighbors(pixels: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Left, top, top-left and top-right pixel of each, as structs l, t, tl, tr; null where there is none.
 
     Past the last column, top-right is the first pixel of the pixel's own row, which is what follows in row-major order. Windows are by
-    row and by column, so a giant image is still many groups.
+    row and by column, so a giant image is still many groups. Beyond a gap in the grid, the next pixel there is counts as the neighbour.
     """
     pixel = F.struct(*CHANNELS)
     row, column = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
@@ -127,10 +148,12 @@ def predicted(mode: Column, neighbors: DataFrame | None = None, table: dict | No
 
 def residual(pixels: DataFrame, tiles: DataFrame | None = None, bits: int = 4, mode: int = 11, keys: list[str] = KEYS) -> DataFrame:
     """Pixels less their predictions, modulo 256; the mode comes from tiles (keys, tx, ty, mode), or is one for all."""
-    p = with_neighbors(pixels, keys)
+    within = ["l", "t", "tl", "tr", "mode", "tx", "ty"]
+    p = with_neighbors(_aside(pixels, within), keys)
     p = with_tile(p, tiles, bits, keys) if tiles is not None else p.withColumn("mode", F.lit(mode))
     guess = predicted(F.col("mode"))
-    return p.withColumns({f"_{ch}": wrap8(F.col(ch) - guess[ch]) for ch in CHANNELS}).drop(*CHANNELS, "l", "t", "tl", "tr", "mode", "tx", "ty").withColumnsRenamed({f"_{ch}": ch for ch in CHANNELS})
+    p = p.withColumns({f"_{ch}": wrap8(F.col(ch) - guess[ch]) for ch in CHANNELS}).drop(*CHANNELS, *within).withColumnsRenamed({f"_{ch}": ch for ch in CHANNELS})
+    return _aside(p, within, back=True)
 
 
 def with_tile(pixels: DataFrame, tiles: DataFrame, bits: int = 4, keys: list[str] = KEYS) -> DataFrame:
@@ -164,10 +187,20 @@ def best_tile_mode(scores: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return scores.groupBy(*keys, "tx", "ty").agg(F.min_by("mode", F.struct("score", "mode")).alias("mode"))
 
 
-def _grid(group: pd.DataFrame) -> tuple[np.ndarray, int, int]:
-    group = group.sort_values(["y", "x"], kind="stable")
-    w, h = int(group.x.max()) + 1, int(group.y.max()) + 1
-    return group[CHANNELS].to_numpy(np.int64).reshape(h, w, 4), w, h
+def _whole(pixels: DataFrame) -> DataFrame:
+    """Pixels with all that a walk over their grid needs."""
+    return pixels.dropna(subset=["image_id", "x", "y", *CHANNELS]).filter("x >= 0 AND y >= 0")
+
+
+def _grid(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The pixels in row-major order, each place once, as an array of zeros elsewhere, and which places are taken."""
+    group = group.sort_values(["y", "x", "pos", *CHANNELS], kind="stable").drop_duplicates(["y", "x"])
+    y, x = group.y.to_numpy(), group.x.to_numpy()
+    p = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 4), dtype=np.int64)
+    p[y, x] = group[CHANNELS].to_numpy(np.int64)
+    given = np.zeros(p.shape[:2], dtype=bool)
+    given[y, x] = True
+    return group, p, given
 
 
 def _guesses(left: np.ndarray, top: np.ndarray, corner: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
@@ -193,7 +226,8 @@ def sequential_modes(pixels: DataFrame, bits: int = 4) -> DataFrame:
     together with those of all tiles before it, in row-major order. One task an image; above a size that a task holds, use `best_tile_mode`."""
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        p, w, h = _grid(group)
+        group, p, given = _grid(group)
+        h, w = given.shape
         left, top, corner, right = _neighbor_arrays(p)
         guess = np.stack(_guesses(left, top, corner, right))
         guess[:, :, 0], guess[:, 0, :], guess[:, 0, 0] = top[:, 0], left[0], np.array([0, 0, 0, 255])
@@ -201,7 +235,10 @@ def sequential_modes(pixels: DataFrame, bits: int = 4) -> DataFrame:
         size, seen, out = 1 << bits, np.zeros((4, 256)), []
         for ty in range((h + size - 1) >> bits):
             for tx in range((w + size - 1) >> bits):
-                part = rest[:, ty * size : (ty + 1) * size, tx * size : (tx + 1) * size].reshape(len(rest), -1, 4)
+                tile = np.s_[ty * size : (ty + 1) * size, tx * size : (tx + 1) * size]
+                part = rest[:, *tile][:, given[tile]]
+                if not part.size:
+                    continue
                 scores, sums = [], []
                 for m in range(len(rest)):
                     n = seen + np.stack([np.bincount(part[m, :, k], minlength=256) for k in range(4)])
@@ -212,30 +249,33 @@ def sequential_modes(pixels: DataFrame, bits: int = 4) -> DataFrame:
                 out.append((group.image_id.iloc[0], tx, ty, best))
         return pd.DataFrame(out, columns=["image_id", "tx", "ty", "mode"])
 
-    return pixels.groupBy("image_id").applyInPandas(choose, "image_id long, tx int, ty int, mode int")
+    return _whole(pixels).groupBy("image_id").applyInPandas(choose, "image_id long, tx int, ty int, mode int")
 
 
 def inverse_predict(residuals: DataFrame, tiles: DataFrame, bits: int = 4) -> DataFrame:
-    """Pixels from residuals and tile modes (image_id, tx, ty, mode). Each pixel needs the one before it, so one task an image."""
+    """Pixels from residuals and tile modes (image_id, tx, ty, mode). Each pixel needs the one before it, so one task an image. A pixel whose tile has no mode is left out."""
 
     def restore(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
-        p, w, h = _grid(group)
-        modes = group["mode"].to_numpy().reshape(h, w)
-        done = np.zeros_like(p).reshape(-1, 4)
-        for i, rest in enumerate(p.reshape(-1, 4)):
+        group, p, given = _grid(group)
+        w, places = given.shape[1], np.flatnonzero(given)
+        # one row more: what follows the last pixel is nobody's
+        done, rests = np.zeros((given.size + 1, 4), dtype=np.int64), p.reshape(-1, 4)
+        for i, mode in zip(places.tolist(), group["mode"].tolist(), strict=True):
             y, x = divmod(i, w)
             if y == 0:
                 guess = done[i - 1] if x else np.array([0, 0, 0, 255])
             elif x == 0:
                 guess = done[i - w]
             else:
-                guess = _guesses(done[i - 1], done[i - w], done[i - w - 1], done[i - w + 1])[modes[y, x]]
-            done[i] = (rest + guess) & 255
-        group[CHANNELS] = done
-        return group[["image_id", "pos", "x", "y", *CHANNELS]]
-
-    return with_tile(residuals, tiles, bits).groupBy("image_id").applyInPandas(restore, "image_id long, pos long, x int, y int, r int, g int, b int, a int")
+                guess = _guesses(done[i - 1], done[i - w], done[i - w - 1], done[i - w + 1])[mode]
+            done[i] = (rests[i] + guess) & 255
+        out = group[["image_id", "pos", "x", "y"]].copy()
+        out[CHANNELS] = done[places]
+        return out
+
+    modes = tiles.select("image_id", "tx", "ty", "mode").filter("mode BETWEEN 0 AND 13")
+    pixels = _whole(residuals).select("image_id", "pos", "x", "y", *CHANNELS)
+    return with_tile(pixels, modes, bits).groupBy("image_id").applyInPandas(restore, "image_id long, pos long, x int, y int, r int, g int, b int, a int")
 
 
 def cache_hits(pixels: DataFrame, bits: int = 4, keys: list[str] = KEYS) -> DataFrame:

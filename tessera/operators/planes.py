@@ -1,4 +1,8 @@
-"""Planar images: subsampled chroma, conversion to colours, alpha filters."""
+"""Planar images: subsampled chroma, conversion to colours, alpha filters.
+
+Null values give null results, and an empty table an empty one; a row with a null key meets nothing in a join. Of repeated samples joins by
+`upsample_join` take the largest; packing keeps each one. A plane that is missing leaves its pixels out (chroma) or opaque (alpha).
+"""
 
 from __future__ import annotations
 
@@ -55,20 +59,23 @@ def unfilter_alpha(plane: DataFrame, kind: int) -> DataFrame:
 
 
 def unfilter_alpha_gradient(plane: DataFrame) -> DataFrame:
-    """Filter 3 undone: each value adds left + top - top-left, clamped, of restored values; so one task an image."""
+    """Filter 3 undone: each value adds left + top - top-left, clamped, of restored values; so one task an image. Rows with a null take no part, the smallest of repeated values
+    counts, and a missing one is 0 to others, as in a last row that ends early."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["y", "x"], kind="stable")
+        group = group.sort_values(["y", "x", "v"], kind="stable").drop_duplicates(["y", "x"])
+        at = group.y.to_numpy(), group.x.to_numpy()
         w, h = int(group.x.max()) + 1, int(group.y.max()) + 1
-        v = group.v.to_numpy(np.int64).reshape(h, w)
+        v = np.zeros((h, w), dtype=np.int64)
+        v[at] = group.v.to_numpy(np.int64)
         v[0] = np.cumsum(v[0]) & 255
         for y in range(1, h):
             v[y, 0] = (v[y, 0] + v[y - 1, 0]) & 255
             for x in range(1, w):
                 v[y, x] = (v[y, x] + min(255, max(0, v[y, x - 1] + v[y - 1, x] - v[y - 1, x - 1]))) & 255
-        return group.assign(v=v.reshape(-1))[["image_id", "x", "y", "v"]]
+        return group.assign(v=v[at])[["image_id", "x", "y", "v"]]
 
-    return plane.groupBy("image_id").applyInPandas(run, "image_id long, x int, y int, v int")
+    return plane.dropna(subset=["image_id", "x", "y", "v"]).filter("x >= 0 AND y >= 0").groupBy("image_id").applyInPandas(run, "image_id long, x int, y int, v int")
 
 
 def filter_gradient(plane: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ def golden_diff(actual: DataFrame, expected: DataFrame, keys: list[str], values:
 
 
 def mismatches(diff: DataFrame, group: str = "image_id") -> DataFrame:
+    """(group, n_different): rows of `golden_diff` by group; groups without any are not listed."""
     return diff.groupBy(group).agg(F.count("*").alias("n_different"))
 
 

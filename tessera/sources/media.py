@@ -14,7 +14,7 @@ BINARY_FILE = "path string, modificationTime timestamp, length long, content bin
 
 
 def read_media(spark: SparkSession, path: str, glob: str = "*.webp") -> DataFrame:
-    """(file_id, path, content, length) of every file below a path; file_id is a hash of the path."""
+    """(file_id, path, content, length) of every file below a path; file_id is a hash of the path. Spark's file sources pass over empty files, so these have no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return files.select(F.xxhash64("path").alias("file_id"), "path", "content", "length")
 
