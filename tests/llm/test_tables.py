@@ -1,5 +1,6 @@
 """Operators on vectors, captures and labels, and the pipeline."""
 
+import hashlib
 import random
 import zlib
 
@@ -157,15 +158,18 @@ def test_components(spark):
 
 
 def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
+    """Near copies by all pairs, passages by all windows and ids by the tokenizers library; toxicity and leaks, which have their own tests, by their operators."""
+    from tokenizers import Tokenizer
 
-    from tessera.llm import bpe, decontaminate, recompression, setsketch, toxicity
+    import corpus_pipeline
+    from tessera.llm import bpe, decontaminate, toxicity
+    from tests.llm.test_texts import _near
 
     docs = table(spark, sf_dir, "documents")
-    found = {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    found = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()}
     toxic = {r.doc_id for r in toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).collect() if r.predicted}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id not in toxic]
-    kept = {r.doc_id for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.kept}
+    kept = {i for i, (_, component) in _near(rows).items() if i == component}
     rows = sorted((i, t) for i, t in rows if i in kept)
     seen, texts = {}, []
     for _, t in rows:
@@ -178,9 +182,13 @@ def test_pipeline(spark, sf_dir):
         texts.append(" ".join(x for j, x in enumerate(w) if j not in gone) if gone else t)
     search = decontaminate.Benchmark([(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]).search
     leaked = {f[0] for f in search(texts)}
-    model = bpe.loaded(bpe.default_path())
-    expected = {(i, *bpe._digest(model, t)) for k, ((i, _), t) in enumerate(zip(rows, texts, strict=True)) if k not in leaked}
-    assert found == expected and recompression.WINDOW == 35
+    lib, sha = Tokenizer.from_file(bpe.default_path()), lambda s: hashlib.sha256(s.encode()).hexdigest()
+    expected = set()
+    for k, ((i, _), t) in enumerate(zip(rows, texts, strict=True)):
+        if k not in leaked:
+            ids = lib.encode(t or "", add_special_tokens=False).ids
+            expected.add((i, len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))))
+    assert found == expected
 
 
 def test_pipeline_keeps_one_of_repeated_rows(spark):
