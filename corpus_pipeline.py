@@ -70,7 +70,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("decontamination", drop_leaks),
     ("bpe", encode),
 ]
-#: Compression distances, near-copy search and byte-pair encoding are beyond SQL; a brute-force version is in the tests.
+#: Compression distances, near-copy search and byte-pair encoding are beyond SQL; the tests follow near copies, passages and encoding by brute force.
 ORACLE_SQL = None
 
 
