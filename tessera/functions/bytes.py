@@ -16,20 +16,22 @@ def byte_at(binary: Column | str, offset: Column | int) -> Column:
     return F.conv(F.hex(F.substr(c(binary), (at + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
 
 
+def _turned(digits: Column, n: int) -> Column:
+    """2 n hexadecimal digits with their pairs in reverse order."""
+    return digits if n == 1 else F.regexp_replace(digits, "(..)" * n, "".join(f"${k}" for k in range(n, 0, -1)))
+
+
 def le_int(binary: Column | str, offset: Column | int, n: int) -> Column:
-    """n bytes from an offset as a little-endian number; null if any lies beyond the end."""
+    """n bytes (seven at most) from an offset as a little-endian number; null if any lies beyond the end."""
     at = F.lit(offset) if isinstance(offset, int) else offset
-    total = byte_at(binary, at)
-    for k in range(1, n):
-        total = total + F.shiftleft(byte_at(binary, at + k), 8 * k)
-    return total
+    part = F.hex(F.substr(c(binary), (at + 1).cast("int"), F.lit(n)))
+    return F.when(F.octet_length(c(binary)) >= at + n, F.conv(_turned(part, n), 16, 10).cast("bigint"))
 
 
 def le_bytes(number: Column | str | int, n: int) -> Column:
-    """A number as n little-endian bytes."""
+    """A number as n little-endian bytes (seven at most)."""
     v = F.lit(number) if isinstance(number, int) else c(number)
-    v = v.cast("bigint")
-    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(v, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(n))))
+    return F.unhex(_turned(F.lpad(F.hex(v.cast("bigint").bitwiseAND(F.lit((1 << (8 * n)) - 1))), 2 * n, "0"), n))
 
 
 def fourcc(binary: Column | str, offset: Column | int) -> Column:

@@ -1,7 +1,8 @@
 """RIFF containers: walking, describing, checking and assembling them; header features and the catalog of images.
 
 Every file is its own row: repeated files give repeated rows, an empty or null content is an error row, and a header too short for a field gives null there.
-An empty table gives an empty one.
+An empty table gives an empty one. What is told of a file is read from its row, which holds its chunks as an array (`walk_files`): no job here but assembling and
+the sums over chunk tables groups or joins by file_id.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from tessera.functions.bytes import ascii_bytes, byte_at, le_bytes, le_int
 
 #: Payload bytes of each chunk that stay on its row, for the header features.
 HEAD = 32
-_CHUNKS = "file_id long, chunk_no int, fourcc string, size long, data_offset long, head binary, error string, at_offset long"
+#: A chunk of a walked file; its number is its place in the array.
+CHUNK = "struct<fourcc: string, size: bigint, data_offset: bigint, head: binary>"
 
 
 def _code(raw: bytes) -> str:
@@ -55,40 +57,57 @@ def _walk(data: bytes, strict: bool) -> Iterator[tuple]:
         yield bad("short_chunk_header", at)
 
 
-def walk_chunks(files: DataFrame, strict: bool = False) -> DataFrame:
-    """One row a chunk of files (file_id LONG, content BINARY), and one with error and at_offset for a file that is not sound.
+def walk_files(files: DataFrame, strict: bool = False) -> DataFrame:
+    """(file_id, riff_size, chunks, error, at_offset, fourcc), one row a row of files (file_id LONG, content BINARY): the chunks in order, then what ended the walk of a file that is not sound.
 
     strict: a tail of under eight bytes is an error too; the lister's rule ignores it. Null content is an invalid signature. The content is read in one
-    pass and left behind: only the first 32 bytes of each payload stay.
+    pass and left behind: only the first 32 bytes of each payload stay. riff_size is the size that a signed header tells, else null.
     """
+    cell = pa.struct([("fourcc", pa.string()), ("size", pa.int64()), ("data_offset", pa.int64()), ("head", pa.binary())])
+    kinds = {"file_id": pa.int64(), "riff_size": pa.int64(), "chunks": pa.list_(cell), "error": pa.string(), "at_offset": pa.int64(), "fourcc": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for file_id, data in zip(batch.column("file_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows += [(file_id, k, *cell) for k, cell in enumerate(_walk(data or b"", strict))]
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in _CHUNKS.split(", ")])
+                chunks, fault = [], (None, None, None)
+                for code, size, start, head, error, at in _walk(data or b"", strict):
+                    if error:
+                        fault = (error, at, code)
+                    else:
+                        chunks.append({"fourcc": code, "size": size, "data_offset": start, "head": head})
+                size = struct.unpack_from("<I", data, 4)[0] if data and len(data) >= 8 and data[:4] == b"RIFF" else None
+                rows.append((file_id, size, chunks, *fault))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
-    return files.select(F.col("file_id").cast("long").alias("file_id"), "content").mapInArrow(run, _CHUNKS)
+    return files.select(F.col("file_id").cast("long").alias("file_id"), "content").mapInArrow(run, f"file_id long, riff_size long, chunks array<{CHUNK}>, error string, at_offset long, fourcc string")
+
+
+def chunk_rows(walked: DataFrame) -> DataFrame:
+    """(file_id, chunk_no, fourcc, size, data_offset, head) of walked files, one row a chunk."""
+    return walked.select("file_id", F.posexplode("chunks").alias("chunk_no", "c")).select("file_id", "chunk_no", "c.*")
+
+
+def error_rows(walked: DataFrame) -> DataFrame:
+    """(file_id, error, at_offset, fourcc) of walked files that are not sound."""
+    return walked.filter("error IS NOT NULL").select("file_id", "error", "at_offset", "fourcc")
 
 
 def chunk_inventory(files: DataFrame, strict: bool = False) -> DataFrame:
     """(file_id, chunk_no, fourcc, size, data_offset, head)."""
-    return walk_chunks(files, strict).filter("error IS NULL").drop("error", "at_offset")
+    return chunk_rows(walk_files(files, strict))
 
 
 def chunk_errors(files: DataFrame, strict: bool = False) -> DataFrame:
     """(file_id, error, at_offset, fourcc) of files that are not sound."""
-    return walk_chunks(files, strict).filter("error IS NOT NULL").select("file_id", "error", "at_offset", "fourcc")
+    return error_rows(walk_files(files, strict))
 
 
-def describe_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file_id, summary): 'RIFF, n bytes, WEBP, code, m bytes, ...'."""
-    each = F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "fourcc", "size"))), lambda e: F.concat(e["fourcc"], F.lit(", "), e["size"].cast("string"), F.lit(" bytes")))
-    parts = chunks.groupBy("file_id").agg(F.array_join(each, ", ").alias("parts"))
-    head = files.select("file_id", F.concat(F.lit("RIFF, "), le_int("content", 4, 4).cast("string"), F.lit(" bytes, WEBP")).alias("head"))
-    return head.join(parts, "file_id").select("file_id", F.concat_ws(", ", "head", "parts").alias("summary"))
+def describe_files(walked: DataFrame) -> DataFrame:
+    """(file_id, summary, error), one row a walked file: 'RIFF, n bytes, WEBP, code, m bytes, ...'; a sound file without chunks ends after WEBP, one that is not sound has an error instead."""
+    each = F.transform("chunks", lambda c: F.concat(F.lit(", "), c["fourcc"], F.lit(", "), c["size"].cast("string"), F.lit(" bytes")))
+    summary = F.concat(F.lit("RIFF, "), F.col("riff_size").cast("string"), F.lit(" bytes, WEBP"), F.array_join(each, ""))
+    return walked.select("file_id", F.when(F.col("error").isNull(), summary).alias("summary"), "error")
 
 
 def container_sizes(chunks: DataFrame) -> DataFrame:
@@ -123,6 +142,11 @@ def _part(value: Column, shift: int, bits: int) -> Column:
 _IS_LOSSLESS, _IS_LOSSY = "fourcc = 'VP8L' AND octet_length(head) >= 5", "fourcc = 'VP8 ' AND octet_length(head) >= 10"
 
 
+def _promises_alpha(chunk: Column) -> Column:
+    """Whether a chunk is an extended header with the alpha flag."""
+    return F.coalesce((chunk["fourcc"] == "VP8X") & (F.shiftright(byte_at(chunk["head"], 0), 4).bitwiseAND(F.lit(1)) == 1), F.lit(False))
+
+
 def lossless_header(chunks: DataFrame) -> DataFrame:
     """(file_id, chunk_no, magic, width, height, alpha_hint, version) of lossless chunks."""
     bits = le_int("head", 1, 4)
@@ -151,43 +175,51 @@ def alpha_header(chunks: DataFrame) -> DataFrame:
     return chunks.filter("fourcc = 'ALPH' AND size > 0").select("file_id", "chunk_no", b.bitwiseAND(F.lit(3)).alias("compression"), F.shiftright(b, 2).bitwiseAND(F.lit(3)).alias("filter"))
 
 
-def dispatch_state(chunks: DataFrame) -> DataFrame:
-    """Chunks with what came before each: extended headers, whether alpha was promised, whether an alpha chunk was seen."""
-    w = Window.partitionBy("file_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
-    promised = (F.col("fourcc") == "VP8X") & (F.shiftright(byte_at("head", 0), 4).bitwiseAND(F.lit(1)) == 1)
-    return chunks.withColumns({
-        "n_extended": F.coalesce(F.sum((F.col("fourcc") == "VP8X").cast("int")).over(w), F.lit(0)),
-        "promised": F.coalesce(F.bool_or(promised).over(w), F.lit(False)),
-        "alpha_seen": F.coalesce(F.bool_or(F.col("fourcc") == "ALPH").over(w), F.lit(False)),
-    })
+def dispatch_state(walked: DataFrame) -> DataFrame:
+    """Chunks of walked files with what came before each: extended headers (n_extended), whether alpha was promised, whether an alpha chunk was seen (promised, alpha_seen).
+
+    The places of these chunks, few in a sound file, are found once a file and compared with each chunk's own: nothing leaves the row.
+    """
+    chunks = F.transform("chunks", lambda c, k: F.struct(k.alias("k"), c["fourcc"].alias("fourcc"), _promises_alpha(c).alias("alpha")))
+    of = lambda test: F.transform(F.filter(chunks, test), lambda c: c["k"])
+    marks = walked.select("file_id", "chunks", of(lambda c: c["fourcc"] == "VP8X").alias("_x"), of(lambda c: c["alpha"]).alias("_p"), of(lambda c: c["fourcc"] == "ALPH").alias("_a"))
+    each = marks.select("file_id", F.posexplode("chunks").alias("chunk_no", "c"), "_x", "_p", "_a")
+    before = lambda name: F.coalesce(F.array_min(name) < F.col("chunk_no"), F.lit(False))
+    n_extended = F.size(F.filter("_x", lambda k: k < F.col("chunk_no")))
+    return each.select("file_id", "chunk_no", "c.*", n_extended.alias("n_extended"), before("_p").alias("promised"), before("_a").alias("alpha_seen"))
 
 
-def image_catalog(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file_id, format, width, height, has_alpha, error), one row a file.
+def image_catalog(walked: DataFrame) -> DataFrame:
+    """(file_id, format, width, height, has_alpha, error), one row a walked file.
 
-    The first image chunk decides, unless a rule broke before it: an alpha chunk needs a promise of alpha; an extended header must be
+    The first image chunk decides, unless a rule broke before it: an alpha chunk needs a promise of alpha that no alpha chunk has met yet, and a first byte; an extended header must be
     the only one and ten bytes long; a lossy image must bring the alpha promised, a lossless one must have neither. Other
-    chunks are passed over; a file that ends without image is an invalid format.
+    chunks are passed over. A file that ends without image has the error that ended its walk, or is an invalid format. The rules are a fold over the row's chunks.
     """
-    s = dispatch_state(chunks)
-    code = F.col("fourcc")
-    fault = (
-        F.when((code == "ALPH") & ~F.col("promised"), "unexpected_alpha")
-        .when((code == "VP8X") & (F.col("n_extended") > 0), "repeated_extended_header").when((code == "VP8X") & (F.col("size") != 10), "bad_extended_header")
-        .when((code == "VP8 ") & F.col("promised") & ~F.col("alpha_seen"), "missing_alpha").when((code == "VP8L") & (F.col("promised") | F.col("alpha_seen")), "lossless_with_alpha")
-    )
-    ends = s.withColumn("fault", fault).filter(F.col("fault").isNotNull() | code.isin("VP8 ", "VP8L"))
-    # the sides of both kinds are read where the chunk stands: one walk, and one exchange by file
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    start = F.struct(F.lit(0).alias("n_extended"), F.lit(False).alias("wants"), F.lit(False).alias("alpha_seen"), none("string", "fault"), none("string", "fourcc"), none("binary", "head"))
+
+    def step(s: Column, chunk: Column) -> Column:
+        code = chunk["fourcc"]
+        fault = (
+            F.when((code == "ALPH") & ~s["wants"], "unexpected_alpha").when((code == "ALPH") & (chunk["size"] == 0), "empty_alpha")
+            .when((code == "VP8X") & (s["n_extended"] > 0), "repeated_extended_header").when((code == "VP8X") & (chunk["size"] != 10), "bad_extended_header")
+            .when((code == "VP8 ") & s["wants"], "missing_alpha").when((code == "VP8L") & (s["wants"] | s["alpha_seen"]), "lossless_with_alpha")
+        )
+        image = code.isin("VP8 ", "VP8L")
+        wants = F.when(code == "VP8X", _promises_alpha(chunk)).when(code == "ALPH", F.lit(False)).otherwise(s["wants"])
+        after = F.struct((s["n_extended"] + (code == "VP8X").cast("int")).alias("n_extended"), wants.alias("wants"), (s["alpha_seen"] | (code == "ALPH")).alias("alpha_seen"), fault.alias("fault"), F.when(image, code).alias("fourcc"), F.when(image, chunk["head"]).alias("head"))
+        return F.when(s["fault"].isNotNull() | s["fourcc"].isNotNull(), s).otherwise(after)
+
+    ends = walked.select("file_id", F.col("error").alias("walk_error"), F.aggregate("chunks", start, step).alias("s")).select("file_id", "walk_error", "s.fault", "s.fourcc", "s.alpha_seen", "s.head")
     lossless, lossy = F.expr(_IS_LOSSLESS), F.expr(_IS_LOSSY)
-    ends = ends.withColumns({"_bits": F.when(lossless, le_int("head", 1, 4)), "_w": F.when(lossy, le_int("head", 6, 2)), "_h": F.when(lossy, le_int("head", 8, 2))})
-    kept = F.struct("chunk_no", "fourcc", "fault", "alpha_seen", "_bits", "_w", "_h")
-    first = ends.groupBy("file_id").agg(F.min_by(kept, "chunk_no").alias("e")).select("file_id", "e.*")
-    width = F.coalesce(_part(F.col("_bits"), 0, 14) + 1, _part(F.col("_w"), 0, 14))
-    height = F.coalesce(_part(F.col("_bits"), 14, 14) + 1, _part(F.col("_h"), 0, 14))
-    j = files.select("file_id").join(first, "file_id", "left").withColumns({"width": width, "height": height, "alpha_hint": _part(F.col("_bits"), 28, 1)})
+    ends = ends.withColumns({"bits": F.when(lossless, le_int("head", 1, 4)), "w": F.when(lossy, le_int("head", 6, 2)), "h": F.when(lossy, le_int("head", 8, 2))})
     ok = F.col("fault").isNull() & F.col("fourcc").isNotNull()
-    kind = F.when(F.col("fourcc") == "VP8L", "lossless").when(F.col("alpha_seen"), "lossy+alpha").otherwise("lossy")
-    return j.select("file_id", F.when(ok, kind).alias("format"), F.when(ok, F.col("width")).alias("width"), F.when(ok, F.col("height")).alias("height"), F.when(ok, F.when(F.col("fourcc") == "VP8L", F.col("alpha_hint") == 1).otherwise(F.col("alpha_seen"))).alias("has_alpha"), F.when(F.col("fourcc").isNull(), "invalid_format").otherwise(F.col("fault")).alias("error"))
+    of_lossless = F.col("fourcc") == "VP8L"
+    kind = F.when(of_lossless, "lossless").when(F.col("alpha_seen"), "lossy+alpha").otherwise("lossy")
+    width, height = F.coalesce(_part(F.col("bits"), 0, 14) + 1, _part(F.col("w"), 0, 14)), F.coalesce(_part(F.col("bits"), 14, 14) + 1, _part(F.col("h"), 0, 14))
+    error = F.when(~ok, F.coalesce("fault", "walk_error", F.lit("invalid_format")))
+    return ends.select("file_id", F.when(ok, kind).alias("format"), F.when(ok, width).alias("width"), F.when(ok, height).alias("height"), F.when(ok, F.when(of_lossless, _part(F.col("bits"), 28, 1) == 1).otherwise(F.col("alpha_seen"))).alias("has_alpha"), error.alias("error"))
 
 
 # --- animations -------------------------------------------------------------------------------------------------------

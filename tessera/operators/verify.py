@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 
 def golden_diff(actual: DataFrame, expected: DataFrame, keys: list[str], values: list[str], group: str = "image_id") -> DataFrame:
-    """Rows that differ or stand on one side only: keys and a side 'changed', 'missing' or 'extra'.
+    """(keys, side, n): how many rows of a key differ, as multisets: 'changed' where both sides have a row that the other lacks, 'extra' and 'missing' for what only actual or only expected has beyond these.
 
-    A checksum of each group is compared first, so that only groups that differ are joined row by row.
+    Rows are counted, so a row that one side has more often is told. Each group has an order-free sum first: the count, and the sums of two 64-bit hashes of all its rows, as decimals, which repeated rows do not cancel;
+    only groups whose sums differ are compared row by row. Both steps add up before they shuffle, so a group of any size is many partial sums. Nulls equal nulls, in keys, values and group.
     """
-    sums = lambda df, n: df.groupBy(group).agg(F.bit_xor(F.xxhash64(*keys, *values)).alias(f"x{n}"), F.count("*").alias(f"c{n}"))
-    j = sums(actual, 1).join(sums(expected, 2), group, "full_outer")
-    differ = j.filter("NOT (x1 <=> x2) OR NOT (c1 <=> c2)").select(group)
-    side = lambda df, n: df.join(differ, group, "left_semi").select(*keys, F.struct(*values).alias(f"v{n}"), F.lit(1).alias(f"s{n}"))
-    both = side(actual, 1).join(side(expected, 2), keys, "full_outer")
-    kind = F.when(F.col("s1").isNull(), "missing").when(F.col("s2").isNull(), "extra").otherwise("changed")
-    return both.filter("NOT (v1 <=> v2) OR s1 IS NULL OR s2 IS NULL").select(*keys, kind.alias("side"))
+    marked = lambda df, one: df.select(*keys, *values, F.col(group).alias("_group"), F.lit(one).alias("_one"))
+    both = marked(actual, 1).unionByName(marked(expected, -1))
+    mixed = lambda salt: F.sum(F.xxhash64(*keys, *values, F.lit(salt)).cast("decimal(20,0)") * F.col("_one"))
+    sums = both.groupBy("_group").agg(F.sum("_one").alias("_n"), mixed(1).alias("_x"), mixed(2).alias("_y"))
+    differ = sums.filter("_n != 0 OR _x != 0 OR _y != 0").select(F.col("_group").alias("_differs"))
+    open_ = both.join(differ, F.col("_group").eqNullSafe(F.col("_differs")), "left_semi")
+    surplus = open_.groupBy(*keys, *values).agg(F.sum("_one").alias("_n")).filter("_n != 0")
+    of_key = surplus.groupBy(*keys).agg(F.sum(F.greatest("_n", F.lit(0))).alias("_extra"), F.sum(F.greatest(-F.col("_n"), F.lit(0))).alias("_missing"))
+    changed = F.least("_extra", "_missing")
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), n.alias("n")) for side, n in (("changed", changed), ("extra", F.col("_extra") - changed), ("missing", F.col("_missing") - changed))))
+    return of_key.select(*keys, F.inline(F.filter(sides, lambda s: s["n"] > 0)))
 
 
 def mismatches(diff: DataFrame, group: str = "image_id") -> DataFrame:
-    """(group, n_different): rows of `golden_diff` by group; groups without any are not listed."""
-    return diff.groupBy(group).agg(F.count("*").alias("n_different"))
+    """(group, side, n_keys, n_different): keys and rows of `golden_diff` by group and side; groups without any are not listed."""
+    return diff.groupBy(group, "side").agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_different"))
 
 
 def transform_check(image_transforms: DataFrame) -> DataFrame:

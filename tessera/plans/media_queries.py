@@ -121,10 +121,16 @@ def p10(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("decoded", prefix_decode(F.col("symbol"), F.col("extra")))
 
 
-@register("p12_distance_code_round_trip", "SELECT l_orderkey, l_linenumber, l_partkey + 1 AS dist, 1 + l_suppkey % 40 AS width, l_partkey + 1 AS back FROM lineitem", plain=True)
+_NEAR = ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(M.near_offsets(), 1))
+
+
+@register("p12_distance_code_round_trip", f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey + 1 AS dist, 1 + l_suppkey % 40 AS width FROM lineitem), cells(code, dx, dy) AS (VALUES {_NEAR}),
+    s AS (SELECT *, dist // width AS y, dist % width AS x FROM t),
+    u AS (SELECT *, CASE WHEN x <= 8 AND y < 8 THEN x WHEN x > width - 8 AND y < 7 THEN x - width END AS cx, CASE WHEN x <= 8 AND y < 8 THEN y WHEN x > width - 8 AND y < 7 THEN y + 1 END AS cy FROM s)
+    SELECT l_orderkey, l_linenumber, dist, width, coalesce(code, dist + 120)::BIGINT AS code, dist AS back FROM u LEFT JOIN cells ON cx = dx AND cy = dy""", plain=True)
 def p12(spark: SparkSession, d: str) -> DataFrame:
     t = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") + 1).alias("dist"), (1 + F.col("l_suppkey") % 40).alias("width"))
-    return M.with_distance_code(t).withColumn("back", M.distance_from_code(F.col("code"), F.col("width"))).drop("code")
+    return M.with_distance_code(t).withColumn("back", M.distance_from_code(F.col("code"), F.col("width")))
 
 
 @register("p13_tiles", "SELECT image_id, (x >> 1)::INT AS tx, (y >> 1)::INT AS ty, count(*) AS n, (max(x) + 4) >> 2 AS tiles_x FROM v_vec_px GROUP BY 1, 2, 3")
@@ -500,11 +506,22 @@ def a15(spark: SparkSession, d: str) -> DataFrame:
     return technique_report(X.vec_px(spark, d), X.idx_px(spark, d), 4)
 
 
-@register("j7_golden_diff", "SELECT image_id, count(*) AS n_different FROM v_doc_px WHERE pos % 97 = 5 OR pos % 101 = 7 GROUP BY 1")
+_BOTH = """x AS (SELECT * FROM v_doc_px UNION ALL SELECT * FROM v_doc_px WHERE pos % 89 = 3),
+    y AS (SELECT image_id, pos, x, y, r, CASE WHEN pos % 97 = 5 THEN g + 1 ELSE g END AS g, b, a FROM x WHERE pos % 101 <> 7 UNION ALL SELECT * FROM v_doc_px WHERE pos % 83 = 2)"""
+
+
+@register("j7_golden_diff", f"""WITH {_BOTH}, d AS (SELECT image_id, pos, r, g, b, a, 1 AS extra, 0 AS missing FROM (SELECT image_id, pos, r, g, b, a FROM x EXCEPT ALL SELECT image_id, pos, r, g, b, a FROM y)
+        UNION ALL SELECT image_id, pos, r, g, b, a, 0, 1 FROM (SELECT image_id, pos, r, g, b, a FROM y EXCEPT ALL SELECT image_id, pos, r, g, b, a FROM x)),
+    k AS (SELECT image_id, pos, sum(extra) AS extra, sum(missing) AS missing FROM d GROUP BY 1, 2),
+    e AS (SELECT image_id, pos, unnest(['changed', 'extra', 'missing']) AS side, unnest([least(extra, missing), extra - least(extra, missing), missing - least(extra, missing)])::BIGINT AS n FROM k)
+    SELECT image_id, side, count(*) AS n_keys, sum(n)::BIGINT AS n_different FROM e WHERE n > 0 GROUP BY 1, 2""")
 def j7(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as images, some pixels twice, against a copy with pixels changed, taken out and repeated."""
     p = X.doc_px(spark, d)
-    other = p.filter("pos % 101 != 7").withColumn("g", F.when(F.col("pos") % 97 == 5, F.col("g") + 1).otherwise(F.col("g")))
-    return V.mismatches(V.golden_diff(p, other, ["image_id", "pos"], ["r", "g", "b", "a"]))
+    twice = F.explode(F.when(F.col("pos") % 89 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    actual = p.withColumn("_copy", twice).drop("_copy")
+    other = actual.filter("pos % 101 != 7").withColumn("g", F.when(F.col("pos") % 97 == 5, F.col("g") + 1).otherwise(F.col("g"))).unionByName(p.filter("pos % 83 = 2"))
+    return V.mismatches(V.golden_diff(actual, other, ["image_id", "pos"], ["r", "g", "b", "a"]))
 
 
 @register("a13_transform_check", "SELECT l_orderkey AS image_id, l_linestatus || l_returnflag AS type, 'repeated_transform' AS error FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1", plain=True)
@@ -538,64 +555,76 @@ def a14(spark: SparkSession, d: str) -> DataFrame:
     return K.container_sizes(X.payloads(spark, d).select("file_id", F.octet_length("payload").alias("size")))
 
 
-@register("s8_container_bytes", "SELECT file_id, (12 + sum(8 + size + size % 2))::BIGINT AS n, '52494646' AS signature FROM v_chunks GROUP BY 1")
+def _le(n: str, k: int) -> str:
+    """A number's k bytes, lowest first, as hexadecimal digits in SQL."""
+    return "(" + " || ".join(f"lpad(upper(to_hex((({n})::BIGINT >> {8 * i}) & 255)), 2, '0')" for i in range(k)) + ")"
+
+
+@register("s8_container_bytes", f"""SELECT file_id, (12 + sum(8 + size + size % 2))::BIGINT AS n,
+    md5('52494646' || {_le("4 + sum(8 + size + size % 2)", 4)} || '57454250' || string_agg(hex(encode(fourcc)) || {_le("size", 4)} || hex(payload) || CASE WHEN size % 2 = 1 THEN '00' ELSE '' END, '' ORDER BY chunk_no)) AS digest FROM v_chunks GROUP BY 1""")
 def s8(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d).select("file_id", F.octet_length("content").cast("long").alias("n"), F.hex(F.substring("content", 1, 4)).alias("signature"))
+    return _files(spark, d).select("file_id", F.octet_length("content").cast("long").alias("n"), F.md5(F.hex("content").cast("binary")).alias("digest"))
 
 
-@register("s4_describe_files", "SELECT file_id, 'RIFF, ' || (4 + sum(8 + size + size % 2))::BIGINT || ' bytes, WEBP, ' || string_agg(fourcc || ', ' || size || ' bytes', ', ' ORDER BY chunk_no) AS summary FROM v_chunks GROUP BY 1")
+@register("s4_describe_files", """WITH s AS (SELECT file_id, 'RIFF, ' || (4 + sum(8 + size + size % 2))::BIGINT || ' bytes, WEBP, ' || string_agg(fourcc || ', ' || size || ' bytes', ', ' ORDER BY chunk_no) AS summary FROM v_chunks GROUP BY 1),
+    n AS (SELECT file_id, copy, k, count(fourcc) AS n, string_agg(', ' || fourcc || ', ' || size || ' bytes', '' ORDER BY chunk_no) AS parts, sum(8 + size + size % 2) AS bytes
+        FROM (SELECT m.file_id, m.copy, m.k, c.chunk_no, c.fourcc, CASE c.fourcc WHEN 'VP8L' THEN 6 WHEN 'ALPH' THEN 3 WHEN 'ANIM' THEN 6 WHEN 'ANMF' THEN 16 ELSE 10 END AS size
+            FROM v_media m LEFT JOIN v_media_chunks c ON c.file_id = m.file_id AND c.copy = m.copy) GROUP BY ALL)
+    SELECT file_id, summary, NULL::VARCHAR AS error FROM s
+    UNION ALL SELECT file_id, CASE WHEN k <> 9 THEN 'RIFF, ' || (4 + CASE WHEN n > 0 THEN bytes ELSE 0 END)::BIGINT || ' bytes, WEBP' || CASE WHEN n > 0 THEN parts ELSE '' END END, CASE WHEN k = 9 THEN 'truncated' END FROM n""")
 def s4(spark: SparkSession, d: str) -> DataFrame:
-    f = _files(spark, d)
-    return K.describe_files(f, K.chunk_inventory(f))
+    return K.describe_files(K.walk_files(_files(spark, d).union(X.media(spark, d).select("file_id", "content"))))
 
 
-@register("s3_chunk_errors", "SELECT DISTINCT file_id, CASE file_id % 5 WHEN 1 THEN 'invalid_signature' WHEN 2 THEN 'not_webp' WHEN 3 THEN 'truncated' ELSE 'chunk_out_of_range' END AS error FROM v_chunks WHERE file_id % 5 <> 0")
+@register("s3_chunk_errors", """SELECT file_id, CASE file_id % 5 WHEN 1 THEN 'invalid_signature' WHEN 2 THEN 'not_webp' WHEN 3 THEN 'truncated' ELSE 'chunk_out_of_range' END AS error,
+    CASE file_id % 5 WHEN 1 THEN 0 WHEN 2 THEN 8 WHEN 3 THEN 4 ELSE 12 END::BIGINT AS at_offset, CASE file_id % 5 WHEN 1 THEN 'RIFX' WHEN 2 THEN 'WEBM' WHEN 4 THEN fourcc END AS fourcc FROM v_chunks WHERE file_id % 5 <> 0 AND chunk_no = 0""")
 def s3(spark: SparkSession, d: str) -> DataFrame:
     f, k, c = _files(spark, d), F.col("file_id") % 5, F.col("content")
     n = F.octet_length(c)
     part = lambda a, size: F.substr(c, F.lit(a), size)
     broken = F.when(k == 1, F.concat(F.encode(F.lit("RIFX"), "US-ASCII"), part(5, n))).when(k == 2, F.concat(part(1, F.lit(8)), F.encode(F.lit("WEBM"), "US-ASCII"), part(13, n))).when(k == 3, part(1, n - 3)).when(k == 4, F.concat(part(1, F.lit(16)), F.unhex(F.lit("FFFFFF7F")), part(21, n))).otherwise(c)
-    return K.chunk_errors(f.withColumn("content", broken), strict=True).select("file_id", "error")
+    return K.chunk_errors(f.withColumn("content", broken), strict=True)
 
 
-def _media_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    m = X.media(spark, d)
-    return m, K.chunk_inventory(m)
+def _walked(spark: SparkSession, d: str) -> DataFrame:
+    return K.walk_files(X.media(spark, d))
 
 
-@register("f1_lossless_header", "SELECT p_partkey AS file_id, 47 AS magic, p_size AS width, p_partkey % 1000 + 1 AS height, p_partkey % 2 AS alpha_hint, 0 AS version FROM part WHERE p_partkey % 8 IN (0, 3, 5, 6)", plain=True)
+@register("f1_lossless_header", "SELECT file_id, 47 AS magic, p_size AS width, file_id % 1000 + 1 AS height, file_id % 2 AS alpha_hint, 0 AS version FROM v_media_chunks WHERE fourcc = 'VP8L'")
 def f1(spark: SparkSession, d: str) -> DataFrame:
-    return K.lossless_header(_media_chunks(spark, d)[1]).drop("chunk_no")
+    return K.lossless_header(K.chunk_rows(_walked(spark, d))).drop("chunk_no")
 
 
-@register("f2_lossy_header", """SELECT p_partkey AS file_id, true AS key_frame, 0 AS version, true AS show, p_partkey % 4096 AS first_partition, true AS start_ok, p_size AS width, p_partkey % 1000 + 1 AS height,
-    p_partkey % 4 AS x_scale, 0 AS y_scale, (p_size + 15) // 16 AS mb_width, (p_partkey % 1000 + 16) // 16 AS mb_height FROM part WHERE p_partkey % 8 IN (1, 2, 4)""", plain=True)
+@register("f2_lossy_header", """SELECT file_id, true AS key_frame, 0 AS version, true AS show, file_id % 4096 AS first_partition, true AS start_ok, p_size AS width, file_id % 1000 + 1 AS height,
+    file_id % 4 AS x_scale, 0 AS y_scale, (p_size + 15) // 16 AS mb_width, (file_id % 1000 + 16) // 16 AS mb_height FROM v_media_chunks WHERE fourcc = 'VP8 '""")
 def f2(spark: SparkSession, d: str) -> DataFrame:
-    return K.lossy_header(_media_chunks(spark, d)[1]).drop("chunk_no")
+    return K.lossy_header(K.chunk_rows(_walked(spark, d))).drop("chunk_no")
 
 
-@register("f3_canvas_header", """SELECT p_partkey AS file_id, k AS chunk_no, p_partkey % 8 IN (2, 5) AS has_alpha, p_partkey % 8 = 7 AS animated, p_size AS width, p_partkey % 1000 + 1 AS height, NULL::VARCHAR AS error
-    FROM part, range(2) t(k) WHERE p_partkey % 8 IN (2, 3, 5, 6, 7) AND (k = 0 OR p_partkey % 8 = 6)""", plain=True)
+@register("f3_canvas_header", "SELECT file_id, chunk_no, k IN (2, 5, 10) AS has_alpha, k = 7 AS animated, p_size AS width, file_id % 1000 + 1 AS height, NULL::VARCHAR AS error FROM v_media_chunks WHERE fourcc = 'VP8X'")
 def f3(spark: SparkSession, d: str) -> DataFrame:
-    return K.canvas_header(_media_chunks(spark, d)[1])
+    return K.canvas_header(K.chunk_rows(_walked(spark, d)))
 
 
-@register("f4_alpha_header", "SELECT p_partkey AS file_id, p_partkey % 4 AS compression, p_partkey % 16 // 4 AS filter FROM part WHERE p_partkey % 8 IN (2, 4)", plain=True)
+@register("f4_alpha_header", "SELECT file_id, file_id % 4 AS compression, file_id % 16 // 4 AS filter FROM v_media_chunks WHERE fourcc = 'ALPH'")
 def f4(spark: SparkSession, d: str) -> DataFrame:
-    return K.alpha_header(_media_chunks(spark, d)[1]).drop("chunk_no")
+    return K.alpha_header(K.chunk_rows(_walked(spark, d))).drop("chunk_no")
+
+
+_CATALOG = """SELECT file_id, CASE WHEN k IN (0, 3) THEN 'lossless' WHEN k = 1 THEN 'lossy' WHEN k = 2 THEN 'lossy+alpha' END AS format, CASE WHEN k < 4 THEN p_size END AS width, CASE WHEN k < 4 THEN file_id % 1000 + 1 END AS height,
+    CASE WHEN k IN (0, 3) THEN file_id % 2 = 1 WHEN k = 1 THEN false WHEN k = 2 THEN true END AS has_alpha,
+    CASE k WHEN 4 THEN 'unexpected_alpha' WHEN 5 THEN 'lossless_with_alpha' WHEN 6 THEN 'repeated_extended_header' WHEN 7 THEN 'invalid_format' WHEN 8 THEN 'invalid_format' WHEN 9 THEN 'truncated' WHEN 10 THEN 'unexpected_alpha' END AS error FROM v_media"""
 
 
-@register("f5_image_catalog", """SELECT p_partkey AS file_id, CASE WHEN k IN (0, 3) THEN 'lossless' WHEN k = 1 THEN 'lossy' WHEN k = 2 THEN 'lossy+alpha' END AS format, CASE WHEN k < 4 THEN p_size END AS width, CASE WHEN k < 4 THEN p_partkey % 1000 + 1 END AS height,
-    CASE WHEN k IN (0, 3) THEN p_partkey % 2 = 1 WHEN k = 1 THEN false WHEN k = 2 THEN true END AS has_alpha, CASE k WHEN 4 THEN 'unexpected_alpha' WHEN 5 THEN 'lossless_with_alpha' WHEN 6 THEN 'repeated_extended_header' WHEN 7 THEN 'invalid_format' END AS error
-    FROM (SELECT *, p_partkey % 8 AS k FROM part)""", plain=True)
+@register("f5_image_catalog", _CATALOG)
 def f5(spark: SparkSession, d: str) -> DataFrame:
-    return K.image_catalog(*_media_chunks(spark, d))
+    return K.image_catalog(_walked(spark, d))
 
 
-@register("w9_dispatch_state", """SELECT p_partkey AS file_id, j AS chunk_no, CASE WHEN k IN (2, 3, 5, 6, 7) THEN j ELSE 0 END AS n_extended_or_more, k IN (2, 5) AND j > 0 AS promised FROM (SELECT *, p_partkey % 8 AS k FROM part), range(2) t(j) WHERE k NOT IN (0, 1) OR j = 0""", plain=True)
+@register("w9_dispatch_state", """WITH s AS (SELECT file_id, chunk_no, fourcc, count(*) FILTER (fourcc = 'VP8X') OVER w AS n_extended, coalesce(bool_or(fourcc = 'VP8X' AND k IN (2, 5, 10)) OVER w, false) AS promised, coalesce(bool_or(fourcc = 'ALPH') OVER w, false) AS alpha_seen
+    FROM v_media_chunks WINDOW w AS (PARTITION BY file_id, copy ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT * FROM s""")
 def w9(spark: SparkSession, d: str) -> DataFrame:
-    s = K.dispatch_state(_media_chunks(spark, d)[1]).filter("chunk_no < 2")
-    return s.select("file_id", "chunk_no", F.col("n_extended").alias("n_extended_or_more"), "promised")
+    return K.dispatch_state(_walked(spark, d)).drop("size", "data_offset", "head")
 
 
 @register("p16_clamp_frames", "SELECT anim_id, frame_no, least(duration, 16777215) AS duration, least(disposal, 1) AS disposal FROM v_frames")
@@ -608,13 +637,19 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
     return K.animation_summary(X.frames(spark, d))
 
 
-@register("s9_assemble_animation", "SELECT anim_id, (12 + 18 + 14 + sum(8 + 16 + 8 + n + n % 2))::BIGINT AS n, 'VP8X,ANIM' || repeat(',ANMF', count(*)::INT) AS codes FROM v_frames GROUP BY 1")
+@register("s9_assemble_animation", f"""WITH a AS (SELECT anim_id, (12 + 18 + 14 + sum(8 + 16 + 8 + n + n % 2))::BIGINT AS length, max(width) AS w, max(height) AS h, bool_or(has_alpha) AS alpha FROM v_frames GROUP BY 1)
+    SELECT anim_id, length, 0 AS chunk_no, 'VP8X' AS fourcc, 10::BIGINT AS size, CASE WHEN alpha THEN '12000000' ELSE '02000000' END || {_le("w - 1", 3)} || {_le("h - 1", 3)} AS fields FROM a
+    UNION ALL SELECT anim_id, length, 1, 'ANIM', 6, 'FFFFFFFF0000' FROM a
+    UNION ALL SELECT f.anim_id, length, 2 + frame_no, 'ANMF', 24 + n + n % 2, '000000000000' || {_le("width - 1", 3)} || {_le("height - 1", 3)} || {_le("least(duration, 16777215)", 3)} || {_le("least(disposal, 1)", 1)} || '5650384C' || {_le("n", 4)} FROM v_frames f JOIN a ON a.anim_id = f.anim_id""")
 def s9(spark: SparkSession, d: str) -> DataFrame:
+    """Length of each file, and every chunk with its fixed fields: of a frame those before its payload."""
     f = X.frames(spark, d)
     a = K.assemble_animation(f, f.select("anim_id").distinct().select("anim_id", F.lit(0).alias("loop_count"), F.lit(0xFFFFFFFF).alias("background")))
-    chunks = K.chunk_inventory(a.withColumnRenamed("anim_id", "file_id"), strict=True)
-    codes = chunks.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "fourcc"))), lambda e: e["fourcc"]), ",").alias("codes"))
-    return a.select("anim_id", F.octet_length("content").cast("long").alias("n")).join(codes.withColumnRenamed("file_id", "anim_id"), "anim_id")
+    length = F.octet_length("content").cast("long")
+    # the length goes through the walk as a part of the id, so that files are made once
+    walked = K.walk_files(a.select((F.col("anim_id") * (1 << 31) + length).alias("file_id"), "content"), strict=True)
+    fields = F.substring(F.hex("head"), 1, 48)
+    return K.chunk_rows(walked).select(F.shiftright("file_id", 31).alias("anim_id"), F.col("file_id").bitwiseAND(F.lit((1 << 31) - 1)).alias("length"), "chunk_no", "fourcc", "size", fields.alias("fields"))
 
 
 @register("s10_vp8x_bytes", """SELECT anim_id, frame_no, CASE WHEN has_alpha THEN '12' ELSE '02' END || '000000' || lpad(upper(to_hex((width - 1) % 256)), 2, '0') || lpad(upper(to_hex((width - 1) // 256)), 2, '0') || '00'

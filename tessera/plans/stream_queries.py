@@ -11,7 +11,7 @@ from tessera import fixtures as X
 from tessera.functions.bytes import argb, color_slot
 from tessera.plans import media_queries as Q
 from tessera.sources.shared import shared_dir
-from tessera.streaming.media import stream_cache_hits, stream_catalog
+from tessera.streaming.media import catalog_table, stream_cache_hits, stream_catalog
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -23,7 +23,7 @@ def st1(spark: SparkSession, d: str) -> DataFrame:
     X.media(spark, d).write.parquet(f"{at}/in")
     files = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).parquet(f"{at}/in")
     stream_catalog(files, f"{at}/out", f"{at}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{at}/out/catalog")
+    return catalog_table(spark, f"{at}/out", "catalog")
 
 
 def st2(spark: SparkSession, d: str) -> DataFrame:

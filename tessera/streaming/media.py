@@ -5,27 +5,36 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
-from tessera.operators.container import image_catalog, walk_chunks
+from tessera.operators.container import chunk_rows, error_rows, image_catalog, walk_files
+
+
+TABLES = ("chunks", "catalog", "quarantine")
 
 
 def stream_catalog(files: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """New files (a stream of file_id, path, content) into Parquet tables below sink: chunks, catalog, quarantine. Runs over what is there, then ends; started again it goes on."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        walked = walk_chunks(batch).persist()
-        sound = walked.filter("error IS NULL").drop("error", "at_offset")
-        sound.write.mode("append").parquet(f"{sink}/chunks")
-        image_catalog(batch, sound).write.mode("append").parquet(f"{sink}/catalog")
-        walked.filter("error IS NOT NULL").select("file_id", "error", "at_offset", "fourcc").write.mode("append").parquet(f"{sink}/quarantine")
+    """New files (a stream of file_id, path, content) into Parquet tables below sink: chunks, catalog, quarantine, each in folders by batch (batch=n). Runs over what is there, then ends; started again it goes on.
+
+    Every batch owns its folder and overwrites it: a batch that failed half way and is run again leaves its rows once. Read the tables by `catalog_table`.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        walked = walk_files(batch).persist()
+        for name, rows in zip(TABLES, (chunk_rows(walked), image_catalog(walked), error_rows(walked)), strict=True):
+            rows.write.mode("overwrite").parquet(f"{sink}/{name}/batch={batch_id}")
         walked.unpersist()
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def catalog_table(spark: SparkSession, sink: str, name: str) -> DataFrame:
+    """One of the tables of `stream_catalog`, all batches."""
+    return spark.read.parquet(f"{sink}/{name}").drop("batch")
+
+
 def stream_cache_hits(pixels: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(image_id, pos, hit) of a stream (image_id LONG, pos LONG, slot INT, argb LONG). Within a batch rows are put in order of pos.
 
