@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.bytes import prefix_code, symbol_label
 from tessera.operators.matching import with_distance_code
+from tessera.operators.scan import BLOCK, running_sum
 
 KEYS = ["image_id", "stream"]
 
@@ -158,18 +159,22 @@ def codebook_listing(codes: DataFrame, most: int = 64, keys: list[str] = KEYS) -
     return codes.withColumn("row", F.row_number().over(w)).filter(F.col("row") <= most).select(*keys, "alphabet", "row", "symbol", "depth", bits.alias("bits"))
 
 
-def bit_offsets(coded: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Coded symbols (keys, seq, depth, extra_bits) with the bit at which each starts."""
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return coded.withColumn("start", F.coalesce(F.sum(F.col("depth") + F.col("extra_bits")).over(w), F.lit(0)))
+def bit_offsets(coded: DataFrame, keys: list[str] = KEYS, block: int = BLOCK) -> DataFrame:
+    """Coded symbols (keys, seq, depth, extra_bits) with the bit at which each starts: a running sum by blocks of seq, see `running_sum`."""
+    return running_sum(coded, keys, "seq", F.col("depth") + F.col("extra_bits"), "start", block)
 
 
-def pack_bits(coded: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, payload): bits from the lowest of each byte up; codes highest bit first, extra bits lowest first; the last byte is filled with zeros."""
-    placed = bit_offsets(coded, keys).filter("depth + extra_bits > 0")
-    code_bit = F.expr("shiftright(code, CAST(depth - 1 - i AS INT)) & 1")
-    extra_bit = F.expr("shiftright(extra, CAST(i - depth AS INT)) & 1")
-    bits = placed.withColumn("i", F.explode(F.expr("sequence(0, depth + extra_bits - 1)"))).select(*keys, (F.col("start") + F.col("i")).alias("at"), F.when(F.col("i") < F.col("depth"), code_bit).otherwise(extra_bit).alias("bit"))
-    byte = bits.groupBy(*keys, F.expr("at div 8").alias("byte")).agg(F.sum(F.expr("shiftleft(bit, CAST(at % 8 AS INT))")).alias("v"))
-    in_order = F.array_sort(F.collect_list(F.struct("byte", F.lpad(F.hex("v"), 2, "0").alias("h"))))
-    return byte.groupBy(*keys).agg(F.unhex(F.array_join(F.transform(in_order, lambda e: e["h"]), "")).alias("payload"))
+def pack_bits(coded: DataFrame, keys: list[str] = KEYS, block: int = BLOCK) -> DataFrame:
+    """(keys, payload): bits from the lowest of each byte up; codes highest bit first, extra bits lowest first; the last byte is filled with zeros.
+
+    A symbol's bits, 40 at most with those before its start in its first byte, are one number, cut into the few bytes it touches; a byte is the sum of what its symbols bring. Bytes become
+    strings of 4,096, and these the payload: only the last step holds one image's bytes.
+    """
+    placed = bit_offsets(coded, keys, block).filter("depth + extra_bits > 0")
+    code = F.when(F.col("depth") > 0, F.expr("CAST(conv(reverse(lpad(bin(code), depth, '0')), 2, 10) AS BIGINT)")).otherwise(F.lit(0).cast("bigint"))
+    word = placed.withColumn("_word", code + F.expr("shiftleft(CAST(extra AS BIGINT), CAST(depth AS INT))")).withColumn("_word", F.expr("shiftleft(_word, CAST(start % 8 AS INT))"))
+    part = word.select(*keys, "_word", F.expr("start div 8").alias("_first"), F.explode(F.expr("sequence(start div 8, (start + depth + extra_bits - 1) div 8)")).alias("byte"))
+    byte = part.groupBy(*keys, "byte").agg(F.sum(F.expr("shiftright(_word, CAST(8 * (byte - _first) AS INT)) & 255")).alias("v"))
+    in_order = lambda of, name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(of, name))), lambda e: e[name]), "")
+    digits = byte.withColumns({"h": F.lpad(F.hex("v"), 2, "0"), "chunk": F.expr("byte div 4096")}).groupBy(*keys, "chunk").agg(in_order("byte", "h").alias("h"))
+    return digits.groupBy(*keys).agg(F.unhex(in_order("chunk", "h")).alias("payload"))

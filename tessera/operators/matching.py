@@ -1,19 +1,23 @@
 """Back-references: earlier equal stretches of a sequence, as candidates, as a greedy parse, and expanded again.
 
-A null pixel equals none and starts no match; the parse leaves it out. Positions are meant to be unique in a sequence: of rows that share one, each counts,
-in no fixed order. Of equally good matches the nearest wins. An empty table gives an empty one.
+A null pixel equals none and starts no match; the parse leaves it out. Positions are meant to be unique in a sequence: of rows that share one, each counts
+in the parse, in no fixed order, and none starts or continues a match elsewhere. A gap between positions ends a match. Of equally good matches the nearest wins. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.bytes import argb, color_slot
+from tessera.operators.batches import by_image, starts_of
 from tessera.operators.pixels import KEYS
+from tessera.operators.scan import BLOCK, running_sum
+from tessera.sources.shared import Rounds
 
 #: Limits of the format: probes, longest copy, distances below.
 PROBES, LONGEST, FARTHEST = 8, 4096, (1 << 20) - 120
@@ -47,43 +51,76 @@ def distance_from_code(code: Column, width: Column) -> Column:
     return F.when(code > 120, code - 120).otherwise(near).cast("bigint")
 
 
-def hash_chain(pixels: DataFrame, k: int = PROBES, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, pos, bucket, earlier): for each position the k nearest earlier ones whose next three pixels have the same hash; all positions, not only those a parse would visit. The last two positions start nothing."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    p = pixels.select(*keys, "pos", argb().alias("p0")).withColumns({"p1": F.lead("p0", 1).over(w), "p2": F.lead("p0", 2).over(w)}).filter("p2 IS NOT NULL")
+def hash_chain(pixels: DataFrame, k: int = PROBES, keys: list[str] = KEYS, block: int = BLOCK) -> DataFrame:
+    """(keys, pos, bucket, earlier): for each position the k nearest earlier ones whose next three pixels have the same hash; all positions, not only those a parse would visit. The last two positions start nothing.
+
+    Sequences are cut into blocks of positions. A block gets the two pixels after it as a halo, so each position sees its three pixels; then each block of a bucket begins with the k
+    last positions of the blocks before it. So a giant image, and one of a single colour with a single bucket, is sorted in blocks.
+    """
+    p = pixels.select(*keys, "pos", argb().alias("p0")).filter("pos IS NOT NULL").withColumn("_home", F.floor(F.col("pos") / block))
+    halo = F.when(F.col("pos") % block < 2, F.array("_home", F.col("_home") - 1)).otherwise(F.array("_home"))
+    w = Window.partitionBy(*keys, "_block").orderBy("pos")
+    p = p.withColumn("_block", F.explode(halo))
+    p = p.withColumns({f"{name}{i}": F.lead(of, i).over(w) for i in (1, 2) for name, of in (("p", "p0"), ("_pos", "pos"))})
+    p = p.filter("_block = _home AND p0 IS NOT NULL AND p1 IS NOT NULL AND p2 IS NOT NULL AND _pos1 = pos + 1 AND _pos2 = pos + 2")
     h = [color_slot(F.col(f"p{i}"), BUCKET_BITS).cast("bigint") for i in range(3)]
     bucket = h[0].bitwiseXOR(h[1] * F.lit(SECOND)).bitwiseXOR(h[2] * F.lit(THIRD)).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))
-    p = p.withColumn("bucket", bucket)
-    return p.withColumn("earlier", F.collect_list("pos").over(Window.partitionBy(*keys, "bucket").orderBy("pos").rowsBetween(-k, -1))).select(*keys, "pos", "bucket", "earlier")
-
-
-def match_candidates(pixels: DataFrame, k: int = PROBES, farthest: int = FARTHEST, keys: list[str] = KEYS) -> DataFrame:
+    p = p.select(*keys, "pos", "_block", bucket.alias("bucket"))
+    tails = p.groupBy(*keys, "bucket", "_block").agg(F.slice(F.sort_array(F.collect_list("pos"), asc=False), 1, k).alias("_tail"))
+    # every block that is listed has a position, so k blocks before one are enough
+    before = F.flatten(F.collect_list("_tail").over(Window.partitionBy(*keys, "bucket").orderBy("_block").rowsBetween(-k, -1)))
+    heads = tails.select(*keys, "bucket", "_block", F.sort_array(F.slice(F.sort_array(before, asc=False), 1, k)).alias("_carried")).filter(F.size("_carried") > 0)
+    w = Window.partitionBy(*keys, "bucket", "_block").orderBy(F.asc_nulls_first("pos"))
+    both = p.unionByName(heads, allowMissingColumns=True)
+    own, carried = F.collect_list("pos").over(w.rowsBetween(-k, -1)), F.first("_carried").over(w)
+    joined = both.withColumns({"_own": own, "_carried": F.coalesce(carried, F.array().cast("array<bigint>"))}).filter("pos IS NOT NULL")
+    room = F.lit(k) - F.size("_own")
+    kept = F.when((room > 0) & (F.size("_carried") > 0), F.slice("_carried", -F.least(room, F.size("_carried")), F.least(room, F.size("_carried")))).otherwise(F.array().cast("array<bigint>"))
+    return joined.select(*keys, "pos", "bucket", F.concat(kept, "_own").alias("earlier"))
+
+
+def match_candidates(pixels: DataFrame, k: int = PROBES, farthest: int = FARTHEST, keys: list[str] = KEYS, block: int = BLOCK) -> DataFrame:
     """(keys, pos, from_pos, dist) for the k nearest earlier positions of the same bucket within the distance."""
-    c = hash_chain(pixels, k, keys).select(*keys, "pos", F.explode("earlier").alias("from_pos"))
+    c = hash_chain(pixels, k, keys, block).select(*keys, "pos", F.explode("earlier").alias("from_pos"))
     return c.withColumn("dist", F.col("pos") - F.col("from_pos")).filter(F.col("dist") < farthest)
 
 
+def stretch_names(pixels: DataFrame, longest: int = LONGEST, keys: list[str] = KEYS) -> list[DataFrame]:
+    """Tables (keys, pos, name), the k-th over stretches of 2**k pixels from pos on: two stretches of a sequence have one name if and only if they are equal.
+
+    Prefix doubling: a name is the first position of its stretch; a stretch of twice the length is the pair of its halves' names. Every round is an equi-join with the positions 2**k further
+    on, and a count by pair, and leaves out stretches that stand once only, so the tables shrink, and end when none is repeated. Stretches over the end, a gap, a null pixel or a repeated position have no name.
+    """
+    rounds = Rounds(pixels.sparkSession, "names")
+    cells = pixels.select(*keys, "pos", argb().alias("a")).filter("pos IS NOT NULL").groupBy(*keys, "pos").agg(F.min("a").alias("a"), F.count("*").alias("n")).filter("n = 1 AND a IS NOT NULL").select(*keys, "pos", "a", F.lit(0).cast("bigint").alias("b"))
+    out: list[DataFrame] = []
+    while True:
+        cells = rounds.keep(cells, "pairs")
+        often = cells.groupBy(*keys, "a", "b").agg(F.min("pos").alias("name"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        names = rounds.keep(cells.join(often, [*keys, "a", "b"]).select(*keys, "pos", "name"), f"names-{len(out)}")
+        if out and names.isEmpty():
+            break
+        out.append(names)
+        if 2 << (len(out) - 1) > longest:
+            break
+        second = names.select(*keys, (F.col("pos") - (1 << (len(out) - 1))).alias("pos"), F.col("name").alias("b"))
+        cells = names.withColumnRenamed("name", "a").join(second, [*keys, "pos"])
+    rounds.drop("pairs")
+    return out
+
+
 def match_lengths(candidates: DataFrame, pixels: DataFrame, longest: int = LONGEST, keys: list[str] = KEYS) -> DataFrame:
-    """Candidates with len: how many pixels from pos on equal those from from_pos on, up to `longest` (LONGEST at most).
+    """Candidates with len: how many pixels from pos on equal those from from_pos on, up to `longest`.
 
-    Three looks ahead, each at 16 blocks: of 256 pixels, from where these differ of 16, and from there of one. Blocks of more than one pixel are
-    compared by 64-bit hashes; one that the end of the sequence cuts, or with a null pixel, equals none.
+    Lengths are found from the names of stretches (`stretch_names`), the longest first: where both have one name the length grows by that stretch. Joins by position only, no sequence is put in order; pixels are
+    equal by value, not by a hash.
     """
-    w = Window.partitionBy(*keys).orderBy("pos")
-    p = pixels.select(*keys, "pos", argb().alias("p1"))
-    for size in (1, 16, 256):
-        ahead = [F.lead(f"p{size}", size * i).over(w) for i in range(16)]
-        p = p.withColumn(f"a{size}", F.array(*ahead))
-        if size < 256:
-            p = p.withColumn(f"p{size * 16}", F.when(~F.exists(f"a{size}", lambda x: x.isNull()), F.xxhash64(f"a{size}", F.lit(size))))
     out = candidates.withColumn("len", F.lit(0))
-    for size in (256, 16, 1):
-        at = lambda of, name: p.select(*keys, (F.col("pos")).alias(of), F.col(f"a{size}").alias(name))  # noqa: B023, E731
+    for k, names in reversed(list(enumerate(stretch_names(pixels, longest, keys)))):
+        at = lambda of, name: names.select(*keys, F.col("pos").alias(of), F.col("name").alias(name))  # noqa: B023, E731
         out = out.withColumns({"_at": F.col("pos") + F.col("len"), "_from": F.col("from_pos") + F.col("len")})
-        out = out.join(at("_at", "ahead"), [*keys, "_at"], "left").join(at("_from", "behind"), [*keys, "_from"], "left")
-        differs = F.array_position(F.zip_with("ahead", "behind", lambda a, b: F.coalesce(a == b, F.lit(False))), False)
-        more = F.coalesce(F.when(differs == 0, 16).otherwise(differs - 1), F.lit(0)) * size
-        out = out.withColumn("len", (F.col("len") + more).cast("int")).drop("_at", "_from", "ahead", "behind")
+        out = out.join(at("_at", "_ahead"), [*keys, "_at"], "left").join(at("_from", "_behind"), [*keys, "_from"], "left")
+        out = out.withColumn("len", F.col("len") + F.when(F.col("_ahead") == F.col("_behind"), 1 << k).otherwise(0)).drop("_at", "_from", "_ahead", "_behind")
     return out.select(*keys, "pos", "from_pos", "dist", F.least("len", F.lit(longest)).alias("len"))
 
 
@@ -137,60 +174,91 @@ def parse(colors: list[int]) -> list[tuple[int, int, int]]:
 
 
 def backref_parse(hits: DataFrame) -> DataFrame:
-    """Tokens of each image from `cache_hits` rows: copies, cache hits and literals. The parse depends on what it chose before, so one task an image; cache hits do not, so they come from a window before it.
+    """Tokens of each image from `cache_hits` rows: copies, cache hits and literals. The parse depends on what it chose before, so an image is in one task, many small ones in one batch; cache hits do not, so they come from a window before it.
     Rows with a null id, position or channel take no part."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos", kind="stable")
-        rows = group[["pos", "r", "g", "b", "a", "slot", "hit"]].to_dict("records")
-        out = []
-        for k, (i, length, dist) in enumerate(parse(group["argb"].tolist())):
-            p = rows[i]
-            if length:
-                cell = ("copy", None, None, None, None, length, dist, None)
-            elif p["hit"]:
-                cell = ("cache", None, None, None, None, None, None, p["slot"])
-            else:
-                cell = ("literal", p["g"], p["r"], p["b"], p["a"], None, None, None)
-            out.append((group["image_id"].iloc[0], k, p["pos"], *cell))
-        frame = pd.DataFrame(out, columns=["image_id", "tok", "pos", "kind", "g", "r", "b", "a", "len", "dist", "slot"])
-        return frame.astype({c: "Int64" for c in ("g", "r", "b", "a", "len", "dist", "slot")})
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        edges, colors = starts_of(frame.image_id.to_numpy()), frame["argb"].to_numpy()
+        at, tok, length, dist = [], [], [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            found = parse(colors[a:b].tolist())
+            at += [a + i for i, _, _ in found]
+            tok += range(len(found))
+            length += [n for _, n, _ in found]
+            dist += [d for _, _, d in found]
+        cells, copy = frame.iloc[at], np.array(length) > 0
+        hit = ~copy & cells["hit"].to_numpy()
+        only = lambda values, keep: pd.arrays.IntegerArray(np.asarray(values, dtype=np.int64), ~keep)
+        out = pd.DataFrame({"image_id": cells.image_id.to_numpy(), "tok": tok, "pos": cells.pos.to_numpy(), "kind": np.where(copy, "copy", np.where(hit, "cache", "literal"))})
+        for ch in "grba":
+            out[ch] = only(cells[ch].to_numpy(), ~copy & ~hit)
+        out["len"], out["dist"], out["slot"] = only(length, copy), only(dist, copy), only(cells["slot"].to_numpy(), hit)
+        return out
 
     columns = ["image_id", "pos", "r", "g", "b", "a", "argb", "slot", "hit"]
-    return hits.select(columns).dropna().groupBy("image_id").applyInPandas(run, _TOKENS)
-
-
-def backref_expand(tokens: DataFrame, bits: int = 4) -> DataFrame:
-    """(image_id, pos, argb, error) from tokens. Copies may overlap what they make and hold cache hits, so both unfold in one pass. An error row ends its
-    image: `bad_distance` for a copy from before the start, `bad_token` for a token that lacks what its kind needs or has it negative. Tokens without image or number are left out."""
-    needs = {"copy": ("len", "dist"), "cache": ("slot",), "literal": ("a", "r", "g", "b")}
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        cache, done, cached, error = [0] * (1 << bits), [], 0, None
-        slot_of = lambda c: ((c * MULTIPLIER) & 0xFFFFFFFF) >> (32 - bits)
-        for t in group.sort_values("tok", kind="stable").to_dict("records"):
-            values = [t[name] for name in needs.get(t["kind"], ())]
-            if not values or any(pd.isna(v) or v < 0 for v in values) or (t["kind"] == "cache" and values[0] >= len(cache)):
-                error = "bad_token"
-                break
-            values = [int(v) for v in values]
-            if t["kind"] == "copy":
-                length, dist = values
-                if not 1 <= dist <= len(done):
-                    error = "bad_distance"
-                    break
-                stretch = done[-dist:]
-                done += (stretch * (length // dist + 1))[:length]
-            elif t["kind"] == "cache":
-                for c in done[cached:]:  # the cache is brought up to date where it is read
-                    cache[slot_of(c)] = c
-                cached = len(done)
-                done.append(cache[values[0]])
-            else:
-                a, r, g, b = values
-                done.append(a << 24 | r << 16 | g << 8 | b)
-        out = pd.DataFrame({"image_id": group["image_id"].iloc[0], "pos": range(len(done) + bool(error)), "argb": done + [0] * bool(error)})
-        out["error"] = [None] * len(done) + [error] * bool(error)
-        return out
+    return by_image(hits.select(columns).dropna(), run, _TOKENS, ["pos"])
+
 
-    return tokens.dropna(subset=["image_id", "tok"]).groupBy("image_id").applyInPandas(run, "image_id long, pos long, argb long, error string")
+def _resolved(links: DataFrame, rounds: Rounds, name: str, most_rounds: int = 60) -> DataFrame:
+    """(image_id, pos, to) with every `to` followed to the last: links that point at the pos of another link jump on to where that one points, so each round doubles the steps."""
+    links = rounds.keep(links, name)
+    for _ in range(most_rounds):
+        ahead = links.select("image_id", F.col("pos").alias("to"), F.col("to").alias("_next"))
+        step = links.join(ahead, ["image_id", "to"], "left").select("image_id", "pos", F.coalesce("_next", "to").alias("to"), F.col("_next").isNotNull().alias("moved"))
+        step = rounds.keep(step, name)
+        links = step.drop("moved")
+        if step.filter("moved").isEmpty():
+            return links
+    raise RuntimeError(f"copies did not end in {most_rounds} rounds")
+
+
+def backref_expand(tokens: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
+    """(image_id, pos, argb, error) from tokens (image_id, tok, kind, a, r, g, b, len, dist, slot). An error row ends its image: `bad_distance` for a copy from before the start, `bad_token` for a
+    token that lacks what its kind needs or has it negative, or a slot of more than `bits` bits. Tokens without image or number are left out; rows that share a number are in no fixed order.
+
+    Nothing here walks an image. Where each token starts is a running sum by blocks. Every pixel of a copy points at its source (for a copy that overlaps what it makes, into the stretch before it), and pointers
+    jump until they meet a literal or a cache hit: rounds grow with the logarithm of how deep copies of copies go. With that every pixel's slot is known, so a hit takes the last colour set in its slot before it; where that was a
+    copy of another hit, it points there, and pointers jump once more. An image larger than a task is many joined rows.
+    """
+    spark = tokens.sparkSession
+    rounds = Rounds(spark, "expand")
+    lacks = lambda *names: F.coalesce(F.greatest(*((F.coalesce(F.col(n), F.lit(-1)) < 0) for n in names)) if len(names) > 1 else F.coalesce(F.col(names[0]), F.lit(-1)) < 0, F.lit(True))
+    kind = F.col("kind")
+    bad = F.when(kind == "copy", lacks("len", "dist")).when(kind == "cache", lacks("slot") | (F.col("slot") >= (1 << bits))).when(kind == "literal", lacks("a", "r", "g", "b")).otherwise(True)
+    t = tokens.dropna(subset=["image_id", "tok"]).select("image_id", "tok", "kind", *"argb", "len", "dist", "slot", bad.alias("bad"))
+    t = rounds.keep(t, "given")
+    size = F.when(F.col("bad"), 0).when(kind == "copy", F.col("len")).otherwise(1)
+    t = rounds.keep(running_sum(t, ["image_id"], "tok", size, "start", block), "tokens")
+    far = (kind == "copy") & ((F.col("dist") < 1) | (F.col("dist") > F.col("start")))
+    error = F.when(F.col("bad"), "bad_token").when(far, "bad_distance")
+    ends = t.withColumn("error", error).filter("error IS NOT NULL").groupBy("image_id").agg(F.min(F.struct("tok", "start", "error")).alias("e"))
+    ends = rounds.keep(ends.select("image_id", F.col("e.tok").alias("_end"), F.col("e.start").alias("pos"), "e.error"), "ends")
+    sound = t.join(ends.select("image_id", "_end"), "image_id", "left").filter("_end IS NULL OR tok < _end")
+
+    roots = sound.filter("kind != 'copy'").select("image_id", F.col("start").alias("pos"), F.when(kind == "literal", argb()).alias("argb"), F.when(kind == "cache", F.col("slot")).alias("slot"))
+    roots = rounds.keep(roots.withColumn("slot", F.coalesce("slot", color_slot(F.col("argb"), bits))), "read")
+    # slots begin at 0: before the first literal of its slot a hit is a 0, which belongs to slot 0
+    first = roots.filter("argb IS NOT NULL").groupBy("image_id", "slot").agg(F.min("pos").alias("_first"))
+    unset = F.col("argb").isNull() & (F.col("slot") != 0) & F.coalesce(F.col("pos") < F.col("_first"), F.lit(True))
+    roots = roots.join(first, ["image_id", "slot"], "left").withColumn("_unset", unset)
+    roots = rounds.keep(roots.select("image_id", "pos", F.when(F.col("_unset"), 0).otherwise(F.col("argb")).alias("argb"), F.when(F.col("_unset"), 0).otherwise(F.col("slot")).alias("slot")), "roots")
+    each = sound.filter("kind = 'copy' AND len > 0").select("image_id", "start", "dist", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("i"))
+    links = each.select("image_id", (F.col("start") + F.col("i")).alias("pos"), (F.col("start") - F.col("dist") + F.col("i") % F.col("dist")).alias("to"))
+    links = _resolved(links, rounds, "copies")
+    copies = rounds.keep(links.join(roots.withColumnRenamed("pos", "to"), ["image_id", "to"]), "pixels")
+
+    # of each hit the last pixel of its slot that is none: its colour, or the hit that it is a copy of
+    setters = roots.select("image_id", "pos", "slot", "argb", F.lit(None).cast("bigint").alias("to")).unionByName(copies.select("image_id", "pos", "slot", "argb", F.when(F.col("argb").isNull(), F.col("to")).alias("to")))
+    set_ = F.when(F.col("argb").isNotNull() | F.col("to").isNotNull(), F.struct("argb", "to"))
+    last = F.last(set_, ignorenulls=True).over(Window.partitionBy("image_id", "slot").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    hits = setters.withColumn("_last", last).filter("argb IS NULL AND to IS NULL").select("image_id", "pos", F.when(F.col("_last.to").isNull(), F.coalesce("_last.argb", F.lit(0))).alias("argb"), F.col("_last.to").alias("to"))
+    hits = rounds.keep(hits, "hits")
+    open_ = hits.filter("to IS NOT NULL").select("image_id", "pos", "to")
+    known = hits.filter("to IS NULL").select("image_id", "pos", "argb")
+    if not open_.isEmpty():
+        open_ = _resolved(open_, rounds, "open")
+        known = rounds.keep(known.unionByName(open_.join(known.withColumnRenamed("pos", "to"), ["image_id", "to"]).select("image_id", "pos", "argb")), "known")
+
+    of_hits = copies.filter("argb IS NULL").select("image_id", "pos", "to").join(known.withColumnRenamed("pos", "to"), ["image_id", "to"]).select("image_id", "pos", "argb")
+    pixels = roots.filter("argb IS NOT NULL").select("image_id", "pos", "argb").unionByName(copies.filter("argb IS NOT NULL").select("image_id", "pos", "argb")).unionByName(known).unionByName(of_hits)
+    return pixels.withColumn("error", F.lit(None).cast("string")).unionByName(ends.select("image_id", "pos", F.lit(0).cast("bigint").alias("argb"), "error"))

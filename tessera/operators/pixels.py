@@ -5,7 +5,7 @@ null channel values give null results; an empty table gives an empty table; othe
 like a column that a job needs on its way (mode, tx, ty, l, t, tl, tr, g2r, ...). Columns that a job returns replace others of that name.
 A repeated pixel is one more pixel to counts and to jobs on single rows. Jobs that walk a grid in order (`sequential_modes`,
 `inverse_predict`) leave out rows with a null coordinate or channel, take the first of repeated pixels by position and channels, and allow gaps,
-such as a last row that ends early: a missing pixel is nobody's, and a neighbour of zeros to others.
+such as a last row that ends early: a missing pixel is nobody's, and a neighbour of zeros to others (`with_neighbors` says which pixels are neighbours).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.bytes import argb, avg2, clamp8, color_slot, div0, signed8, tile_key, wrap8
+from tessera.operators.batches import Grid, by_image, starts_of
 
 KEYS = ["image_id"]
 CHANNELS = ["r", "g", "b", "a"]
@@ -96,14 +97,21 @@ def valid_dims(images: DataFrame) -> DataFrame:
 def with_neighbors(pixels: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Left, top, top-left and top-right pixel of each, as structs l, t, tl, tr; null where there is none.
 
-    Past the last column, top-right is the first pixel of the pixel's own row, which is what follows in row-major order. Windows are by
-    row and by column, so a giant image is still many groups. Beyond a gap in the grid, the next pixel there is counts as the neighbour.
+    Past the last pixel of the row above, top-right is the first pixel of the pixel's own row, which is what follows in row-major order. Windows are by
+    row and by column, so a giant image is still many groups. Only pixels at a distance of one count: beyond a gap there is no neighbour. Top-left and top-right are reached
+    through the pixel above: where that is missing, so are they. Repeated pixels are neighbours of none.
     """
     pixel = F.struct(*CHANNELS)
     row, column = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
-    p = pixels.withColumns({"_p": pixel, "l": F.lag(pixel).over(row), "_r": F.lead(pixel).over(row), "_head": F.first(pixel).over(row)})
-    p = p.withColumns({"t": F.lag("_p").over(column), "tl": F.lag("l").over(column), "_tr": F.lag("_r").over(column)})
-    return p.withColumn("tr", F.when(F.col("y") > 0, F.coalesce("_tr", "_head"))).drop("_p", "_r", "_head", "_tr")
+    p = pixels.withColumns({
+        "_p": pixel, "l": F.when(F.lag("x").over(row) == F.col("x") - 1, F.lag(pixel).over(row)), "_after": F.lead("x").over(row),
+        "_next": F.lead(pixel).over(row), "_head": F.when(F.first("x").over(row) == 0, F.first(pixel).over(row)),
+    })
+    # what the pixel above has to its right: the next pixel, or nothing over a gap, or the end of its row
+    p = p.withColumns({"_r": F.when(F.col("_after") == F.col("x") + 1, F.col("_next")), "_ends": F.col("_after").isNull()})
+    above = F.lag("y").over(column) == F.col("y") - 1
+    p = p.withColumns({"t": F.when(above, F.lag("_p").over(column)), "tl": F.when(above, F.lag("l").over(column)), "_tr": F.when(above, F.lag("_r").over(column)), "_last": F.when(above, F.lag("_ends").over(column))})
+    return p.withColumn("tr", F.coalesce("_tr", F.when(F.col("_last"), F.col("_head")))).drop("_p", "_r", "_head", "_tr", "_after", "_next", "_ends", "_last")
 
 
 def _select(l: Column, t: Column, tl: Column, left_far: Column, top_far: Column) -> Column:
@@ -132,13 +140,14 @@ def predictors() -> dict[int, Callable[[dict[str, Column], Column], Column]]:
 
 
 def predicted(mode: Column, neighbors: DataFrame | None = None, table: dict | None = None) -> dict[str, Column]:
-    """Predicted channels of rows with x, y and l, t, tl, tr: the borders have their own rule (opaque black, then left in the first row, top in the first column), elsewhere the mode's."""
+    """Predicted channels of rows with x, y and l, t, tl, tr: the borders have their own rule (opaque black, then left in the first row, top in the first column), elsewhere the mode's. A neighbour that is not there counts as zeros."""
     table = table or predictors()
-    far = lambda near: sum((F.abs(F.col(f"{near}.{ch}") - F.col(f"tl.{ch}")) for ch in CHANNELS), F.lit(0))
+    cell = lambda k, ch: F.when(F.col(k).isNull(), 0).otherwise(F.col(f"{k}.{ch}"))
+    far = lambda near: sum((F.abs(cell(near, ch) - cell("tl", ch)) for ch in CHANNELS), F.lit(0))
     left_nearer = far("t") < far("l")  # the distance of left + top - top-left to left is that of top to top-left
     out = {}
     for ch in CHANNELS:
-        n = {k: F.col(f"{k}.{ch}") for k in ("l", "t", "tl", "tr")} | {"zero": F.lit(255 if ch == "a" else 0)}
+        n = {k: cell(k, ch) for k in ("l", "t", "tl", "tr")} | {"zero": F.lit(255 if ch == "a" else 0)}
         inner = None
         for m, f in table.items():
             inner = F.when(mode == m, f(n, left_nearer)) if inner is None else inner.when(mode == m, f(n, left_nearer))
@@ -192,15 +201,13 @@ def _whole(pixels: DataFrame) -> DataFrame:
     return pixels.dropna(subset=["image_id", "x", "y", *CHANNELS]).filter("x >= 0 AND y >= 0")
 
 
-def _grid(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """The pixels in row-major order, each place once, as an array of zeros elsewhere, and which places are taken."""
-    group = group.sort_values(["y", "x", "pos", *CHANNELS], kind="stable").drop_duplicates(["y", "x"])
-    y, x = group.y.to_numpy(), group.x.to_numpy()
-    p = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 4), dtype=np.int64)
-    p[y, x] = group[CHANNELS].to_numpy(np.int64)
-    given = np.zeros(p.shape[:2], dtype=bool)
-    given[y, x] = True
-    return group, p, given
+def _places(frame: pd.DataFrame) -> pd.DataFrame:
+    """Sorted pixels of whole images, each place once: of repeated ones the first by position and channels."""
+    return frame.drop_duplicates(["image_id", "y", "x"], ignore_index=True)
+
+
+#: The order in which walks over grids take an image's pixels.
+_WALK = ["y", "x", "pos", *CHANNELS]
 
 
 def _guesses(left: np.ndarray, top: np.ndarray, corner: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
@@ -214,68 +221,66 @@ def _guesses(left: np.ndarray, top: np.ndarray, corner: np.ndarray, right: np.nd
     return [black, left, top, right, corner, mean(mean(left, right), top), mean(left, corner), m, mean(corner, top), mean(top, right), mean(mean(left, corner), mean(top, right)), np.where(take_left, left, top), clip(left + top - corner), clip(m + half)]
 
 
-def _neighbor_arrays(p: np.ndarray) -> tuple[np.ndarray, ...]:
-    h, w, _ = p.shape
-    flat = np.concatenate([np.zeros((w + 1, 4), dtype=np.int64), p.reshape(-1, 4), np.zeros((2, 4), dtype=np.int64)])
-    at = np.arange(h * w) + w + 1
-    return tuple(flat[at - d].reshape(h, w, 4) for d in (1, w, w + 1, w - 1))
+def _around(p: np.ndarray, grid: Grid, at: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
+    """The guesses of all modes for pixels of a grid (p: channels by pixel, then zeros), the borders by their own rule."""
+    left, top, corner, right = (p[of[at]] for of in (grid.left, grid.top, grid.corner, grid.right))
+    x, y = grid.x[at], grid.y[at]
+    border = np.where((y == 0)[:, None], left, top)
+    border[(x == 0) & (y == 0)] = (0, 0, 0, 255)
+    on_border = ((x == 0) | (y == 0))[:, None]
+    return [np.where(on_border, border, g) for g in _guesses(left, top, corner, right)]
 
 
 def sequential_modes(pixels: DataFrame, bits: int = 4) -> DataFrame:
     """(image_id, tx, ty, mode) as one pass over an image chooses them: a tile's mode is the one with least impurity of its residuals
-    together with those of all tiles before it, in row-major order. One task an image; above a size that a task holds, use `best_tile_mode`."""
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group, p, given = _grid(group)
-        h, w = given.shape
-        left, top, corner, right = _neighbor_arrays(p)
-        guess = np.stack(_guesses(left, top, corner, right))
-        guess[:, :, 0], guess[:, 0, :], guess[:, 0, 0] = top[:, 0], left[0], np.array([0, 0, 0, 255])
-        rest = (p[None] - guess) & 255
-        size, seen, out = 1 << bits, np.zeros((4, 256)), []
-        for ty in range((h + size - 1) >> bits):
-            for tx in range((w + size - 1) >> bits):
-                tile = np.s_[ty * size : (ty + 1) * size, tx * size : (tx + 1) * size]
-                part = rest[:, *tile][:, given[tile]]
-                if not part.size:
-                    continue
-                scores, sums = [], []
-                for m in range(len(rest)):
-                    n = seen + np.stack([np.bincount(part[m, :, k], minlength=256) for k in range(4)])
-                    sums.append(n)
-                    scores.append((1 - (n * n).sum(1) / n.sum(1) ** 2).sum())
-                best = int(np.argmin(scores))
-                seen = sums[best]
-                out.append((group.image_id.iloc[0], tx, ty, best))
+    together with those of all tiles before it, in row-major order. An image is in one task; above a size that a task holds, use `best_tile_mode`."""
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = _places(frame)
+        p = np.zeros((len(frame) + 1, 4), dtype=np.int64)
+        p[:-1] = frame[CHANNELS].to_numpy(np.int64)
+        grid, out = Grid(frame), []
+        rest = np.stack([(p[:-1] - g) & 255 for g in _around(p, grid)])
+        tx, ty = grid.x >> bits, grid.y >> bits
+        order = np.lexsort((tx, ty, grid.image))
+        tile = ((grid.image << 40) + (ty << 20) + tx)[order]
+        seen, image = np.zeros((4, 256)), -1
+        edges = starts_of(tile)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            at = order[a:b]
+            if grid.image[at[0]] != image:
+                seen, image = np.zeros((4, 256)), grid.image[at[0]]
+            # all modes and channels are counted at once
+            cell = (np.arange(len(rest) * 4).reshape(-1, 4) * 256)[:, None] + rest[:, at]
+            n = seen[None] + np.bincount(cell.ravel(), minlength=len(rest) * 1024).reshape(len(rest), 4, 256)
+            best = int(np.argmin((1 - (n * n).sum(2) / n.sum(2) ** 2).sum(1)))
+            seen = n[best]
+            out.append((frame.image_id[int(at[0])], int(tx[at[0]]), int(ty[at[0]]), best))
         return pd.DataFrame(out, columns=["image_id", "tx", "ty", "mode"])
 
-    return _whole(pixels).groupBy("image_id").applyInPandas(choose, "image_id long, tx int, ty int, mode int")
+    return by_image(_whole(pixels).select("image_id", "pos", "x", "y", *CHANNELS), choose, "image_id long, tx int, ty int, mode int", _WALK)
 
 
 def inverse_predict(residuals: DataFrame, tiles: DataFrame, bits: int = 4) -> DataFrame:
-    """Pixels from residuals and tile modes (image_id, tx, ty, mode). Each pixel needs the one before it, so one task an image. A pixel whose tile has no mode is left out."""
-
-    def restore(group: pd.DataFrame) -> pd.DataFrame:
-        group, p, given = _grid(group)
-        w, places = given.shape[1], np.flatnonzero(given)
-        # one row more: what follows the last pixel is nobody's
-        done, rests = np.zeros((given.size + 1, 4), dtype=np.int64), p.reshape(-1, 4)
-        for i, mode in zip(places.tolist(), group["mode"].tolist(), strict=True):
-            y, x = divmod(i, w)
-            if y == 0:
-                guess = done[i - 1] if x else np.array([0, 0, 0, 255])
-            elif x == 0:
-                guess = done[i - w]
-            else:
-                guess = _guesses(done[i - 1], done[i - w], done[i - w - 1], done[i - w + 1])[mode]
-            done[i] = (rests[i] + guess) & 255
-        out = group[["image_id", "pos", "x", "y"]].copy()
-        out[CHANNELS] = done[places]
+    """Pixels from residuals and tile modes (image_id, tx, ty, mode). A pixel whose tile has no mode is left out.
+
+    A pixel needs its left, top, top-left and top-right, so those on one skewed diagonal need nothing of each other: a wave of all images of a batch is restored at once, wave after wave. An image is in one task.
+    """
+
+    def restore(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = _places(frame)
+        grid, modes, rests = Grid(frame), frame["mode"].to_numpy(np.int64), frame[CHANNELS].to_numpy(np.int64)
+        done = np.zeros((len(frame) + 1, 4), dtype=np.int64)
+        for at in grid.waves():
+            guesses = np.stack(_around(done, grid, at))
+            done[at] = (rests[at] + guesses[modes[at], np.arange(len(at))]) & 255
+        out = frame[["image_id", "pos", "x", "y"]].copy()
+        out[CHANNELS] = done[:-1]
         return out
 
     modes = tiles.select("image_id", "tx", "ty", "mode").filter("mode BETWEEN 0 AND 13")
-    pixels = _whole(residuals).select("image_id", "pos", "x", "y", *CHANNELS)
-    return with_tile(pixels, modes, bits).groupBy("image_id").applyInPandas(restore, "image_id long, pos long, x int, y int, r int, g int, b int, a int")
+    pixels = with_tile(_whole(residuals).select("image_id", "pos", "x", "y", *CHANNELS), modes, bits).drop("tx", "ty")
+    return by_image(pixels, restore, "image_id long, pos long, x int, y int, r int, g int, b int, a int", _WALK)
 
 
 def cache_hits(pixels: DataFrame, bits: int = 4, keys: list[str] = KEYS) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.bytes import clamp8
+from tessera.operators.batches import Grid, by_image
 
 #: Shifts of chroma coordinates by subsampling ratio.
 RATIOS = {"444": (0, 0), "422": (1, 0), "420": (1, 1), "440": (0, 1), "411": (2, 0), "410": (2, 1)}
@@ -59,30 +60,29 @@ def unfilter_alpha(plane: DataFrame, kind: int) -> DataFrame:
 
 
 def unfilter_alpha_gradient(plane: DataFrame) -> DataFrame:
-    """Filter 3 undone: each value adds left + top - top-left, clamped, of restored values; so one task an image. Rows with a null take no part, the smallest of repeated values
-    counts, and a missing one is 0 to others, as in a last row that ends early."""
+    """Filter 3 undone: each value adds left + top - top-left, clamped, of restored values (in the first row and column the one neighbour there is). An image is in one task, a wave of values of many images at once (see `Grid`).
+    Rows with a null take no part, the smallest of repeated values counts, and a missing one is 0 to others, as in a last row that ends early."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["y", "x", "v"], kind="stable").drop_duplicates(["y", "x"])
-        at = group.y.to_numpy(), group.x.to_numpy()
-        w, h = int(group.x.max()) + 1, int(group.y.max()) + 1
-        v = np.zeros((h, w), dtype=np.int64)
-        v[at] = group.v.to_numpy(np.int64)
-        v[0] = np.cumsum(v[0]) & 255
-        for y in range(1, h):
-            v[y, 0] = (v[y, 0] + v[y - 1, 0]) & 255
-            for x in range(1, w):
-                v[y, x] = (v[y, x] + min(255, max(0, v[y, x - 1] + v[y - 1, x] - v[y - 1, x - 1]))) & 255
-        return group.assign(v=v[at])[["image_id", "x", "y", "v"]]
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates(["image_id", "y", "x"], ignore_index=True)
+        grid, v, done = Grid(frame), frame.v.to_numpy(np.int64), np.zeros(len(frame) + 1, dtype=np.int64)
+        for at in grid.waves():
+            left, top, corner = (done[of[at]] for of in (grid.left, grid.top, grid.corner))
+            guess = np.where(grid.y[at] == 0, left, np.where(grid.x[at] == 0, top, np.clip(left + top - corner, 0, 255)))
+            done[at] = (v[at] + guess) & 255
+        return frame.assign(v=done[:-1])[["image_id", "x", "y", "v"]]
 
-    return plane.dropna(subset=["image_id", "x", "y", "v"]).filter("x >= 0 AND y >= 0").groupBy("image_id").applyInPandas(run, "image_id long, x int, y int, v int")
+    return by_image(plane.dropna(subset=["image_id", "x", "y", "v"]).filter("x >= 0 AND y >= 0").select("image_id", "x", "y", "v"), run, "image_id long, x int, y int, v int", ["y", "x", "v"])
 
 
 def filter_gradient(plane: DataFrame) -> DataFrame:
-    """The gradient filter itself, by windows: its guesses use the given values."""
+    """The gradient filter itself, by windows: its guesses use the given values, with the neighbours that `unfilter_alpha_gradient` has: none over a gap, and a top-left only where there is a top."""
     row, col = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    p = plane.withColumn("_l", F.lag("v").over(row)).withColumns({"_t": F.lag("v").over(col), "_tl": F.lag("_l").over(col)})
-    guess: Column = F.when(F.col("_l").isNull(), F.coalesce("_t", F.lit(0))).when(F.col("_t").isNull(), F.col("_l")).otherwise(clamp8(F.col("_l") + F.col("_t") - F.col("_tl")))
+    p = plane.withColumn("_l", F.when(F.lag("x").over(row) == F.col("x") - 1, F.lag("v").over(row)))
+    above = F.lag("y").over(col) == F.col("y") - 1
+    p = p.withColumns({"_t": F.when(above, F.lag("v").over(col)), "_tl": F.when(above, F.lag("_l").over(col))})
+    l, t, tl = (F.coalesce(c, F.lit(0)) for c in ("_l", "_t", "_tl"))
+    guess: Column = F.when(F.col("y") == 0, l).when(F.col("x") == 0, t).otherwise(clamp8(l + t - tl))
     return p.withColumn("v", F.pmod(F.col("v") - guess, F.lit(256)).cast("int")).drop("_l", "_t", "_tl")
 
 

@@ -364,8 +364,9 @@ def j6(spark: SparkSession, d: str) -> DataFrame:
     return M.match_candidates(X.idx_px(spark, d))
 
 
-@register("t3_longest_match", f"""WITH {_CAND}, ahead AS (SELECT image_id, pos, list(p0) OVER (PARTITION BY image_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS v FROM c),
-    l AS (SELECT x.image_id, x.pos, x.dist, (SELECT coalesce(min(i) - 1, len(a.v)) FROM range(1, 17) t(i) WHERE i <= len(a.v) AND a.v[i] IS DISTINCT FROM b.v[i]) AS len FROM cand x JOIN ahead a ON a.image_id = x.image_id AND a.pos = x.pos JOIN ahead b ON b.image_id = x.image_id AND b.pos = x.from_pos)
+@register("t3_longest_match", f"""WITH {_CAND}, ext(image_id, pos, dist, len) AS (SELECT image_id, pos, dist, 0 FROM cand
+        UNION ALL SELECT e.image_id, e.pos, e.dist, e.len + 1 FROM ext e JOIN c x ON x.image_id = e.image_id AND x.pos = e.pos + e.len JOIN c y ON y.image_id = e.image_id AND y.pos = e.pos - e.dist + e.len WHERE x.p0 = y.p0 AND e.len < 4096),
+    l AS (SELECT image_id, pos, dist, max(len) AS len FROM ext GROUP BY 1, 2, 3)
     SELECT image_id, pos, dist, len::INT AS len FROM (SELECT *, row_number() OVER (PARTITION BY image_id, pos ORDER BY len DESC, dist) AS k FROM l WHERE len >= 3) WHERE k = 1""")
 def t3(spark: SparkSession, d: str) -> DataFrame:
     p = X.idx_px(spark, d)
