@@ -154,15 +154,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     return {"toxic": toxic, "plain": plain, "weights": weights}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, learn_from: DataFrame | None = None) -> DataFrame:
     """One row per row of docs (doc_id LONG, text STRING): doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
     The whole text is compared, in overlapping windows; documents are independent, so no shuffle. Null and empty texts,
     and texts without words, get the score of a document without windows. A null doc_id is scored like any other and is not held
     out. Repeated rows are each returned. Labels rows with null ids or labels are not used; where ids repeat the largest
-    label counts. Where labelled documents of either label are missing, every score is 0.
+    label counts. Where labelled documents of either label are missing, every score is 0. learn_from: the labelled documents, if docs goes by other ids than labels.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # two dictionaries and some weights: under 50 kB
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs if learn_from is None else learn_from, labels))  # two dictionaries and some weights: under 50 kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
