@@ -1,7 +1,7 @@
 """A cleaning pipeline over `documents`: toxic documents go, near copies go, repeated passages go, leaked benchmark items go; what is left is encoded.
 
 Every stage takes (spark, docs, sf_dir), docs with the columns of `documents`, and returns a DataFrame, which is written and read again as the next
-one's docs. All rows that a stage was given and does not reject go on. A null doc_id is kept by the filters.
+one's docs. All rows that a stage was given and does not reject go on; rows go by `row_key`, so a null doc_id is no exception. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -22,10 +22,21 @@ from tessera.llm.toxicity import score_toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the row's key in the place of its id, so that rows are told apart that share an id or have none."""
+    return docs.select(row_key().alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents but those whose row's key is a doc_id of `gone`. Equal rows have one key: they share their text, and so what is decided on it."""
+    keys = gone.select(F.col("doc_id").alias("key")).distinct()
+    return docs.select(*COLUMNS, row_key().alias("key")).join(keys.hint("merge"), "key", "left_anti").select(COLUMNS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not predict toxic. Equal ids with different texts go together."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return docs.select(COLUMNS).join(scored.filter("predicted = 1").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
+    """Documents that the toxicity classifier does not predict toxic. Each row by its own text: of rows that share an id only the toxic ones go, and a toxic row without id goes too."""
+    scored = score_toxicity(_keyed(docs), table(spark, sf_dir, "labels"), learn_from=docs)
+    return _without(docs, scored.filter("predicted = 1"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +64,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaked = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(leaked.hint("merge"), "doc_id", "left_anti")
+    """Documents that hold no benchmark item, each row by its own text, as in `drop_toxic`."""
+    return _without(docs, find_leaks(_keyed(docs), table(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
