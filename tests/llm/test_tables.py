@@ -204,3 +204,25 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     for found in (near, left):
         assert found.columns == corpus_pipeline.COLUMNS
         assert sorted(((r.doc_id, r.text) for r in found.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_pipeline_filters_go_by_rows(spark, sf_dir, monkeypatch):
+    """Toxic and leaking rows without id go, a clean row that shares the id of a toxic or leaking one stays; repeated rows share what becomes of them. The classifier is stood in for."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "score_toxicity", lambda docs, labels, learn_from: docs.selectExpr("doc_id", "CAST(text LIKE '%vile%' AS INT) AS predicted"))
+    toxic, plain, leak = "vile words", "plain words", f"xx {table(spark, sf_dir, 'benchmark').first().text} yy"
+    rows = [(None, toxic), (7, toxic), (7, plain), (None, leak), (8, leak), (8, plain), (8, leak), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert left(corpus_pipeline.drop_toxic(spark, docs, sf_dir)) == sorted([r for r in rows if r[1] != toxic], key=str)
+    assert left(corpus_pipeline.drop_leaks(spark, docs, sf_dir)) == sorted([r for r in rows if r[1] != leak], key=str)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
