@@ -86,13 +86,23 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def differ(a: str, b: str) -> tuple[str, str] | None:
     """What multiset a (sorted letters) has beyond b and b beyond a, when words of them can differ by one letter: one letter at most each way, and any at all."""
-    more, less = Counter(a), Counter(b)
-    more.subtract(less)
-    only_a = [c for c, n in more.items() for _ in range(n)]
-    only_b = [c for c, n in more.items() for _ in range(-n)]
-    if len(only_a) > 1 or len(only_b) > 1 or not (only_a or only_b):
-        return None
-    return "".join(only_a), "".join(only_b)
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    if len(a) == len(b):
+        if i == n:
+            return None
+        # the smaller letter stands only on its side; without it the rest is equal but for one letter of the other side
+        if a[i] > b[i]:
+            found = differ(b, a)
+            return found and (found[1], found[0])
+        k = i
+        while k + 1 < n and a[k + 1] == b[k]:
+            k += 1
+        return (a[i], b[k]) if a[k + 1 :] == b[k + 1 :] else None
+    if len(a) > len(b):
+        return (a[i], "") if a[i + 1 :] == b[i:] else None
+    return ("", b[i]) if b[i + 1 :] == a[i:] and len(b) == len(a) + 1 else None
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
