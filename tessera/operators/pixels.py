@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,17 +177,43 @@ def gini_impurity(hist: DataFrame, by: list[str], digits: int = 9) -> DataFrame:
     return hist.groupBy(*by).agg(F.round(1 - F.sum(n * n) / (F.sum(n) * F.sum(n)), digits).alias("impurity"))
 
 
+def _mode_counts(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of residuals by tile, mode and channel of pixels with their neighbours, batch by batch: all modes of a batch are one array."""
+    own = [*keys, "tx", "ty"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile = batch.select(own).to_pandas().groupby(own, dropna=False, sort=False).ngroup().to_numpy()
+            cells = [np.stack([batch.column(f"{k}_{ch}").fill_null(-1).to_numpy() for ch in CHANNELS], axis=1).astype(np.int64) for k in ("p", "l", "t", "tl", "tr")]
+            known = (cells[0] >= 0).all(axis=1)
+            pixel, left, top, corner, right = (np.maximum(c[known], 0) for c in cells)
+            x, y, tile = (v[known] for v in (batch.column("x").to_numpy(zero_copy_only=False), batch.column("y").to_numpy(zero_copy_only=False), tile))
+            rest = np.stack([(pixel - g) & 255 for g in _with_borders(x, y, left, top, _guesses(left, top, corner, right))])
+            n_modes = len(rest)
+            code = (((tile[None, :, None] * n_modes + np.arange(n_modes)[:, None, None]) * 4 + np.arange(4)) << 8) + rest
+            code, n = np.unique(code, return_counts=True)
+            first = np.unique(tile, return_index=True)[1] if len(tile) else np.empty(0, np.int64)
+            row_of = np.zeros(int(tile.max()) + 1 if len(tile) else 0, dtype=np.int64)
+            row_of[tile[first]] = np.flatnonzero(known)[first]
+            at = pa.array(row_of[(code >> 8) // 4 // n_modes])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in own), pa.array(((code >> 8) // 4 % n_modes).astype(np.int32)), pa.array(((code >> 8) % 4).astype(np.int32)), pa.array((code & 255).astype(np.int32)), pa.array(n.astype(np.int64))], names=[*own, "mode", "ch", "symbol", "n"])
+
+    return run
+
+
 def tile_mode_scores(pixels: DataFrame, bits: int = 4, keys: list[str] = KEYS) -> DataFrame:
     """(keys, tx, ty, mode, score): summed impurity of the four channels' residuals for each tile and mode.
 
-    56 values a pixel, but they meet a partial aggregation in the same stage, so only counts are shuffled.
+    56 values a pixel, counted in the task that makes them, so only counts are shuffled. A pixel with a null channel or place takes no part.
     """
-    p = with_neighbors(pixels, keys).withColumns({"tx": tile_key("x", bits), "ty": tile_key("y", bits)})
-    rows = []
-    for mode, own in predictors().items():
-        guess = predicted(F.lit(mode), table={mode: own})
-        rows += [F.struct(F.lit(mode).alias("mode"), F.lit(k).alias("ch"), wrap8(F.col(ch) - guess[ch]).alias("symbol")) for k, ch in enumerate(CHANNELS)]
-    counts = p.select(*keys, "tx", "ty", F.inline(F.array(*rows))).groupBy(*keys, "tx", "ty", "mode", "ch", "symbol").agg(F.count("*").alias("n"))
+    p = with_neighbors(pixels, keys).filter("x IS NOT NULL AND y IS NOT NULL")
+    flat = {f"{k}_{ch}": F.col(f"{k}.{ch}") for k in ("l", "t", "tl", "tr") for ch in CHANNELS} | {f"p_{ch}": F.col(ch) for ch in CHANNELS}
+    p = p.select(*keys, "x", "y", tile_key("x", bits).alias("tx"), tile_key("y", bits).alias("ty"), *(v.cast("int").alias(k) for k, v in flat.items()))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema if f.name in (*keys, "tx", "ty"))
+    counts = p.mapInArrow(_mode_counts(keys), f"{kinds}, mode int, ch int, symbol int, n long")
+    counts = counts.groupBy(*keys, "tx", "ty", "mode", "ch", "symbol").agg(F.sum("n").alias("n"))
     each = gini_impurity(counts, [*keys, "tx", "ty", "mode", "ch"], 12)
     return each.groupBy(*keys, "tx", "ty", "mode").agg(F.round(F.sum("impurity"), 9).alias("score"))
 
@@ -221,14 +248,18 @@ def _guesses(left: np.ndarray, top: np.ndarray, corner: np.ndarray, right: np.nd
     return [black, left, top, right, corner, mean(mean(left, right), top), mean(left, corner), m, mean(corner, top), mean(top, right), mean(mean(left, corner), mean(top, right)), np.where(take_left, left, top), clip(left + top - corner), clip(m + half)]
 
 
-def _around(p: np.ndarray, grid: Grid, at: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
-    """The guesses of all modes for pixels of a grid (p: channels by pixel, then zeros), the borders by their own rule."""
-    left, top, corner, right = (p[of[at]] for of in (grid.left, grid.top, grid.corner, grid.right))
-    x, y = grid.x[at], grid.y[at]
+def _with_borders(x: np.ndarray, y: np.ndarray, left: np.ndarray, top: np.ndarray, guesses: list[np.ndarray]) -> list[np.ndarray]:
+    """Guesses where there are both neighbours, else those of the border: opaque black, then left in the first row, top in the first column."""
     border = np.where((y == 0)[:, None], left, top)
     border[(x == 0) & (y == 0)] = (0, 0, 0, 255)
     on_border = ((x == 0) | (y == 0))[:, None]
-    return [np.where(on_border, border, g) for g in _guesses(left, top, corner, right)]
+    return [np.where(on_border, border, g) for g in guesses]
+
+
+def _around(p: np.ndarray, grid: Grid, at: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
+    """The guesses of all modes for pixels of a grid (p: channels by pixel, then zeros), the borders by their own rule."""
+    left, top, corner, right = (p[of[at]] for of in (grid.left, grid.top, grid.corner, grid.right))
+    return _with_borders(grid.x[at], grid.y[at], left, top, _guesses(left, top, corner, right))
 
 
 def sequential_modes(pixels: DataFrame, bits: int = 4) -> DataFrame:

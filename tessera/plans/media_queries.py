@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import fixtures as X
@@ -16,6 +17,8 @@ from tessera.operators import palette as L
 from tessera.operators import pixels as P
 from tessera.operators import planes as N
 from tessera.operators import verify as V
+from tessera.sources.media import read_bucket, read_files, write_files, write_media
+from tessera.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -198,7 +201,8 @@ def h4(spark: SparkSession, d: str) -> DataFrame:
     return P.inverse_predict(P.residual(X.vec_px(spark, d), t, 1), t, 1)
 
 
-_SCORES = f"""{_NB}, e AS ({" UNION ALL ".join(f"SELECT image_id, x // 2 AS tx, y // 2 AS ty, {m} AS mode, '{ch}' AS ch, {_wrap(f'{ch} - {_guess(m, ch)}')} AS symbol FROM nb" for m in range(14) for ch in "rgba")}),
+_RESIDUALS = f"""{_NB}, e AS ({" UNION ALL ".join(f"SELECT image_id, x // 2 AS tx, y // 2 AS ty, {m} AS mode, '{ch}' AS ch, {_wrap(f'{ch} - {_guess(m, ch)}')} AS symbol FROM nb" for m in range(14) for ch in "rgba")})"""
+_SCORES = f"""{_RESIDUALS},
     h AS (SELECT image_id, tx, ty, mode, ch, symbol, count(*)::DOUBLE AS n FROM e GROUP BY ALL),
     i AS (SELECT image_id, tx, ty, mode, ch, round(1 - sum(n * n) / (sum(n) * sum(n)), 12) AS impurity FROM h GROUP BY ALL),
     s AS (SELECT image_id, tx, ty, mode, round(sum(impurity), 9) AS score FROM i GROUP BY ALL)"""
@@ -214,7 +218,22 @@ def a4(spark: SparkSession, d: str) -> DataFrame:
     return P.best_tile_mode(P.tile_mode_scores(X.vec_px(spark, d), 1))
 
 
-@register("h3_sequential_modes")
+def _spread(x: str) -> str:
+    """Impurity of a list of symbols in SQL."""
+    return f"(1 - list_sum(list_transform({x}, lambda u: len(list_filter({x}, lambda v: v = u))))::DOUBLE / (len({x}) * len({x}))::DOUBLE)"
+
+
+# the residuals of all tiles so far, as lists, go from tile to tile; the least score of 14 is taken, of equal ones the lowest mode
+_SEQUENTIAL = f"""{_RESIDUALS},
+    tm AS (SELECT image_id, ty * 2 + tx AS k, tx, ty, mode, {", ".join(f"list(symbol) FILTER (ch = '{ch}') AS {ch}" for ch in "rgba")} FROM e GROUP BY ALL),
+    tl AS MATERIALIZED (SELECT image_id, k, tx, ty, list(struct_pack(mode := mode, r := r, g := g, b := b, a := a) ORDER BY mode) AS modes FROM tm GROUP BY ALL),
+    walk(image_id, k, tx, ty, best) AS (
+        SELECT image_id, -1::BIGINT, NULL::BIGINT, NULL::BIGINT, struct_pack(score := 0.0::DOUBLE, mode := 0, {", ".join(f"{ch} := []::BIGINT[]" for ch in "rgba")}) FROM tl WHERE k = 0
+        UNION ALL SELECT image_id, k, tx, ty, list_sort(list_transform(c, lambda z: struct_pack(score := {" + ".join(_spread(f"z.{ch}") for ch in "rgba")}, mode := z.mode, {", ".join(f"{ch} := z.{ch}" for ch in "rgba")})))[1]
+        FROM (SELECT tl.image_id, tl.k, tl.tx, tl.ty, list_transform(tl.modes, lambda z: struct_pack(mode := z.mode::INT, {", ".join(f"{ch} := list_concat(walk.best.{ch}, z.{ch}::BIGINT[])" for ch in "rgba")})) AS c FROM walk JOIN tl ON tl.image_id = walk.image_id AND tl.k = walk.k + 1))"""
+
+
+@register("h3_sequential_modes", f"WITH {_SEQUENTIAL} SELECT image_id, tx::INT AS tx, ty::INT AS ty, best.mode AS mode FROM walk WHERE k >= 0")
 def h3(spark: SparkSession, d: str) -> DataFrame:
     return P.sequential_modes(X.vec_px(spark, d), 1)
 
@@ -378,6 +397,23 @@ def h1(spark: SparkSession, d: str) -> DataFrame:
     return M.backref_parse(P.cache_hits(X.doc_px(spark, d)))
 
 
+# The greedy parse step by step: what was visited, the nearest eight of those with the same three-pixel hash, the longest match of them (of equal ones the nearest).
+_PARSE = f"""{_CAND}, {_HITS.replace("c AS (", "hc AS (", 1).replace("FROM c)", "FROM hc)")},
+    seq AS MATERIALIZED (SELECT c.image_id, list(p0 ORDER BY c.pos) AS p, list(bucket ORDER BY c.pos) AS b, count(*) AS n FROM c LEFT JOIN k ON k.image_id = c.image_id AND k.pos = c.pos GROUP BY 1),
+    parse(image_id, tok, pos, len, dist, here, seen) AS (SELECT image_id, -1::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[] FROM seq
+        UNION ALL SELECT image_id, tok + 1, here, CASE WHEN m.len >= 3 THEN m.len ELSE 0 END, CASE WHEN m.len >= 3 THEN m.dist ELSE 0 END, here + CASE WHEN m.len >= 3 THEN m.len ELSE 1 END, CASE WHEN here + 2 < n THEN list_append(seen, here) ELSE seen END
+        FROM (SELECT q.image_id, tok, here, seen, n, list_sort(list_transform(list_reverse(list_filter(seen, lambda v: here + 2 < n AND b[v + 1] = b[here + 1] AND here - v < {M.FARTHEST}))[1 : {M.PROBES}],
+                lambda v: struct_pack(less := -least({M.LONGEST}, coalesce(list_min(list_filter(range(0, n - here), lambda i: p[v + i + 1] <> p[here + i + 1])), n - here)), dist := here - v)))[1] AS best
+            FROM parse q JOIN seq ON seq.image_id = q.image_id WHERE here < n) u, LATERAL (SELECT coalesce(-best.less, 0) AS len, coalesce(best.dist, 0) AS dist) m),
+    toks AS (SELECT q.image_id, tok, q.pos, CASE WHEN len > 0 THEN 'copy' WHEN hit THEN 'cache' ELSE 'literal' END AS kind, g, r, b, a, len, dist, slot FROM parse q JOIN hits h ON h.image_id = q.image_id AND h.pos = q.pos)"""
+
+
+@register("h1_backref_tokens", f"""WITH {_PARSE} SELECT image_id, tok, pos, kind, {", ".join(f"CASE WHEN kind = 'literal' THEN {ch} END AS {ch}" for ch in "grba")},
+    CASE WHEN kind = 'copy' THEN len END::INT AS len, CASE WHEN kind = 'copy' THEN dist END AS dist, CASE WHEN kind = 'cache' THEN slot END AS slot FROM toks""")
+def h1_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return M.backref_parse(P.cache_hits(X.idx_px(spark, d)))
+
+
 @register("h2_backref_round_trip", f"SELECT image_id, pos, {_ARGB} AS argb, NULL::VARCHAR AS error FROM v_idx_px")
 def h2(spark: SparkSession, d: str) -> DataFrame:
     return M.backref_expand(M.backref_parse(P.cache_hits(X.idx_px(spark, d))))
@@ -408,7 +444,12 @@ def p19(spark: SparkSession, d: str) -> DataFrame:
     return _symbols(spark, d)
 
 
-@register("p19_copy_symbols")
+@register("p19_copy_symbols", f"""WITH {_PARSE}, cells(code, dx, dy) AS (VALUES {_NEAR}),
+    w AS (SELECT *, CASE WHEN dist % 16 <= 8 AND dist // 16 < 8 THEN dist % 16 WHEN dist % 16 > 8 AND dist // 16 < 7 THEN dist % 16 - 16 END AS cx, CASE WHEN dist % 16 <= 8 AND dist // 16 < 8 THEN dist // 16 WHEN dist % 16 > 8 AND dist // 16 < 7 THEN dist // 16 + 1 END AS cy FROM toks WHERE kind = 'copy'),
+    v AS (SELECT image_id, 0 AS alphabet, 256 AS base, len AS n FROM w UNION ALL SELECT image_id, 4, 0, coalesce(code, dist + 120) FROM w LEFT JOIN cells ON cx = dx AND cy = dy),
+    s AS (SELECT image_id, alphabet, base + {_SYM} AS symbol FROM v UNION ALL SELECT image_id, 0, slot + 280 FROM toks WHERE kind = 'cache'
+        UNION ALL SELECT image_id, alphabet, symbol FROM (SELECT image_id, unnest([0, 1, 2, 3]) AS alphabet, unnest([g, r, b, a]) AS symbol FROM toks WHERE kind = 'literal'))
+    SELECT image_id, 'main' AS stream, alphabet, symbol::INT AS symbol, count(*) AS n FROM s GROUP BY ALL""")
 def p19_copies(spark: SparkSession, d: str) -> DataFrame:
     t = M.backref_parse(P.cache_hits(X.idx_px(spark, d)))
     return C.symbol_histogram(C.tokens_to_symbols(t, t.select("image_id").distinct().withColumn("width", F.lit(16))))
@@ -434,23 +475,52 @@ def a9(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("image_id", "alphabet").agg(F.count("*").alias("n_symbols"), F.sum(F.pow(F.lit(2.0), -F.col("depth"))).alias("kraft"), (F.max("depth") <= 15).alias("within"))
 
 
-@register("a9_codebook_lengths")
-def a9_all(spark: SparkSession, d: str) -> DataFrame:
-    return C.codebook_lengths(C.symbol_histogram(_symbols(spark, d)))
+def _swap(h: str, i: str, j: str) -> str:
+    return f"list_transform(range(1, len({h}) + 1), lambda q: CASE WHEN q = {i} THEN {h}[{j}] WHEN q = {j} THEN {h}[{i}] ELSE {h}[q] END)"
+
+
+def _pushed(h: str, new: str) -> str:
+    """A heap with one more node in SQL: it goes up past every ancestor that is strictly heavier."""
+    up = "CASE WHEN s.i > 1 AND s.h[s.i].w < s.h[s.i // 2].w THEN struct_pack(h := {}, i := s.i // 2) ELSE s END".format(_swap("s.h", "s.i", "(s.i // 2)"))
+    return f"list_reduce(list_transform(range(12), lambda z: struct_pack(h := list_append({h}, {new}), i := len({h}) + 1)), lambda s, z: {up}).h"
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    """A code book with depths by rank, which SQL can state: the k-th most frequent symbol has depth k, up to 15."""
-    w = Window.partitionBy("image_id", "stream", "alphabet").orderBy(F.desc("n"), "symbol")
-    return _hist(spark, d).withColumn("depth", F.row_number().over(w)).filter("depth <= 15").drop("n")
+def _popped(h: str) -> str:
+    """A heap without its top in SQL: the last node goes down, to the right only if that child is strictly lighter, and stays above one that is as heavy."""
+    child = "CASE WHEN 2 * s.i + 1 <= len(s.h) AND s.h[2 * s.i + 1].w < s.h[2 * s.i].w THEN 2 * s.i + 1 ELSE 2 * s.i END"
+    down = f"CASE WHEN 2 * s.i > len(s.h) OR s.h[s.i].w <= s.h[{child}].w THEN s ELSE struct_pack(h := {_swap('s.h', 's.i', f'({child})')}, i := {child}) END"
+    rest = f"CASE WHEN len({h}) = 1 THEN []::STRUCT(w BIGINT, id BIGINT)[] ELSE list_concat([{h}[len({h})]], {h}[2 : len({h}) - 1]) END"
+    return f"list_reduce(list_transform(range(12), lambda z: struct_pack(h := {rest}, i := 1::BIGINT)), lambda s, z: {down}).h"
 
 
-_BOOK = f"{_SYMS}, book AS (SELECT image_id, stream, alphabet, symbol, depth FROM (SELECT *, row_number() OVER (PARTITION BY image_id, alphabet ORDER BY n DESC, symbol) AS depth FROM hist) WHERE depth <= 15), codes AS (SELECT *, ((1 << depth) - 2)::BIGINT AS code FROM book)"
+# Code lengths with the heap's own order of equal weights: nodes are pushed in the order of symbols, then the two at the top are joined again and again; a leaf's depth is how often it is joined.
+_HEAP = f"""
+    grp AS MATERIALIZED (SELECT image_id, alphabet, list(symbol ORDER BY symbol) AS symbols, list(greatest(n, total >> 13)::BIGINT ORDER BY symbol) AS ws FROM (SELECT *, sum(n) OVER (PARTITION BY image_id, alphabet)::BIGINT AS total FROM hist) GROUP BY 1, 2),
+    fill(image_id, alphabet, k, h) AS (SELECT image_id, alphabet, 0::BIGINT, []::STRUCT(w BIGINT, id BIGINT)[] FROM grp
+        UNION ALL SELECT f.image_id, f.alphabet, k + 1, {_pushed("f.h", "struct_pack(w := g.ws[k + 1], id := k + 1)")} FROM fill f JOIN grp g ON g.image_id = f.image_id AND g.alphabet = f.alphabet WHERE k < len(g.ws)),
+    full_ AS (SELECT f.image_id, f.alphabet, f.h, k + 1 AS next FROM fill f JOIN grp g ON g.image_id = f.image_id AND g.alphabet = f.alphabet WHERE k = len(g.ws)),
+    joins(image_id, alphabet, h, next, a, b) AS (SELECT image_id, alphabet, h, next, 0::BIGINT, 0::BIGINT FROM full_
+        UNION ALL SELECT image_id, alphabet, {_pushed("h2", "struct_pack(w := h[1].w + h1[1].w, id := next)")}, next + 1, h[1].id, h1[1].id FROM (
+            SELECT *, {_popped("h1")} AS h2 FROM (SELECT *, {_popped("h")} AS h1 FROM joins WHERE len(h) > 1))),
+    up AS MATERIALIZED (SELECT image_id, alphabet, unnest([a, b]) AS child, unnest([next - 1, next - 1]) AS parent FROM joins WHERE a > 0),
+    climb(image_id, alphabet, leaf, here, depth) AS (SELECT image_id, alphabet, unnest(range(1, len(ws) + 1)), unnest(range(1, len(ws) + 1)), 0 FROM grp
+        UNION ALL SELECT c.image_id, c.alphabet, leaf, parent, depth + 1 FROM climb c JOIN up u ON u.image_id = c.image_id AND u.alphabet = c.alphabet AND u.child = c.here),
+    book AS MATERIALIZED (SELECT c.image_id, 'main' AS stream, c.alphabet, symbols[leaf] AS symbol, CASE WHEN len(ws) = 1 THEN -1 ELSE max(depth) END AS depth FROM climb c JOIN grp g ON g.image_id = c.image_id AND g.alphabet = c.alphabet GROUP BY c.image_id, c.alphabet, leaf, symbols, ws)"""
+_BOOK = f"""{_SYMS}, {_HEAP}, codes AS (SELECT *, ((coalesce(sum(1::BIGINT << (15 - depth)) OVER (PARTITION BY image_id, alphabet ORDER BY depth, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT >> (15 - depth))::BIGINT AS code FROM book WHERE depth > 0)"""
+
+
+@register("a9_codebook_lengths", f"WITH {_SYMS}, {_HEAP} SELECT * FROM book")
+def a9_all(spark: SparkSession, d: str) -> DataFrame:
+    return C.codebook_lengths(_hist(spark, d))
+
+
+def _book(spark: SparkSession, d: str) -> DataFrame:
+    return C.codebook_lengths(_hist(spark, d))
 
 
 @register("w6_canonical_codes", f"WITH {_BOOK} SELECT * FROM codes")
 def w6(spark: SparkSession, d: str) -> DataFrame:
-    return C.canonical_codes(_ranked(spark, d))
+    return C.canonical_codes(_book(spark, d))
 
 
 _CODED = f"{_BOOK}, coded AS (SELECT s.image_id, s.stream, seq, s.alphabet, s.symbol, coalesce(depth, 0) AS depth, coalesce(code, 0) AS code FROM syms s LEFT JOIN codes c ON c.image_id = s.image_id AND c.alphabet = s.alphabet AND c.symbol = s.symbol)"
@@ -458,12 +528,12 @@ _CODED = f"{_BOOK}, coded AS (SELECT s.image_id, s.stream, seq, s.alphabet, s.sy
 
 @register("j5_apply_codebook", f"WITH {_CODED} SELECT * FROM coded")
 def j5(spark: SparkSession, d: str) -> DataFrame:
-    return C.apply_codebook(_symbols(spark, d), C.canonical_codes(_ranked(spark, d))).drop("extra", "extra_bits")
+    return C.apply_codebook(_symbols(spark, d), C.canonical_codes(_book(spark, d))).drop("extra", "extra_bits")
 
 
 @register("w7_bit_offsets", f"WITH {_CODED} SELECT image_id, seq, depth, coalesce(sum(depth) OVER (PARTITION BY image_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM coded")
 def w7(spark: SparkSession, d: str) -> DataFrame:
-    return C.bit_offsets(C.apply_codebook(_symbols(spark, d), C.canonical_codes(_ranked(spark, d)))).select("image_id", "seq", "depth", "start")
+    return C.bit_offsets(C.apply_codebook(_symbols(spark, d), C.canonical_codes(_book(spark, d)))).select("image_id", "seq", "depth", "start")
 
 
 @register("h6_pack_bits", f"""WITH {_CODED}, o AS (SELECT *, coalesce(sum(depth) OVER (PARTITION BY image_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM coded),
@@ -471,18 +541,18 @@ def w7(spark: SparkSession, d: str) -> DataFrame:
     bytes AS (SELECT image_id, place // 8 AS k, sum(bit << (place % 8)::INT)::INT AS v FROM bits GROUP BY 1, 2)
     SELECT image_id, md5(string_agg(lpad(to_hex(v), 2, '0'), '' ORDER BY k)) AS digest, count(*) AS n FROM bytes GROUP BY 1""")
 def h6(spark: SparkSession, d: str) -> DataFrame:
-    packed = C.pack_bits(C.apply_codebook(_symbols(spark, d), C.canonical_codes(_ranked(spark, d))))
+    packed = C.pack_bits(C.apply_codebook(_symbols(spark, d), C.canonical_codes(_book(spark, d))))
     return packed.select("image_id", F.md5(F.hex("payload").cast("binary")).alias("digest"), F.octet_length("payload").cast("long").alias("n"))
 
 
-@register("a10_coded_size", f"WITH {_BOOK} SELECT h.image_id, h.stream, h.alphabet, sum(n * depth)::BIGINT AS bits FROM hist h JOIN book b ON b.image_id = h.image_id AND b.alphabet = h.alphabet AND b.symbol = h.symbol GROUP BY 1, 2, 3")
+@register("a10_coded_size", f"WITH {_BOOK} SELECT h.image_id, h.stream, h.alphabet, sum(n * greatest(depth, 0))::BIGINT AS bits FROM hist h JOIN book b ON b.image_id = h.image_id AND b.alphabet = h.alphabet AND b.symbol = h.symbol GROUP BY 1, 2, 3")
 def a10(spark: SparkSession, d: str) -> DataFrame:
-    return C.coded_size(_hist(spark, d), _ranked(spark, d))
+    return C.coded_size(_hist(spark, d), _book(spark, d))
 
 
 @register("a11_depth_histogram", f"WITH {_BOOK} SELECT image_id, stream, alphabet, depth, count(*) AS n FROM book GROUP BY ALL")
 def a11(spark: SparkSession, d: str) -> DataFrame:
-    return C.depth_histogram(_ranked(spark, d))
+    return C.depth_histogram(_book(spark, d))
 
 
 @register("a12_alphabet_summary", f"WITH {_SYMS} SELECT image_id, stream, alphabet, count(*) AS used, sum(n)::BIGINT AS total, CASE alphabet WHEN 0 THEN 296 WHEN 4 THEN 40 ELSE 256 END AS size FROM hist GROUP BY 1, 2, 3")
@@ -495,9 +565,9 @@ def t1(spark: SparkSession, d: str) -> DataFrame:
     return C.top_symbols(_hist(spark, d), 3)
 
 
-@register("t2_codebook_listing", f"WITH {_BOOK} SELECT image_id, stream, alphabet, depth AS row, symbol, depth, lpad(bin(code), depth::INT, '0') AS bits FROM codes WHERE depth <= 4")
+@register("t2_codebook_listing", f"WITH {_BOOK} SELECT image_id, stream, alphabet, row, symbol, depth, lpad(bin(code), depth::INT, '0') AS bits FROM (SELECT *, row_number() OVER (PARTITION BY image_id, alphabet ORDER BY depth, symbol) AS row FROM codes) WHERE row <= 4")
 def t2(spark: SparkSession, d: str) -> DataFrame:
-    return C.codebook_listing(C.canonical_codes(_ranked(spark, d)), 4)
+    return C.codebook_listing(C.canonical_codes(_book(spark, d)), 4)
 
 
 @register("a15_technique_report")
@@ -587,6 +657,28 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
     return K.chunk_errors(f.withColumn("content", broken), strict=True)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+
+
+@register("s1_read_media", f"SELECT file_id, (12 + sum(8 + size + size % 2))::BIGINT AS length, md5('52494646' || {_le("4 + sum(8 + size + size % 2)", 4)} || '57454250' || string_agg(hex(encode(fourcc)) || {_le("size", 4)} || hex(payload) || CASE WHEN size % 2 = 1 THEN '00' ELSE '' END, '' ORDER BY chunk_no)) AS digest, count(*) AS n_chunks FROM v_chunks GROUP BY 1")
+def s1(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as files in folders by id, written and read again by the source of binary files, then walked."""
+    at = _folder(spark, "files")
+    write_files(_files(spark, d).select("file_id", "content"), at)
+    files = read_files(spark, at)
+    chunks = F.size("chunks").cast("long")
+    return K.walk_files(files, strict=True).select("file_id", chunks.alias("n_chunks")).join(files.select("file_id", F.octet_length("content").cast("long").alias("length"), F.md5(F.hex("content").cast("binary")).alias("digest")), "file_id")
+
+
+@register("s11_write_media", "SELECT image_id, pos, r, g, b, a FROM v_vec_px WHERE image_id = 7")
+def s11(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels written in folders by a hash of their image; one image's are read from its folder alone."""
+    at = _folder(spark, "blobs")
+    write_media(X.vec_px(spark, d), at, "image_id", 16)
+    return read_bucket(spark.read.parquet(at), "image_id", 7, 16).select("image_id", "pos", *"rgba")
+
+
 def _walked(spark: SparkSession, d: str) -> DataFrame:
     return K.walk_files(X.media(spark, d))
 

@@ -30,6 +30,32 @@ def write_media(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
     df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).repartition("bucket").write.partitionBy("bucket").parquet(path)
 
 
+def read_bucket(table: DataFrame, key: str, value: int, buckets: int = 64) -> DataFrame:
+    """The rows of one key of a table of `write_media`: only the folder of its bucket is read."""
+    spark = table.sparkSession
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(value).cast(dict(table.dtypes)[key])), F.lit(buckets))).first()[0]
+    return table.filter((F.col("bucket") == int(bucket)) & (F.col(key) == value)).drop("bucket")
+
+
+#: Ends each file that `write_files` writes; RIFF tells its own size, so readers pass over it.
+_END = b"\n"
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """(file_id LONG, content BINARY) as one file each, in a folder file_id=n of its own. Ids must be unique and not null; an empty or null content gives a file of its end mark alone.
+
+    The bytes are written as they are by the text sink, which adds a line feed at the end: `read_files` takes it off again.
+    """
+    files.select("file_id", F.coalesce("content", F.unhex(F.lit(""))).cast("string").alias("content")).write.partitionBy("file_id").option("lineSep", _END.decode()).text(path)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, path, content, length) of the files of `write_files`, by the source of binary files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    content = F.substring("content", 1, F.col("length").cast("int") - len(_END))
+    return files.select(F.col("file_id").cast("long").alias("file_id"), "path", content.alias("content"), (F.col("length") - len(_END)).alias("length"))
+
+
 def explode_pixels(images: DataFrame, most_rows: int = 1 << 18) -> DataFrame:
     """(image_id, pos, x, y, r, g, b, a) from images (image_id, width, height, rgba BINARY); the buffer becomes columns in a task, in batches of bounded size. A short buffer gives its complete pixels; an image without id or width, or of width 0, gives none."""
 

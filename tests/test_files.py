@@ -145,3 +145,31 @@ def test_batch_that_runs_twice(spark, files, tmp_path):
     assert run() == first
     some.limit(5).coalesce(1).write.mode("append").parquet(str(source))
     assert run()["catalog"] == some.count() + 5
+
+
+def test_files_byte_for_byte(spark, tmp_path):
+    """Bytes of any kind, with line feeds and none, are read as they were written."""
+    from tessera.sources.media import read_bucket, read_files, write_files, write_media
+
+    data = {1: bytes(range(256)), 2: b"\n\n", 3: b"", 4: None, 5: b"\xff\xfe\x80\n", 6: riff(LOSSLESS)}
+    write_files(spark.createDataFrame(list(data.items()), "file_id long, content binary"), str(tmp_path / "files"))
+    assert {r.file_id: (bytes(r.content), r.length) for r in read_files(spark, str(tmp_path / "files")).collect()} == {k: (v or b"", len(v or b"")) for k, v in data.items()}
+    write_media(spark.range(300).select("id", F.lit(b"x").alias("blob")), str(tmp_path / "blobs"), "id", 8)
+    one = read_bucket(spark.read.parquet(str(tmp_path / "blobs")), "id", 17, 8)
+    assert [r.id for r in one.collect()] == [17] and "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_heap_order_against_sql(duck):
+    """Depths of many equal weights, and of weights raised to the floor, by the heap of the registered SQL."""
+    import random
+
+    from tessera.operators.coding import code_depths
+    from tessera.plans.media_queries import _HEAP
+
+    rng = random.Random(12)
+    hists = {k: {s: rng.choice([1, 1, 2, 3, 5, 8, 13, 10**rng.randrange(7)]) for s in rng.sample(range(300), rng.randrange(1, 40))} for k in range(25)}
+    rows = ", ".join(f"({k}, 0, {s}, {n}::BIGINT)" for k, h in hists.items() for s, n in h.items())
+    found = {}
+    for image, symbol, depth in duck.execute(f"WITH RECURSIVE hist(image_id, alphabet, symbol, n) AS (VALUES {rows}), {_HEAP} SELECT image_id, symbol, depth FROM book").fetchall():
+        found.setdefault(image, {})[symbol] = depth
+    assert found == {k: code_depths(h) for k, h in hists.items()}
