@@ -62,7 +62,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     A revisit refers to the latest response of status 200 of its canonical URL that is earlier: smaller (ts, record_id). It is
     'resolved' if its entity tag equals that response's (weak comparison), or, where it has none, its modification date
-    does. Then headers are the response's, with the permitted ones of the revisit in their place. Else the outcome is
+    does. Then headers are the response's, with the permitted ones of the revisit in their place; names are compared without case and stay as they are written. Else the outcome is
     'no_url', 'no_time', 'no_earlier_response', 'no_validator' or 'validator_mismatch', refers_to still tells the response, if any, and digest and headers are
     null. Repeated rows are each returned; responses tied in time go by record_id. Columns of other names are ignored.
 
@@ -93,8 +93,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.when(F.col("url_key").isNull(), "no_url").when(F.col("ts").isNull(), "no_time").when(F.col("to").isNull(), "no_earlier_response")
         .when(F.col("etag").isNull() & F.col("last_modified").isNull(), "no_validator").when(same, "resolved").otherwise("validator_mismatch")
     )
-    update = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: k.isin(PERMITTED))
-    kept = F.map_filter(F.map_from_entries("to.headers"), lambda k, _: ~F.array_contains(F.map_keys(update), k))
+    update = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k).isin(PERMITTED))
+    replaced = F.transform(F.map_keys(update), F.lower)
+    kept = F.map_filter(F.map_from_entries("to.headers"), lambda k, _: ~F.array_contains(replaced, F.lower(k)))
     resolved = F.col("outcome") == "resolved"
     return all_.withColumn("outcome", outcome).select("record_id", "url_key", "ts", "outcome", F.col("to.record_id").alias("refers_to"), F.col("to.ts").alias("refers_ts"), F.when(resolved, F.col("to.digest")).alias("digest"), F.when(resolved, F.map_concat(update, kept)).alias("headers"))
 
