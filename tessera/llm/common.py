@@ -148,6 +148,10 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Strata whose counts are sent to all tasks; more are joined by an exchange.
+MOST_STRATA = 10_000
+
+
 def bounded_sample(df: DataFrame, id_column: str, bound: int, strata: str | None = None, salt: str = "sample") -> DataFrame:
     """About `bound` rows (of each stratum, if any), drawn by a hash of the id, so that a rerun draws the same ones. The counts come from a scan of the id and stratum alone."""
     share = F.pmod(F.xxhash64(F.lit(salt), F.col(id_column)), F.lit(1 << 30)) / float(1 << 30)
@@ -155,4 +159,5 @@ def bounded_sample(df: DataFrame, id_column: str, bound: int, strata: str | None
         n = df.count()
         return df.filter(share * n < bound)
     counts = df.groupBy(strata).agg(F.count("*").alias("n"))
-    return df.join(F.broadcast(counts.limit(10_000)), strata).filter(share * F.col("n") < bound).drop("n")
+    few = counts.limit(MOST_STRATA + 1).count() <= MOST_STRATA
+    return df.join(F.broadcast(counts) if few else counts, strata).filter(share * F.col("n") < bound).drop("n")

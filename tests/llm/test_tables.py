@@ -226,3 +226,23 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_header_names_have_no_case(spark):
+    """A 304 with `Date` and `Cache-Control` puts its own in the place of the stored `date` and adds the other; names stay as written."""
+    rows = [
+        _record("a", "http://x.org/p", 10, "response", 200, '"1"', 5, "d1", {"ETag": '"1"', "Content-Type": "t", "date": "10", "Vary": "x"}),
+        _record("b", "http://x.org/p", 20, "revisit", 304, '"1"', None, None, {"Date": "20", "Cache-Control": "max-age=9", "content-TYPE": "no"}),
+    ]
+    found = revisits.header_lines(revisits.resolve_revisits(spark.createDataFrame(rows, RECORD))).collect()
+    assert [r.headers for r in found] == ['Cache-Control: max-age=9\nContent-Type: t\nDate: 20\nETag: "1"\nVary: x']
+
+
+def test_sample_of_many_strata(spark, monkeypatch):
+    """Every stratum is sampled, however many there are."""
+    from tessera.llm import common
+
+    df = spark.range(3000).selectExpr("id", "id % 300 AS s")
+    whole = {r.id for r in common.bounded_sample(df, "id", 5, "s").collect()}
+    monkeypatch.setattr(common, "MOST_STRATA", 7)
+    assert {r.id for r in common.bounded_sample(df, "id", 5, "s").collect()} == whole and len({i % 300 for i in whole}) > 280
