@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from tessera.llm import ordinal, pstable, revisits
 from tessera.llm.components import connected_components
@@ -27,19 +28,49 @@ def test_recall_and_order(spark, sf_dir):
     assert hit >= 0.9 * total
 
 
+def _recall(vectors, asked, k=10):
+    """Recall of the candidates; rows met in buckets, and rows measured, as shares of all rows."""
+    index, hit, share = pstable.Tables(vectors, vectors[asked], k), 0, 0
+    for q, near in zip(asked, index.candidates(vectors[asked]), strict=True):
+        far = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        hit += len(set([i for i in np.argsort(far, kind="stable") if i != q][:k]) & set(near.tolist())) / k
+        share += len(near) / len(vectors)
+    return hit / len(asked), index.met / len(asked) / len(vectors), share / len(asked)
+
+
 def test_hashing_selects():
-    """At sf0.1, recall of the candidates, and their share of all rows."""
+    """At sf0.1, whose vectors are close to noise: fewer rows are met in buckets, repeats over tables included, than there are."""
     import pyarrow.parquet as pq
 
     rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pylist()
     ids, all_ = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)
-    asked = np.flatnonzero(ids % 100 == 0)
-    hit = share = 0
-    for q, near in zip(asked, pstable.Tables(all_).candidates(all_[asked]), strict=True):
+    recall, met, share = _recall(all_, np.flatnonzero(ids % 100 == 0))
+    assert recall >= 0.9 and met < 0.9 and share < 0.6, (recall, met, share)
+
+
+@pytest.mark.parametrize("d", [64, 128, 256, 768])
+def test_recall_at_any_dimension(d):
+    """Unit vectors of noise, where hashes can select little, and clusters, where few rows are met."""
+    rng = np.random.default_rng(d)
+    noise = rng.standard_normal((2500, d))
+    recall, met, _ = _recall(noise / np.linalg.norm(noise, axis=1)[:, None], np.arange(0, 2500, 25))
+    assert recall >= 0.9 and met <= 1, (recall, met)
+    clusters = rng.standard_normal((100, d))[rng.integers(0, 100, 5000)] + 0.5 * rng.standard_normal((5000, d))
+    recall, met, share = _recall(clusters, np.arange(0, 5000, 50))
+    assert recall >= 0.9 and met < 0.15 and share < 0.15, (recall, met, share)
+
+
+def test_recall_over_large_shards(spark):
+    """Three shards of over 1,000 vectors and several blocks, against brute force."""
+    rng = np.random.default_rng(8)
+    all_ = rng.standard_normal((3600, 96))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(all_)], "vec_id long, embedding array<double>")
+    found = pstable.nearest(df.filter("vec_id % 100 = 0"), df, shard=1200, block=12).collect()
+    hit = 0
+    for q in range(0, 3600, 100):
         far = np.sqrt(((all_ - all_[q]) ** 2).sum(axis=1))
-        hit += len(set([i for i in np.lexsort((ids, far)) if i != q][:10]) & set(near.tolist())) / 10
-        share += len(near) / len(ids)
-    assert hit >= 0.9 * len(asked) and share < 0.1 * len(asked), (hit / len(asked), share / len(asked))
+        hit += len({r.vec_id for r in found if r.query_id == q} & {int(i) for i in [i for i in np.argsort(far, kind="stable") if i != q][:10]})
+    assert len(found) == 360 and hit >= 0.9 * 360, hit
 
 
 def test_recall_over_shards(spark):
