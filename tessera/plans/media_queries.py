@@ -570,7 +570,48 @@ def t2(spark: SparkSession, d: str) -> DataFrame:
     return C.codebook_listing(C.canonical_codes(_book(spark, d)), 4)
 
 
-@register("a15_technique_report")
+def _chosen(source: str) -> str:
+    """Residuals of each image of a table under its best mode in SQL; 4 x 4 pixels are one tile of 16."""
+    every = " UNION ALL ".join(f"SELECT image_id, pos, x, y, {m} AS mode, '{ch}' AS ch, {_wrap(f'{ch} - {_guess(m, ch)}')} AS symbol FROM nb" for m in range(14) for ch in "rgba")
+    scores = _SCORES[len(_RESIDUALS) :].replace("tx, ty, ", "")
+    return f"""WITH {_NB.replace("v_vec_px", source)}, e AS MATERIALIZED ({every}){scores}, best AS (SELECT image_id, arg_min(mode, (score, mode)) AS mode FROM s GROUP BY 1)
+        SELECT image_id, pos, x, y, {", ".join(f"max(symbol) FILTER (ch = '{ch}') AS {ch}" for ch in "rgba")} FROM e JOIN best USING (image_id, mode) GROUP BY 1, 2, 3, 4"""
+
+
+_BITS = f"CASE WHEN n <= 5 THEN 0 ELSE (({_SYM}) - 2) >> 1 END"
+
+
+def _plain_symbols(technique: str, source: str) -> str:
+    return f"SELECT '{technique}' AS technique, image_id, unnest([0, 1, 2, 3]) AS alphabet, unnest([g, r, b, a]) AS symbol, 0 AS extra_bits FROM {source}"
+
+
+def _token_symbols(technique: str, tokens: str) -> str:
+    """Symbols of tokens of images four pixels wide in SQL."""
+    return f"""{_plain_symbols(technique, tokens)} WHERE kind = 'literal' UNION ALL SELECT '{technique}', image_id, 0, slot + 280, 0 FROM {tokens} WHERE kind = 'cache'
+        UNION ALL SELECT '{technique}', image_id, alphabet, base + {_SYM}, {_BITS} FROM (SELECT image_id, 0 AS alphabet, 256 AS base, len AS n FROM {tokens} WHERE kind = 'copy'
+            UNION ALL SELECT image_id, 4, 0, coalesce(code, dist + 120) FROM {tokens} LEFT JOIN cells ON dist % 4 = dx AND dist // 4 = dy WHERE kind = 'copy')"""
+
+
+_TOKEN_COLUMNS = "image_id, g, r, b, a, len, dist, slot"
+# Totals stay under 2**13, so weights are counts, and the bits of a book are the sums of all its joins, whatever the order of equal ones.
+_REPORT = f"""WITH cells(code, dx, dy) AS (VALUES {_NEAR}),
+    green AS MATERIALIZED (SELECT image_id, pos, x, y, (r - g + 256) % 256 AS r, g, (b - g + 256) % 256 AS b, a FROM v_vec_px),
+    crossed AS (SELECT image_id, {_wrap(f"r - {_down5('3', 'g')}")} AS r, g, {_wrap(f"b - {_down5('2', 'g')} - {_down5('1', 'r')}")} AS b, a FROM v_vec_px),
+    predicted AS MATERIALIZED ({_chosen("v_vec_px")}), mixed AS MATERIALIZED ({_chosen("green")}),
+    cached AS MATERIALIZED (WITH {_HITS.replace("v_idx_px", "v_vec_px")} SELECT image_id, g, r, b, a, NULL::BIGINT AS len, NULL::BIGINT AS dist, slot, CASE WHEN hit THEN 'cache' ELSE 'literal' END AS kind FROM hits),
+    copied AS MATERIALIZED (WITH RECURSIVE {_PARSE.replace("v_idx_px", "v_vec_px")} SELECT {_TOKEN_COLUMNS}, CASE WHEN kind = 'copy' THEN kind ELSE 'literal' END AS kind FROM toks),
+    both_ AS MATERIALIZED (WITH RECURSIVE {_PARSE.replace("v_idx_px", "mixed")} SELECT {_TOKEN_COLUMNS}, kind FROM toks),
+    packed AS MATERIALIZED (WITH {_INDEXED}, z AS (SELECT *, CASE WHEN n_colors <= 2 THEN 8 WHEN n_colors <= 4 THEN 4 WHEN n_colors <= 16 THEN 2 ELSE 1 END AS size FROM ix)
+        SELECT image_id, sum(idx << ((x % size) * (8 // size)))::INT AS packed FROM z GROUP BY image_id, x // size, y, size),
+    every AS ({_plain_symbols("plain", "v_vec_px")} UNION ALL {_plain_symbols("subtract_green", "green")} UNION ALL {_plain_symbols("cross_color", "crossed")} UNION ALL {_plain_symbols("predictor", "predicted")}
+        UNION ALL {_token_symbols("cache", "cached")} UNION ALL {_token_symbols("back_references", "copied")} UNION ALL {_token_symbols("default", "both_")} UNION ALL SELECT 'palette', image_id, 0, packed, 0 FROM packed),
+    counts AS (SELECT technique, image_id, alphabet, symbol, count(*) AS n, sum(extra_bits) AS extra_bits FROM every GROUP BY ALL),
+    joined(technique, image_id, ws, bits) AS (SELECT technique, image_id, list_sort(list(n)), sum(extra_bits)::BIGINT FROM counts GROUP BY technique, image_id, alphabet
+        UNION ALL SELECT technique, image_id, list_sort(list_append(ws[3:], ws[1] + ws[2])), bits + ws[1] + ws[2] FROM joined WHERE len(ws) > 1)
+    SELECT technique, image_id, sum(bits)::BIGINT AS bits FROM joined WHERE len(ws) = 1 GROUP BY ROLLUP (technique, image_id)"""
+
+
+@register("a15_technique_report", _REPORT)
 def a15(spark: SparkSession, d: str) -> DataFrame:
     from tessera.plans.report import technique_report
 

@@ -11,6 +11,7 @@ from tessera.operators import coding as C
 from tessera.operators import matching as M
 from tessera.operators import palette as L
 from tessera.operators import pixels as P
+from tessera.sources.shared import Rounds
 
 
 def _plain(pixels: DataFrame) -> DataFrame:
@@ -45,6 +46,7 @@ def technique_report(pixels: DataFrame, flat: DataFrame, width: int = 16) -> Dat
     }
     all_ = reduce(DataFrame.unionByName, (s.withColumn("stream", F.lit(name)) for name, s in symbols.items()))
     both = all_.groupBy("image_id", "stream", "alphabet", "symbol").agg(F.count("*").alias("n"), F.sum("extra_bits").alias("extra_bits"))
+    both = Rounds(pixels.sparkSession, "report").keep(both, "counts")  # read three times: once for the books, twice for the sizes
     book = C.codebook_lengths(both.drop("extra_bits"))
     size = C.coded_size(both, book, both)
     return size.withColumnRenamed("stream", "technique").rollup("technique", "image_id").agg(F.sum("bits").alias("bits"))
