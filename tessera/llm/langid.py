@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -15,8 +16,7 @@ from tessera.llm.common import bounded_sample, chunks, remainder
 
 #: Bound of the training sample: about so many documents of each language, drawn by a hash of the id.
 SAMPLE_DOCS = 1_000
-#: Bounds of the model: words and n-grams kept of each language (the most frequent), and the longest n-gram.
-MOST_WORDS, MOST_GRAMS, LONGEST = 50_000, 20_000, 5
+LONGEST = 5
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 _KEPT = 300_000
@@ -31,34 +31,41 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _log_table(counts: dict[str, Counter], languages: list[str], most: int) -> dict[str, np.ndarray]:
-    """Item to its log10 frequency in each language, add-half smoothed; items that are among the most frequent of some language."""
-    kept = {x for c in counts.values() for x, _ in sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[:most]}
-    totals = np.array([sum(counts[l].values()) + 0.5 * (len(kept) + 1) for l in languages])
-    return {x: np.log10((np.array([counts[l][x] for l in languages]) + 0.5) / totals) for x in kept}
-
-
 class Model:
-    """Rows of log10 frequencies by language, and where words and n-grams of each length have theirs."""
+    """log10 frequencies, add-half smoothed, of all words and n-grams of the sample: a row an item, which holds only the languages that have it.
 
-    def __init__(self, languages: list[str], words: dict, tables: dict[int, dict]):
+    What a language lacks is worth the same for all items of one table, so a table holds that once a language, and a row how far above it an item is.
+    """
+
+    def __init__(self, languages: list[str], words: dict[str, Counter], tables: dict[int, dict[str, Counter]]):
         self.languages = languages
-        rows = [*words.values(), *(r for t in tables.values() for r in t.values())]
-        self.rows = np.array(rows).reshape(len(rows), len(languages))
-        at = iter(range(len(rows)))
-        self.words = {w: next(at) for w in words}
-        self.tables = {n: {g: next(at) for g in t} for n, t in tables.items()}
-        self.seen: dict[str, list[int]] = {}
-
-    def evidence(self, word: str) -> list[int]:
-        """Rows whose mean speaks for an unseen word: of its known n-grams of the longest length that has any; none if even its letters are unknown."""
+        self.lacking, self.places, size, of, above = [], [], [], [], []
+        at = 0
+        for counts in (words, *tables.values()):
+            by_item: dict[str, list[tuple[int, int]]] = defaultdict(list)
+            for k, l in enumerate(languages):
+                for item, n in counts[l].items():
+                    by_item[item].append((k, n))
+            self.lacking.append([math.log10(0.5 / (sum(counts[l].values()) + 0.5 * (len(by_item) + 1))) for l in languages])
+            self.places.append({item: at + i for i, item in enumerate(by_item)})
+            at += len(by_item)
+            for held in by_item.values():
+                size.append(len(held))
+                of += [k for k, _ in held]
+                above += [math.log10((n + 0.5) / 0.5) for _, n in held]
+        self.lacking = np.array(self.lacking)
+        self.ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).astype(np.int64)
+        self.of, self.above = np.array(of, dtype=np.int32), np.array(above)
+        self.words, self.tables = self.places[0], dict(zip(tables, self.places[1:], strict=True))
+        self.seen: dict[str, tuple[int, list[int]]] = {}
+
+    def evidence(self, word: str) -> tuple[int, list[int]]:
+        """The length, and the rows, whose mean speaks for an unseen word: of its known n-grams of the longest length that has any; no rows if even its letters are unknown."""
         found = self.seen.get(word)
         if found is None:
-            found = []
-            for n in range(LONGEST, 0, -1):
-                table = self.tables[n]
-                found = [table[g] for g in grams(word, n) if g in table]
-                if found:
+            for n in range(LONGEST, -1, -1):
+                found = n, [row for g in grams(word, n) if (row := self.tables[n].get(g)) is not None] if n else []
+                if found[1]:
                     break
             if len(self.seen) > _KEPT:
                 self.seen.clear()
@@ -69,27 +76,32 @@ class Model:
         words = words_of(text)
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        rows, weights, n = [], [], 0
+        rows, weights, n, read = [], [], 0, [0.0] * (LONGEST + 1)
         for w, c in Counter(words).items():
             if (row := self.words.get(w)) is not None:
-                rows.append(row)
-                weights.append(c)
-                n += c
-            elif found := self.evidence(w):
+                length, found = 0, [row]
+            else:
+                length, found = self.evidence(w)
+            if found:
                 rows += found
                 weights += [c / len(found)] * len(found)
+                read[length] += c
                 n += c
-        total = np.array(weights) @ self.rows[rows] if rows else np.zeros(len(self.languages))
+        at = np.array(rows, dtype=np.int64)
+        first, past = self.ends[at], self.ends[at + 1]
+        size = past - first
+        cells = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+        total = np.array(read) @ self.lacking + np.bincount(self.of[cells], self.above[cells] * np.repeat(np.array(weights), size), minlength=len(self.languages))
         best = int(total.argmax())
         weight = np.exp(np.log(10) * (total - total[best]) / max(1.0, n**0.5))  # words are not independent: their evidence grows with the root of their number
         return self.languages[best], float(weight[best] / weight.sum())
 
 
 def fit(docs: DataFrame) -> Model:
-    """A model from a bounded sample of documents with text and language, of ids whose crc32 mod 5 is not 0. Counting is done by Spark's tasks, and one row a language and item comes to the driver, after the bounds on the model are applied."""
+    """A model from a bounded sample of documents with text and language, of ids whose crc32 mod 5 is not 0. Counting is done by Spark's tasks, and one row a language and word of the sample comes to the driver. No word or n-gram of the sample is left out. Rows without id are drawn by their texts."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.coalesce(remainder("doc_id", 5) != 0, F.lit(True)))
-    sample = bounded_sample(known.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))), "doc_id", SAMPLE_DOCS, "lang")
+    sample = bounded_sample(known.withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("text"))), "doc_id", SAMPLE_DOCS, "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = defaultdict(Counter)
@@ -111,7 +123,7 @@ def fit(docs: DataFrame) -> Model:
             for g in grams(word, k):
                 pieces[k][lang][g] += n
     languages = sorted(words)
-    return Model(languages, _log_table(words, languages, MOST_WORDS), {k: _log_table(p, languages, MOST_GRAMS) for k, p in pieces.items()})
+    return Model(languages, words, pieces)
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
@@ -122,7 +134,7 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     rows are each returned; other columns are ignored. No shuffle but that of the sample's word counts.
     """
     model = fit(docs)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS and MOST_GRAMS a language
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample: a cell for each language that has an item
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value

@@ -215,6 +215,39 @@ def test_language_held_out(docs, odd, none):
     assert langid.identify_languages(none.withColumn("lang", F.lit("en"))).count() == 0
 
 
+def test_language_brute_force(docs):
+    """Every prediction and score again, from counts of the sample (here all rows that may be learned from) and full rows of frequencies."""
+    texts = [(r.doc_id, r.text or "", r.lang) for r in docs.collect()]
+    known = [(t, l) for i, t, l in texts if l is not None and zlib.crc32(str(i).encode()) % 5]
+    languages = sorted({l for _, l in known})
+    assert max(Counter(l for _, l in known).values()) < langid.SAMPLE_DOCS
+    parts = lambda w, n: langid.grams(w, n) if n else [w]
+    counts = [{l: Counter() for l in languages} for _ in range(langid.LONGEST + 1)]
+    for t, l in known:
+        for w in langid.words_of(t):
+            for n, table_ in enumerate(counts):
+                table_[l].update(parts(w, n))
+    every = [set().union(*c.values()) for c in counts]
+    total = [{l: sum(c[l].values()) + 0.5 * (len(e) + 1) for l in languages} for c, e in zip(counts, every, strict=True)]
+    found = {r.doc_id: r for r in langid.identify_languages(docs).collect()}
+    for i, t, _ in texts:
+        score, n_words, words = dict.fromkeys(languages, 0.0), 0, langid.words_of(t)
+        for w in words:
+            for n in (0, *range(langid.LONGEST, 0, -1)):
+                held = [p for p in parts(w, n) if p in every[n]]
+                if held:
+                    n_words += 1
+                    for l in languages:
+                        score[l] += sum(math.log10((counts[n][l][p] + 0.5) / total[n][l]) for p in held) / len(held)
+                    break
+        if not words:
+            assert (found[i].lang_pred, found[i].score) == ("und", 0.0)
+            continue
+        top = max(score.values())
+        share = {l: 10 ** ((v - top) / max(1.0, n_words**0.5)) for l, v in score.items()}
+        assert math.isclose(score[found[i].lang_pred], top, rel_tol=1e-9) and math.isclose(found[i].score, share[found[i].lang_pred] / sum(share.values()), rel_tol=1e-6)
+
+
 def test_base_score_brute_force(docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     tokens = {i: [*_words(t), None] for i, t in texts.items()}
