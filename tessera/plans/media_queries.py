@@ -256,6 +256,16 @@ def p6(spark: SparkSession, d: str) -> DataFrame:
     return N.ycbcr_to_rgba(N.upsample_join(X.planes(spark, d)))
 
 
+@register("j3_upsample_with_alpha", """SELECT y.image_id, y.px AS x, y.py AS y, y.v AS luma, cb.v AS cb, cr.v AS cr, CASE WHEN y.image_id % 3 = 0 THEN 255 ELSE p.a END AS a FROM v_planes y
+        JOIN v_planes cb ON cb.plane = 'Cb' AND cb.image_id = y.image_id AND cb.px = y.px // 2 AND cb.py = y.py // 2
+        JOIN v_planes cr ON cr.plane = 'Cr' AND cr.image_id = y.image_id AND cr.px = y.px // 2 AND cr.py = y.py // 2
+        JOIN v_vec_px p ON p.image_id = y.image_id AND p.x = y.px AND p.y = y.py WHERE y.plane = 'Y'""")
+def j3_alpha(spark: SparkSession, d: str) -> DataFrame:
+    """Two of three images have an alpha plane; it is opaque in the others."""
+    alpha = X.vec_px(spark, d).filter("image_id % 3 != 0").select("image_id", F.lit("A").alias("plane"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("a").alias("v"))
+    return N.upsample_join(X.planes(spark, d).unionByName(alpha))
+
+
 @register("p17_crop_planes", "SELECT image_id, plane, px, py, v FROM v_planes WHERE px < CASE plane WHEN 'Y' THEN 3 ELSE 2 END AND py < CASE plane WHEN 'Y' THEN 1 + image_id % 4 ELSE (2 + image_id % 4) // 2 END")
 def p17(spark: SparkSession, d: str) -> DataFrame:
     p = X.planes(spark, d)
