@@ -60,6 +60,16 @@ def test_recall_at_any_dimension(d):
     assert recall >= 0.9 and met < 0.15 and share < 0.15, (recall, met, share)
 
 
+@pytest.mark.filterwarnings("ignore")
+def test_recall_at_any_scale():
+    """Components whose squares overflow, clusters a thousand million times as wide as others, one dimension, vectors equal but for rounding: what cannot be fitted is measured whole."""
+    rng = np.random.default_rng(1)
+    scales = np.concatenate([rng.standard_normal((1000, 16)) * 1e-6 + 1, rng.standard_normal((1000, 16)) * 1e3])
+    for v in (rng.standard_normal((300, 8)) * 1e200, scales, rng.standard_normal((1000, 1)), np.ones((500, 4)) + rng.standard_normal((500, 4)) * 1e-14):
+        recall, met, _ = _recall(v, np.arange(0, len(v), 20))
+        assert recall >= 0.9 and met <= 1, (recall, met)
+
+
 def test_recall_over_large_shards(spark):
     """Three shards of over 1,000 vectors and several blocks, against brute force."""
     rng = np.random.default_rng(8)
