@@ -6,7 +6,102 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Buckets that rows are dealt to before they are packed, and rows that a task gathers for that, or unpacks at a time.
+BUCKETS, GATHERED = 1 << 14, 1 << 20
+_THIN = [pa.uint8(), pa.uint16(), pa.uint32(), pa.uint64()]
+
+
+def _thin(column: pa.Array, edges: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Integers as differences from the one before in their chunk where these span less, else from the least, in as few bytes as hold them; and for each chunk (number of the type, differences or not, first, least). Other columns as they are, of type -1."""
+    form = np.zeros((len(edges) - 1, 4), dtype=np.int64)
+    if not pa.types.is_signed_integer(column.type) or column.null_count:
+        form[:, 0] = -1
+        return column, form
+    v = column.to_numpy().astype(np.int64)
+    steps = np.diff(v, prepend=v[:1])
+    steps[edges[:-1]] = 0
+    spans = [int(x.max()) - int(x.min()) for x in (v, steps)]
+    diff = int(spans[1] < spans[0])
+    rest, kind = steps if diff else v, next(k for k in range(4) if spans[diff] < 1 << (8 << k))
+    form[:] = np.stack([np.full(len(form), kind), np.full(len(form), diff), v[edges[:-1]], np.full(len(form), rest.min())], axis=1)
+    return pa.array((rest - rest.min()).view(np.uint64).astype(_THIN[kind].to_pandas_dtype())), form
+
+
+def pack(df: DataFrame, deal: Column) -> DataFrame:
+    """(bucket, n, form, data): the rows, dealt to buckets by a number, in chunks of columns that take a few bytes a row. A task gathers rows until there are enough for chunks of some size; a bucket has many chunks."""
+
+    def chunks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        order = np.argsort(rows.column("_bucket").to_numpy(), kind="stable")
+        rows = rows.take(pa.array(order)).combine_chunks()
+        ids = rows.column("_bucket").to_numpy()
+        edges = starts_of(ids)
+        thin, forms = zip(*(_thin(c.chunk(0), edges) for c in rows.drop_columns(["_bucket"]).columns), strict=True)
+        table = pa.RecordBatch.from_arrays(list(thin), names=[str(k) for k in range(len(thin))])
+        plain = [table.slice(a, b - a).serialize() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        form = np.concatenate([np.array([[p.size] for p in plain]), *forms], axis=1)
+        data = [pa.compress(p, "zstd", asbytes=True) for p in plain]
+        return pa.RecordBatch.from_arrays([pa.array(ids[edges[:-1]], pa.int32()), pa.array(np.diff(edges), pa.int32()), pa.array(list(form), pa.list_(pa.int64())), pa.array(data, pa.binary())], names=["bucket", "n", "form", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= GATHERED:
+                yield chunks(held)
+                held, n = [], 0
+        if held:
+            yield chunks(held)
+
+    return df.withColumn("_bucket", F.pmod(deal, F.lit(BUCKETS)).cast("int")).mapInArrow(run, "bucket int, n int, form array<bigint>, data binary")
+
+
+def unpack(chunks: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of `pack` chunks, with the bucket of each, a bounded number at a time."""
+
+    def table(held: list[list]) -> pa.Table:
+        whole = []
+        for own, parts in zip(schema, zip(*held, strict=True), strict=True):
+            if all(isinstance(p, np.ndarray) for p in parts):
+                whole.append(pa.array(np.concatenate(parts)).cast(own.type))
+            else:
+                whole.append(pa.chunked_array([pa.array(p).cast(own.type) if isinstance(p, np.ndarray) else p for p in parts], own.type))
+        return pa.Table.from_arrays(whole, schema=schema)
+
+    def columns(form: list[int], data: bytes) -> list[np.ndarray | pa.Array]:
+        forms = [form[k : k + 4] for k in range(1, len(form), 4)]
+        kinds = pa.schema([(str(k), _THIN[f[0]] if f[0] >= 0 else own.type) for k, (f, own) in enumerate(zip(forms, schema, strict=True))])
+        out = []
+        for (kind, diff, first, least), c in zip(forms, pa.ipc.read_record_batch(pa.decompress(data, form[0], "zstd"), kinds).columns, strict=True):
+            v = c if kind < 0 else c.to_numpy().astype(np.int64) + least
+            out.append(np.cumsum(v) + (first - v[0]) if diff else v)
+        return out
+
+    held, ids, n = [], [], 0
+    for batch in chunks:
+        for bucket, size, form, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if n and n + size > GATHERED:
+                yield table(held), np.concatenate(ids)
+                held, ids, n = [], [], 0
+            held.append(columns(form, data))
+            ids.append(np.full(size, bucket))
+            n += size
+    if held:
+        yield table(held), np.concatenate(ids)
+
+
+def arrow_schema(df: DataFrame, schema: str | None = None) -> pa.Schema:
+    """The Arrow schema of a DataFrame's rows, or of rows of another schema, inside tasks."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(StructType.fromDDL(schema) if schema else df.schema)
 
 
 def whole_images(parts: Iterator[pd.DataFrame], key: str = "image_id") -> Iterator[pd.DataFrame]:
