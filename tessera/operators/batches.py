@@ -124,12 +124,21 @@ def whole_images(parts: Iterator[pd.DataFrame], key: str = "image_id") -> Iterat
 
 
 def by_image(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, order: list[str]) -> DataFrame:
-    """run over frames of whole images, each sorted by `order`. Spark deals and sorts the images, so a task has no group of its own for each of many small ones; image_id must not be null."""
+    """run over frames of whole images, each sorted by `order`. Pixels are packed before Spark deals them out, to buckets of images; a task unpacks some buckets at a time and sorts their images, so it has no group of its own for each of many
+    small ones, and no row of its own in the shuffle for each pixel. image_id must not be null."""
+    kinds, results = arrow_schema(df), arrow_schema(df, schema)
 
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from map(run, whole_images(parts))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        parts = (rows.to_pandas().assign(_bucket=ids) for rows, ids in unpack(batches, kinds))
+        for frame in whole_images(parts, "_bucket"):
+            yield run(frame.drop(columns="_bucket").sort_values(["image_id", *order], ignore_index=True))
 
-    return df.repartition("image_id").sortWithinPartitions("image_id", *order).mapInPandas(each, schema)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in each(batches):
+            for k in range(0, len(frame), GATHERED):
+                yield pa.RecordBatch.from_pandas(frame.iloc[k : k + GATHERED], schema=results, preserve_index=False)
+
+    return pack(df, F.xxhash64("image_id")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, schema)
 
 
 def starts_of(ids: np.ndarray) -> np.ndarray:

@@ -152,51 +152,120 @@ def equal_run(colors: list[int], a: int, b: int, most: int) -> int:
     return m
 
 
-def parse(colors: list[int]) -> list[tuple[int, int, int]]:
-    """Greedy back-references over a sequence: (position, length, distance), length 0 for a literal. Chains hold visited positions only, nearest first."""
-    chains, out, i, n = defaultdict(list), [], 0, len(colors)
-    while i < n:
-        length = dist = 0
-        if i + 2 < n:
-            bucket = triple_bucket(*colors[i : i + 3])
-            for j in chains[bucket][: -PROBES - 1 : -1]:
+def _hash(colors: np.ndarray, bits: int) -> np.ndarray:
+    """`color_slot` of an array."""
+    return ((colors.astype(np.uint64) * np.uint64(MULTIPLIER)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
+
+
+def copies_of(colors: np.ndarray, edges: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Where the greedy parse of each sequence (colours from one edge to the next) copies: (place in the array, length, distance). Chains hold visited positions only, nearest first.
+
+    A copy begins only where three pixels stand that stood in the sequence before, so only these places are looked at one by one, with those of their buckets, which fill the chains; arrays tell them, by hashes that may name a few too many.
+    """
+    n = len(colors)
+    which = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    last = np.repeat(edges[1:], np.diff(edges))
+    starts = np.flatnonzero(np.arange(n) + 2 < last)
+    if not len(starts):
+        return [], [], []
+    c = np.asarray(colors, dtype=np.int64).view(np.uint64)
+    p = [c[starts + k] for k in range(3)]
+    mixed = which[starts].astype(np.uint64)
+    for v in p:
+        mixed = (mixed ^ (mixed >> np.uint64(29)) ^ v) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.argsort(mixed, kind="stable")
+    again = np.zeros(len(starts), dtype=bool)
+    again[order[1:]] = mixed[order[1:]] == mixed[order[:-1]]
+    if not again.any():
+        return [], [], []
+    h = [_hash(v, BUCKET_BITS) for v in p]
+    bucket = (h[0] ^ h[1] * np.uint64(SECOND) ^ h[2] * np.uint64(THIRD)) & np.uint64((1 << BUCKET_BITS) - 1)
+    bucket = bucket.astype(np.int64) + (which[starts] << BUCKET_BITS)
+    look = np.flatnonzero(np.isin(bucket, bucket[again]))
+    colors, chains, free = np.asarray(colors).tolist(), defaultdict(list), 0
+    at, lengths, distances = [], [], []
+    for i, b, repeated, end in zip(starts[look].tolist(), bucket[look].tolist(), again[look].tolist(), last[starts[look]].tolist(), strict=True):
+        if i < free:
+            continue
+        chain = chains[b]
+        if repeated:
+            length = dist = 0
+            most, three = min(LONGEST, end - i), colors[i : i + 3]
+            for j in chain[: -PROBES - 1 : -1]:
                 if i - j >= FARTHEST:
                     break
-                m = equal_run(colors, j, i, min(LONGEST, n - i))
-                if m > length:
-                    length, dist = m, i - j
-            chains[bucket].append(i)
-        if length < 3:
-            length = dist = 0
-        out.append((i, length, dist))
-        i += max(length, 1)
+                # a copy longer than the best so far also has the pixel after that
+                if colors[j : j + 3] == three and length < most and colors[j + length] == colors[i + length]:
+                    m = equal_run(colors, j, i, most)
+                    if m > length:
+                        length, dist = m, i - j
+            if length >= 3:
+                at.append(i)
+                lengths.append(length)
+                distances.append(dist)
+                free = i + length
+        chain.append(i)
+    return at, lengths, distances
+
+
+def parse(colors: list[int]) -> list[tuple[int, int, int]]:
+    """Greedy back-references over a sequence: (position, length, distance), length 0 for a literal."""
+    visited, length, dist = _visited(np.array(colors, dtype=np.int64), np.array([0, len(colors)]))
+    return list(zip(visited.tolist(), length.tolist(), dist.tolist(), strict=True))
+
+
+def _visited(colors: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Visited places of sequences one after another, with the length and distance of the copy there, or zeros."""
+    at, lengths, distances = (np.array(v, dtype=np.int64) for v in copies_of(colors, edges))
+    inside = np.zeros(len(colors) + 1, dtype=np.int64)
+    np.add.at(inside, at + 1, 1)
+    np.add.at(inside, at + lengths, -1)
+    length, dist = np.zeros(len(colors), dtype=np.int64), np.zeros(len(colors), dtype=np.int64)
+    length[at], dist[at] = lengths, distances
+    visited = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+    return visited, length[visited], dist[visited]
+
+
+def _token_rows(frame: pd.DataFrame) -> pd.DataFrame:
+    """Tokens of whole images from pixels in order with argb, slot and hit."""
+    edges = starts_of(frame.image_id.to_numpy())
+    at, length, dist = _visited(frame["argb"].to_numpy(), edges)
+    first = np.searchsorted(at, edges[:-1])
+    tok = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    cells, copy = frame.iloc[at], length > 0
+    hit = ~copy & cells["hit"].to_numpy()
+    only = lambda values, keep: pd.arrays.IntegerArray(np.asarray(values, dtype=np.int64), ~keep)
+    out = pd.DataFrame({"image_id": cells.image_id.to_numpy(), "tok": tok, "pos": cells.pos.to_numpy(), "kind": np.where(copy, "copy", np.where(hit, "cache", "literal"))})
+    for ch in "grba":
+        out[ch] = only(cells[ch].to_numpy(), ~copy & ~hit)
+    out["len"], out["dist"], out["slot"] = only(length, copy), only(dist, copy), only(cells["slot"].to_numpy(), hit)
     return out
 
 
 def backref_parse(hits: DataFrame) -> DataFrame:
-    """Tokens of each image from `cache_hits` rows: copies, cache hits and literals. The parse depends on what it chose before, so an image is in one task, many small ones in one batch; cache hits do not, so they come from a window before it.
+    """Tokens of each image from `cache_hits` rows: copies, cache hits and literals. The parse depends on what it chose before, so an image is in one task, many small ones in one batch; `backref_tokens` finds the hits in that task, too.
     Rows with a null id, position or channel take no part."""
+    columns = ["image_id", "pos", "r", "g", "b", "a", "argb", "slot", "hit"]
+    return by_image(hits.select(columns).dropna(), _token_rows, _TOKENS, ["pos"])
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        edges, colors = starts_of(frame.image_id.to_numpy()), frame["argb"].to_numpy()
-        at, tok, length, dist = [], [], [], []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            found = parse(colors[a:b].tolist())
-            at += [a + i for i, _, _ in found]
-            tok += range(len(found))
-            length += [n for _, n, _ in found]
-            dist += [d for _, _, d in found]
-        cells, copy = frame.iloc[at], np.array(length) > 0
-        hit = ~copy & cells["hit"].to_numpy()
-        only = lambda values, keep: pd.arrays.IntegerArray(np.asarray(values, dtype=np.int64), ~keep)
-        out = pd.DataFrame({"image_id": cells.image_id.to_numpy(), "tok": tok, "pos": cells.pos.to_numpy(), "kind": np.where(copy, "copy", np.where(hit, "cache", "literal"))})
-        for ch in "grba":
-            out[ch] = only(cells[ch].to_numpy(), ~copy & ~hit)
-        out["len"], out["dist"], out["slot"] = only(length, copy), only(dist, copy), only(cells["slot"].to_numpy(), hit)
-        return out
 
-    columns = ["image_id", "pos", "r", "g", "b", "a", "argb", "slot", "hit"]
-    return by_image(hits.select(columns).dropna(), run, _TOKENS, ["pos"])
+def backref_tokens(pixels: DataFrame, bits: int | None = 4) -> DataFrame:
+    """`backref_parse` of the `cache_hits` of pixels (image_id, pos, r, g, b, a), or without any hits, in one shuffle: the task that parses an image has all its pixels, and what each slot held before."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        r, g, b, a = (frame[ch].to_numpy(np.int64) for ch in "rgba")
+        argb = (a << 24) | (r << 16) | (g << 8) | b
+        if bits is None:
+            return _token_rows(frame.assign(argb=argb, slot=0, hit=False))
+        slot = _hash(argb, bits).astype(np.int64)
+        edges = starts_of(frame.image_id.to_numpy())
+        group = (np.repeat(np.arange(len(edges) - 1), np.diff(edges)) << bits) + slot
+        order = np.argsort(group, kind="stable")
+        before = np.zeros(len(frame), dtype=np.int64)
+        before[order[1:]] = np.where(group[order[1:]] == group[order[:-1]], argb[order[:-1]], 0)
+        return _token_rows(frame.assign(argb=argb, slot=slot, hit=(before == argb) & (frame.pos.to_numpy() > 0)))
+
+    return by_image(pixels.select("image_id", "pos", *"rgba").dropna(), run, _TOKENS, ["pos"])
 
 
 def _resolved(links: DataFrame, rounds: Rounds, name: str, most_rounds: int = 60) -> DataFrame:

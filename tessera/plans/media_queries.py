@@ -404,7 +404,7 @@ def t3(spark: SparkSession, d: str) -> DataFrame:
 
 @register("h1_backref_parse")
 def h1(spark: SparkSession, d: str) -> DataFrame:
-    return M.backref_parse(P.cache_hits(X.doc_px(spark, d)))
+    return M.backref_tokens(X.doc_px(spark, d))
 
 
 # The greedy parse step by step: what was visited, the nearest eight of those with the same three-pixel hash, the longest match of them (of equal ones the nearest).
@@ -421,12 +421,12 @@ _PARSE = f"""{_CAND}, {_HITS.replace("c AS (", "hc AS (", 1).replace("FROM c)",
 @register("h1_backref_tokens", f"""WITH {_PARSE} SELECT image_id, tok, pos, kind, {", ".join(f"CASE WHEN kind = 'literal' THEN {ch} END AS {ch}" for ch in "grba")},
     CASE WHEN kind = 'copy' THEN len END::INT AS len, CASE WHEN kind = 'copy' THEN dist END AS dist, CASE WHEN kind = 'cache' THEN slot END AS slot FROM toks""")
 def h1_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return M.backref_parse(P.cache_hits(X.idx_px(spark, d)))
+    return M.backref_tokens(X.idx_px(spark, d))
 
 
 @register("h2_backref_round_trip", f"SELECT image_id, pos, {_ARGB} AS argb, NULL::VARCHAR AS error FROM v_idx_px")
 def h2(spark: SparkSession, d: str) -> DataFrame:
-    return M.backref_expand(M.backref_parse(P.cache_hits(X.idx_px(spark, d))))
+    return M.backref_expand(M.backref_tokens(X.idx_px(spark, d)))
 
 
 # --- symbols and codes --------------------------------------------------------------------------------------------------
@@ -461,7 +461,7 @@ def p19(spark: SparkSession, d: str) -> DataFrame:
         UNION ALL SELECT image_id, alphabet, symbol FROM (SELECT image_id, unnest([0, 1, 2, 3]) AS alphabet, unnest([g, r, b, a]) AS symbol FROM toks WHERE kind = 'literal'))
     SELECT image_id, 'main' AS stream, alphabet, symbol::INT AS symbol, count(*) AS n FROM s GROUP BY ALL""")
 def p19_copies(spark: SparkSession, d: str) -> DataFrame:
-    t = M.backref_parse(P.cache_hits(X.idx_px(spark, d)))
+    t = M.backref_tokens(X.idx_px(spark, d))
     return C.symbol_histogram(C.tokens_to_symbols(t, t.select("image_id").distinct().withColumn("width", F.lit(16))))
 
 

@@ -211,3 +211,50 @@ def test_parse_of_many_images(spark):
         rows = sorted((r.tok, r.pos, r.len or 0, r.dist or 0) for r in tokens.filter(F.col("image_id") == k).collect()) if k < 3 else None
         assert rows is None or [r[1:] for r in rows] == M.parse([(255 << 24) | v for v in c])
     assert M.backref_expand(tokens).drop("error").exceptAll(df.select("image_id", "pos", argb().alias("argb"))).isEmpty()
+
+
+def _plain_parse(colors):
+    """The greedy parse, one place after another."""
+    chains, out, i, n = {}, [], 0, len(colors)
+    while i < n:
+        length = dist = 0
+        if i + 2 < n:
+            chain = chains.setdefault(M.triple_bucket(*colors[i : i + 3]), [])
+            for j in chain[: -M.PROBES - 1 : -1]:
+                if i - j >= M.FARTHEST:
+                    break
+                m = 0
+                while m < min(M.LONGEST, n - i) and colors[j + m] == colors[i + m]:
+                    m += 1
+                if m > length:
+                    length, dist = m, i - j
+            chain.append(i)
+        out.append((i, length, dist) if length >= 3 else (i, 0, 0))
+        i += max(out[-1][1], 1)
+    return out
+
+
+def test_parse_looks_at_few_places(monkeypatch):
+    """The parse is that of a walk over all places, and only those that may copy, or share a bucket with these, are looked at."""
+    rng = random.Random(9)
+    for size, colors in ((1, 1), (2, 1), (3, 1), (400, 1), (9000, 1), (300, 2), (300, 4), (2000, 9), (4000, 40), (3000, 1 << 24)):
+        c = [(255 << 24) | rng.randrange(colors) for _ in range(size)]
+        c = c + c[size // 3 : size // 2] + c[: size // 4]
+        assert M.parse(c) == _plain_parse(c)
+    looked = []
+    monkeypatch.setattr(M, "equal_run", lambda *v, of=M.equal_run: looked.append(v) or of(*v))
+    c = [rng.randrange(1 << 32) for _ in range(20_000)]
+    assert len(M.parse(c + c[50:90])) == 20_001 and len(looked) <= 2
+
+
+@pytest.mark.parametrize("bits", [4, None])
+def test_tokens_in_one_shuffle(spark, bits):
+    """`backref_tokens` gives what `backref_parse` gives for `cache_hits`, with one exchange of packed pixels."""
+    rng = random.Random(13)
+    rows = [r for k in range(40) for r in sequence([rng.choice([0, 1, 2, 77, 1 << 20]) for _ in range(rng.randrange(1, 90))], k, {5})]
+    df = spark.createDataFrame([*rows, (None, 0, 0, 0, 1, 1, 1, 1), (3, 500, 0, 0, None, 1, 1, 1)], PIXELS)
+    hits = P.cache_hits(df)
+    tokens = M.backref_tokens(df, bits)
+    assert tokens._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    other = M.backref_parse(hits if bits else hits.withColumn("hit", F.lit(False)))
+    assert sorted(map(str, tokens.collect())) == sorted(map(str, other.collect()))
