@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -97,6 +98,40 @@ def unpack(chunks: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[tupl
         yield table(held), np.concatenate(ids)
 
 
+def whole_buckets(parts: Iterator[tuple[pa.Table, np.ndarray]]) -> Iterator[pa.Table]:
+    """Unpacked rows, sorted by bucket, cut anew so that no bucket lies in two."""
+    held, bucket = [], None
+    for table, ids in parts:
+        if held and bucket != ids[0]:
+            yield pa.concat_tables(held)
+            held = []
+        bucket, last = ids[-1], int(np.argmax(ids == ids[-1]))
+        if last:
+            yield pa.concat_tables([*held, table.slice(0, last)])
+            held = []
+        held.append(table.slice(last))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def merged_counts(counts: DataFrame, by: list[str], deal: list[str]) -> DataFrame:
+    """(by..., total, n_distinct, squares) of the histograms (by..., symbol, n) that tasks counted in parts: sum, number and sum of squares of the counts. `deal`: those of `by` that Spark deals the packed counts by; only these are shuffled, once."""
+    counts = counts.select(*by, "symbol", "n")
+    kinds = arrow_schema(counts)
+    schema = counts.select(*by).schema.add("total", "long").add("n_distinct", "long").add("squares", "double")
+    results = arrow_schema(counts.select(*by, F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("n_distinct"), F.lit(0.0).alias("squares")))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_buckets(unpack(batches, kinds)):
+            n = rows.group_by([*by, "symbol"], use_threads=False).aggregate([("n", "sum")])
+            each = n.column("n_sum").cast(pa.float64())
+            n = n.append_column("one", pa.array(np.ones(len(n), np.int64))).append_column("squares", pc.multiply(each, each))
+            sums = n.group_by(by, use_threads=False).aggregate([("n_sum", "sum"), ("one", "sum"), ("squares", "sum")])
+            yield from sums.select([*by, "n_sum_sum", "one_sum", "squares_sum"]).rename_columns(results.names).cast(results).to_batches(1 << 16)
+
+    return pack(counts, F.xxhash64(*deal)).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, schema)
+
+
 def arrow_schema(df: DataFrame, schema: str | None = None) -> pa.Schema:
     """The Arrow schema of a DataFrame's rows, or of rows of another schema, inside tasks."""
     from pyspark.sql.pandas.types import to_arrow_schema

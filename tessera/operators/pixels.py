@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.bytes import argb, avg2, clamp8, color_slot, div0, signed8, tile_key, wrap8
-from tessera.operators.batches import Grid, by_image, starts_of
+from tessera.operators.batches import Grid, by_image, merged_counts, starts_of
 
 KEYS = ["image_id"]
 CHANNELS = ["r", "g", "b", "a"]
@@ -206,16 +206,18 @@ def _mode_counts(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def tile_mode_scores(pixels: DataFrame, bits: int = 4, keys: list[str] = KEYS) -> DataFrame:
     """(keys, tx, ty, mode, score): summed impurity of the four channels' residuals for each tile and mode.
 
-    56 values a pixel, counted in the task that makes them, so only counts are shuffled. A pixel with a null channel or place takes no part.
+    56 values a pixel, counted in the task that makes them; the counts are packed and shuffled once, by tile, and only their sums leave the task that merges them. A pixel with a null channel or place takes no part.
     """
     p = with_neighbors(pixels, keys).filter("x IS NOT NULL AND y IS NOT NULL")
     flat = {f"{k}_{ch}": F.col(f"{k}.{ch}") for k in ("l", "t", "tl", "tr") for ch in CHANNELS} | {f"p_{ch}": F.col(ch) for ch in CHANNELS}
     p = p.select(*keys, "x", "y", tile_key("x", bits).alias("tx"), tile_key("y", bits).alias("ty"), *(v.cast("int").alias(k) for k, v in flat.items()))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema if f.name in (*keys, "tx", "ty"))
     counts = p.mapInArrow(_mode_counts(keys), f"{kinds}, mode int, ch int, symbol int, n long")
-    counts = counts.groupBy(*keys, "tx", "ty", "mode", "ch", "symbol").agg(F.sum("n").alias("n"))
-    each = gini_impurity(counts, [*keys, "tx", "ty", "mode", "ch"], 12)
-    return each.groupBy(*keys, "tx", "ty", "mode").agg(F.round(F.sum("impurity"), 9).alias("score"))
+    each = merged_counts(counts, [*keys, "tx", "ty", "mode", "ch"], [*keys, "tx", "ty"])
+    # the four channels of a tile and mode are rows of one task, which adds them up before the shuffle
+    total = F.col("total").cast("double")
+    impurity = F.round(1 - F.col("squares") / (total * total), 12)
+    return each.groupBy(*keys, "tx", "ty", "mode").agg(F.round(F.sum(impurity), 9).alias("score"))
 
 
 def best_tile_mode(scores: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -11,7 +11,6 @@ from tessera.operators import coding as C
 from tessera.operators import matching as M
 from tessera.operators import palette as L
 from tessera.operators import pixels as P
-from tessera.sources.shared import Rounds
 
 
 def _plain(pixels: DataFrame) -> DataFrame:
@@ -29,7 +28,7 @@ def technique_report(pixels: DataFrame, flat: DataFrame, width: int = 16) -> Dat
     hits = P.cache_hits(pixels)
     wide = pixels.select("image_id").distinct().withColumn("width", F.lit(width))
     cache = hits.select("image_id", F.col("pos").alias("tok"), "pos", F.when(F.col("hit"), "cache").otherwise("literal").alias("kind"), *"grba", F.lit(None).cast("int").alias("len"), F.lit(None).cast("long").alias("dist"), "slot")
-    copies = M.backref_parse(hits.withColumn("hit", F.lit(False)))
+    copies = M.backref_tokens(pixels, None)
     small = L.build_palette(flat)
     packed = L.pack_indices(L.index_colors(flat, small))
     tile = P.best_tile_mode(P.tile_mode_scores(pixels))
@@ -42,11 +41,9 @@ def technique_report(pixels: DataFrame, flat: DataFrame, width: int = 16) -> Dat
         "cache": C.tokens_to_symbols(cache, wide).select("image_id", "alphabet", "symbol", "extra_bits"),
         "back_references": C.tokens_to_symbols(copies, wide).select("image_id", "alphabet", "symbol", "extra_bits"),
         "palette": packed.select("image_id", F.lit(0).alias("alphabet"), F.col("packed").alias("symbol"), F.lit(0).alias("extra_bits")),
-        "default": C.tokens_to_symbols(M.backref_parse(P.cache_hits(mix)), wide).select("image_id", "alphabet", "symbol", "extra_bits"),
+        "default": C.tokens_to_symbols(M.backref_tokens(mix), wide).select("image_id", "alphabet", "symbol", "extra_bits"),
     }
     all_ = reduce(DataFrame.unionByName, (s.withColumn("stream", F.lit(name)) for name, s in symbols.items()))
     both = all_.groupBy("image_id", "stream", "alphabet", "symbol").agg(F.count("*").alias("n"), F.sum("extra_bits").alias("extra_bits"))
-    both = Rounds(pixels.sparkSession, "report").keep(both, "counts")  # read three times: once for the books, twice for the sizes
-    book = C.codebook_lengths(both.drop("extra_bits"))
-    size = C.coded_size(both, book, both)
+    size = C.coded_bits(both)
     return size.withColumnRenamed("stream", "technique").rollup("technique", "image_id").agg(F.sum("bits").alias("bits"))

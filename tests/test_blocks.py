@@ -258,3 +258,22 @@ def test_tokens_in_one_shuffle(spark, bits):
     assert tokens._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     other = M.backref_parse(hits if bits else hits.withColumn("hit", F.lit(False)))
     assert sorted(map(str, tokens.collect())) == sorted(map(str, other.collect()))
+
+
+def test_sizes_without_books(spark):
+    """`coded_bits` is `coded_size` with the histogram's own book, from one exchange."""
+    rng = random.Random(21)
+    rows = [(k, s, a, v, rng.randrange(1, 400), rng.choice([0, 0, 7])) for k in (1, 2, None) for s in ("p", "q") for a in (0, 4) for v in rng.sample(range(300), rng.choice([1, 2, 30]))]
+    hist = spark.createDataFrame(rows, "image_id long, stream string, alphabet int, symbol int, n long, extra_bits long").filter("image_id IS NOT NULL")
+    sizes = C.coded_bits(hist)
+    assert sizes._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(sizes.collect()) == sorted(C.coded_size(hist, C.codebook_lengths(hist.drop("extra_bits")), hist).collect())
+
+
+def test_mode_counts_are_packed(spark):
+    """Counts of residuals are shuffled as chunks, dealt by tile; a tile that lies in many batches has one score a mode."""
+    df = spark.range(0, 400, 1, 5).select(F.lit(1).cast("long").alias("image_id"), "id", (F.col("id") % 20).cast("int").alias("x"), F.floor(F.col("id") / 20).cast("int").alias("y"), *(F.pmod(F.xxhash64("id", F.lit(ch)), F.lit(9)).cast("int").alias(ch) for ch in "rgba"))
+    scores = P.tile_mode_scores(df.withColumnRenamed("id", "pos"), 3)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bucket" in plan and "hashpartitioning(image_id, tx, ty, mode, ch" not in plan
+    assert sorted({(r.tx, r.ty) for r in scores.collect()}) == [(x, y) for x in range(3) for y in range(3)] and scores.count() == 9 * 14
