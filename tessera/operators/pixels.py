@@ -335,11 +335,35 @@ def expand_cache(tokens: DataFrame, bits: int = 4, keys: list[str] = KEYS) -> Da
     return t.select(*keys, "pos", F.coalesce(F.last("argb", ignorenulls=True).over(w), F.lit(0)).alias("argb"))
 
 
+#: Histograms of `channel_profile`, by number: subtraction leaves green and alpha as they are, so these count for both stages.
+_PROFILES = [[("plain", "r")], [("plain", "g"), ("subtract_green", "g")], [("plain", "b")], [("plain", "a"), ("subtract_green", "a")], [("subtract_green", "r")], [("subtract_green", "b")]]
+
+
+def _channel_counts(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of values by image and histogram, batch by batch. A null value is one more symbol, above all others."""
+    null = 1 << 32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            image = batch.select(keys).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            r, g, b, a = (batch.column(ch).cast(pa.int64()).fill_null(null).to_numpy() for ch in CHANNELS)
+            less = [np.where((v == null) | (g == null), null, (v - g) & 255) for v in (r, b)]
+            code = ((image * len(_PROFILES) + np.arange(len(_PROFILES))[:, None]) << 34) + np.stack([r, g, b, a, *less]) + (1 << 32)
+            code, n = np.unique(code, return_counts=True)
+            row_of = np.unique(image, return_index=True)[1]
+            at = pa.array(row_of[(code >> 34) // len(_PROFILES)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keys), pa.array(((code >> 34) % len(_PROFILES)).astype(np.int32)), pa.array((code & ((1 << 34) - 1)) - (1 << 32)), pa.array(n.astype(np.int64))], names=[*keys, "profile", "symbol", "n"])
+
+    return run
+
+
 def channel_profile(pixels: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """For each image, stage (plain, subtract_green) and channel: pixels, distinct values, impurity."""
-    cell = lambda stage, ch, symbol: F.struct(F.lit(stage).alias("stage"), F.lit(ch).alias("channel"), symbol.alias("symbol"))
-    less = {ch: wrap8(F.col(ch) - F.col("g")) if ch in "rb" else F.col(ch) for ch in CHANNELS}
-    each = pixels.select(*keys, F.inline(F.array(*(cell("plain", ch, F.col(ch)) for ch in CHANNELS), *(cell("subtract_green", ch, less[ch]) for ch in CHANNELS))))
-    hist = each.groupBy(*keys, "stage", "channel", "symbol").agg(F.count("*").alias("n"))
-    n = F.col("n").cast("double")
-    return hist.groupBy(*keys, "stage", "channel").agg(F.sum("n").alias("total"), F.count("*").alias("n_distinct"), F.round(1 - F.sum(n * n) / (F.sum(n) * F.sum(n)), 9).alias("impurity"))
+    """For each image, stage (plain, subtract_green) and channel: pixels, distinct values, impurity. Values are counted in the task that has them; the counts are packed and shuffled once, by image."""
+    p = pixels.select(*keys, *(F.col(ch).cast("int").alias(ch) for ch in CHANNELS))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema if f.name in keys)
+    sums = merged_counts(p.mapInArrow(_channel_counts(keys), f"{kinds}, profile int, symbol long, n long"), [*keys, "profile"], keys)
+    names = F.array(*(F.array(*(F.struct(F.lit(stage).alias("stage"), F.lit(ch).alias("channel")) for stage, ch in of)) for of in _PROFILES))
+    each, total = sums.select(*keys, F.inline(F.get(names, F.col("profile"))), "total", "n_distinct", "squares"), F.col("total").cast("double")
+    return each.select(*keys, "stage", "channel", "total", "n_distinct", F.round(1 - F.col("squares") / (total * total), 9).alias("impurity"))

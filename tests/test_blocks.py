@@ -1,6 +1,7 @@
 """Jobs cut into blocks, waves and rounds, with blocks of a few rows, against plain Python that walks a sequence."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -277,3 +278,20 @@ def test_mode_counts_are_packed(spark):
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(bucket" in plan and "hashpartitioning(image_id, tx, ty, mode, ch" not in plan
     assert sorted({(r.tx, r.ty) for r in scores.collect()}) == [(x, y) for x in range(3) for y in range(3)] and scores.count() == 9 * 14
+
+
+def test_profiles_in_one_shuffle(spark):
+    """Values are counted where they are, nulls as one more; one exchange of packed counts."""
+    rng = random.Random(22)
+    rows = [(k, i, 0, 0, *(rng.choice([None, 0, 3, 255, rng.randrange(256)]) for _ in range(4))) for k in (1, 2, None) for i in range(rng.randrange(5, 80))]
+    profile = P.channel_profile(spark.createDataFrame(rows, PIXELS).repartition(5))
+    assert profile._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+    expected = set()
+    for k in (1, 2, None):
+        own = [r[4:] for r in rows if r[0] == k]
+        less = [tuple(None if v is None or (j in (0, 2) and r[1] is None) else (v - r[1]) % 256 if j in (0, 2) else v for j, v in enumerate(r)) for r in own]
+        for stage, cells in (("plain", own), ("subtract_green", less)):
+            for j, ch in enumerate("rgba"):
+                n = Counter(c[j] for c in cells)
+                expected.add((k, stage, ch, len(own), len(n), round(1 - sum(v * v for v in n.values()) / len(own) ** 2, 9)))
+    assert {tuple(r) for r in profile.collect()} == expected
