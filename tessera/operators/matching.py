@@ -268,12 +268,17 @@ def backref_tokens(pixels: DataFrame, bits: int | None = 4) -> DataFrame:
     return by_image(pixels.select("image_id", "pos", *"rgba").dropna(), run, _TOKENS, ["pos"])
 
 
+def _dealt(table: DataFrame) -> DataFrame:
+    """A table for a join that deals out both sides: kept tables are far smaller as files than as rows, so Spark would send them whole through the driver in every round."""
+    return table.hint("merge")
+
+
 def _resolved(links: DataFrame, rounds: Rounds, name: str, most_rounds: int = 60) -> DataFrame:
     """(image_id, pos, to) with every `to` followed to the last: links that point at the pos of another link jump on to where that one points, so each round doubles the steps."""
     links = rounds.keep(links, name)
     for _ in range(most_rounds):
         ahead = links.select("image_id", F.col("pos").alias("to"), F.col("to").alias("_next"))
-        step = links.join(ahead, ["image_id", "to"], "left").select("image_id", "pos", F.coalesce("_next", "to").alias("to"), F.col("_next").isNotNull().alias("moved"))
+        step = links.join(_dealt(ahead), ["image_id", "to"], "left").select("image_id", "pos", F.coalesce("_next", "to").alias("to"), F.col("_next").isNotNull().alias("moved"))
         step = rounds.keep(step, name)
         links = step.drop("moved")
         if step.filter("moved").isEmpty():
@@ -302,19 +307,19 @@ def backref_expand(tokens: DataFrame, bits: int = 4, block: int = BLOCK) -> Data
     error = F.when(F.col("bad"), "bad_token").when(far, "bad_distance")
     ends = t.withColumn("error", error).filter("error IS NOT NULL").groupBy("image_id").agg(F.min(F.struct("tok", "start", "error")).alias("e"))
     ends = rounds.keep(ends.select("image_id", F.col("e.tok").alias("_end"), F.col("e.start").alias("pos"), "e.error"), "ends")
-    sound = t.join(ends.select("image_id", "_end"), "image_id", "left").filter("_end IS NULL OR tok < _end")
+    sound = t.join(_dealt(ends.select("image_id", "_end")), "image_id", "left").filter("_end IS NULL OR tok < _end")
 
     roots = sound.filter("kind != 'copy'").select("image_id", F.col("start").alias("pos"), F.when(kind == "literal", argb()).alias("argb"), F.when(kind == "cache", F.col("slot")).alias("slot"))
     roots = rounds.keep(roots.withColumn("slot", F.coalesce("slot", color_slot(F.col("argb"), bits))), "read")
     # slots begin at 0: before the first literal of its slot a hit is a 0, which belongs to slot 0
     first = roots.filter("argb IS NOT NULL").groupBy("image_id", "slot").agg(F.min("pos").alias("_first"))
     unset = F.col("argb").isNull() & (F.col("slot") != 0) & F.coalesce(F.col("pos") < F.col("_first"), F.lit(True))
-    roots = roots.join(first, ["image_id", "slot"], "left").withColumn("_unset", unset)
+    roots = roots.join(_dealt(first), ["image_id", "slot"], "left").withColumn("_unset", unset)
     roots = rounds.keep(roots.select("image_id", "pos", F.when(F.col("_unset"), 0).otherwise(F.col("argb")).alias("argb"), F.when(F.col("_unset"), 0).otherwise(F.col("slot")).alias("slot")), "roots")
     each = sound.filter("kind = 'copy' AND len > 0").select("image_id", "start", "dist", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("i"))
     links = each.select("image_id", (F.col("start") + F.col("i")).alias("pos"), (F.col("start") - F.col("dist") + F.col("i") % F.col("dist")).alias("to"))
     links = _resolved(links, rounds, "copies")
-    copies = rounds.keep(links.join(roots.withColumnRenamed("pos", "to"), ["image_id", "to"]), "pixels")
+    copies = rounds.keep(links.join(_dealt(roots.withColumnRenamed("pos", "to")), ["image_id", "to"]), "pixels")
 
     # of each hit the last pixel of its slot that is none: its colour, or the hit that it is a copy of
     setters = roots.select("image_id", "pos", "slot", "argb", F.lit(None).cast("bigint").alias("to")).unionByName(copies.select("image_id", "pos", "slot", "argb", F.when(F.col("argb").isNull(), F.col("to")).alias("to")))
@@ -326,8 +331,8 @@ def backref_expand(tokens: DataFrame, bits: int = 4, block: int = BLOCK) -> Data
     known = hits.filter("to IS NULL").select("image_id", "pos", "argb")
     if not open_.isEmpty():
         open_ = _resolved(open_, rounds, "open")
-        known = rounds.keep(known.unionByName(open_.join(known.withColumnRenamed("pos", "to"), ["image_id", "to"]).select("image_id", "pos", "argb")), "known")
+        known = rounds.keep(known.unionByName(open_.join(_dealt(known.withColumnRenamed("pos", "to")), ["image_id", "to"]).select("image_id", "pos", "argb")), "known")
 
-    of_hits = copies.filter("argb IS NULL").select("image_id", "pos", "to").join(known.withColumnRenamed("pos", "to"), ["image_id", "to"]).select("image_id", "pos", "argb")
+    of_hits = copies.filter("argb IS NULL").select("image_id", "pos", "to").join(_dealt(known.withColumnRenamed("pos", "to")), ["image_id", "to"]).select("image_id", "pos", "argb")
     pixels = roots.filter("argb IS NOT NULL").select("image_id", "pos", "argb").unionByName(copies.filter("argb IS NOT NULL").select("image_id", "pos", "argb")).unionByName(known).unionByName(of_hits)
     return pixels.withColumn("error", F.lit(None).cast("string")).unionByName(ends.select("image_id", "pos", F.lit(0).cast("bigint").alias("argb"), "error"))

@@ -295,3 +295,15 @@ def test_profiles_in_one_shuffle(spark):
                 n = Counter(c[j] for c in cells)
                 expected.add((k, stage, ch, len(own), len(n), round(1 - sum(v * v for v in n.values()) / len(own) ** 2, 9)))
     assert {tuple(r) for r in profile.collect()} == expected
+
+
+def test_expansion_sends_no_tables(spark, monkeypatch):
+    """Tables of pixels are dealt out in all rounds, and not sent through the driver, however small their files are."""
+    plans, keep = [], Rounds.keep
+    monkeypatch.setattr(Rounds, "keep", lambda self, df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df, name))
+    rng = random.Random(23)
+    df = spark.createDataFrame([r for k in range(9) for r in sequence([rng.randrange(3) for _ in range(60)], k)], PIXELS)
+    found = M.backref_expand(M.backref_tokens(df))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.drop("error").exceptAll(df.select("image_id", "pos", argb().alias("argb"))).isEmpty()
+    assert sum("Join" in p for p in plans) > 3 and not any("Broadcast" in p for p in plans)
