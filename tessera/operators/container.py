@@ -57,11 +57,11 @@ def _walk(data: bytes, strict: bool) -> Iterator[tuple]:
         yield bad("short_chunk_header", at)
 
 
-def walk_files(files: DataFrame, strict: bool = False) -> DataFrame:
+def walk_files(files: DataFrame, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(file_id, riff_size, chunks, error, at_offset, fourcc), one row a row of files (file_id LONG, content BINARY): the chunks in order, then what ended the walk of a file that is not sound.
 
     strict: a tail of under eight bytes is an error too; the lister's rule ignores it. Null content is an invalid signature. The content is read in one
-    pass and left behind: only the first 32 bytes of each payload stay. riff_size is the size that a signed header tells, else null.
+    pass and left behind: only the first 32 bytes of each payload stay. riff_size is the size that a signed header tells, else null. keep: columns of files that stay beside.
     """
     cell = pa.struct([("fourcc", pa.string()), ("size", pa.int64()), ("data_offset", pa.int64()), ("head", pa.binary())])
     kinds = {"file_id": pa.int64(), "riff_size": pa.int64(), "chunks": pa.list_(cell), "error": pa.string(), "at_offset": pa.int64(), "fourcc": pa.string()}
@@ -78,9 +78,10 @@ def walk_files(files: DataFrame, strict: bool = False) -> DataFrame:
                         chunks.append({"fourcc": code, "size": size, "data_offset": start, "head": head})
                 size = struct.unpack_from("<I", data, 4)[0] if data and len(data) >= 8 and data[:4] == b"RIFF" else None
                 rows.append((file_id, size, chunks, *fault))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())), *(batch.column(c) for c in keep)], names=[*kinds, *keep])
 
-    return files.select(F.col("file_id").cast("long").alias("file_id"), "content").mapInArrow(run, f"file_id long, riff_size long, chunks array<{CHUNK}>, error string, at_offset long, fourcc string")
+    kept = "".join(f", `{c}` {dict(files.dtypes)[c]}" for c in keep)
+    return files.select(F.col("file_id").cast("long").alias("file_id"), "content", *keep).mapInArrow(run, f"file_id long, riff_size long, chunks array<{CHUNK}>, error string, at_offset long, fourcc string{kept}")
 
 
 def chunk_rows(walked: DataFrame) -> DataFrame:

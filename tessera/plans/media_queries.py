@@ -717,9 +717,8 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as files in folders by id, written and read again by the source of binary files, then walked."""
     at = _folder(spark, "files")
     write_files(_files(spark, d).select("file_id", "content"), at)
-    files = read_files(spark, at)
-    chunks = F.size("chunks").cast("long")
-    return K.walk_files(files, strict=True).select("file_id", chunks.alias("n_chunks")).join(files.select("file_id", F.octet_length("content").cast("long").alias("length"), F.md5(F.hex("content").cast("binary")).alias("digest")), "file_id")
+    files = read_files(spark, at).select("file_id", "content", F.octet_length("content").cast("long").alias("length"), F.md5(F.hex("content").cast("binary")).alias("digest"))
+    return K.walk_files(files, strict=True, keep=("length", "digest")).select("file_id", "length", "digest", F.size("chunks").cast("long").alias("n_chunks"))
 
 
 @register("s11_write_media", "SELECT image_id, pos, r, g, b, a FROM v_vec_px WHERE image_id = 7")

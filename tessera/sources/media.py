@@ -37,23 +37,30 @@ def read_bucket(table: DataFrame, key: str, value: int, buckets: int = 64) -> Da
     return table.filter((F.col("bucket") == int(bucket)) & (F.col(key) == value)).drop("bucket")
 
 
-#: Ends each file that `write_files` writes; RIFF tells its own size, so readers pass over it.
+#: Ends each file that `write_files` writes, after the id in sixteen digits; RIFF tells its own size, so readers pass over both.
 _END = b"\n"
+_TAIL = 16 + len(_END)
+#: Folders of `write_files`.
+FOLDERS = 256
 
 
 def write_files(files: DataFrame, path: str) -> None:
-    """(file_id LONG, content BINARY) as one file each, in a folder file_id=n of its own. Ids must be unique and not null; an empty or null content gives a file of its end mark alone.
+    """(file_id LONG, content BINARY) as one file each, in folders by a hash of the id. Ids must be unique and not null; an empty or null content gives a file of its tail alone.
 
-    The bytes are written as they are by the text sink, which adds a line feed at the end: `read_files` takes it off again.
+    The bytes are written as they are by the text sink, one row a file, with the id and a line feed at the end: `read_files` takes them off again. A folder is written by one task and moved into place as a whole, and
+    there are as many to list, however many files there are.
     """
-    files.select("file_id", F.coalesce("content", F.unhex(F.lit(""))).cast("string").alias("content")).write.partitionBy("file_id").option("lineSep", _END.decode()).text(path)
+    whole = F.concat(F.coalesce("content", F.unhex(F.lit(""))), F.encode(F.lpad(F.hex("file_id"), 16, "0"), "US-ASCII"))
+    dealt = files.select(F.pmod(F.xxhash64("file_id"), F.lit(FOLDERS)).alias("folder"), whole.cast("string").alias("content")).repartition("folder")
+    dealt.write.partitionBy("folder").option("lineSep", _END.decode()).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(file_id, path, content, length) of the files of `write_files`, by the source of binary files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    content = F.substring("content", 1, F.col("length").cast("int") - len(_END))
-    return files.select(F.col("file_id").cast("long").alias("file_id"), "path", content.alias("content"), (F.col("length") - len(_END)).alias("length"))
+    n = F.col("length").cast("int") - _TAIL
+    file_id = F.conv(F.decode(F.substring("content", n + 1, 16), "US-ASCII"), 16, -10).cast("long")
+    return files.select(file_id.alias("file_id"), "path", F.substring("content", 1, n).alias("content"), (F.col("length") - _TAIL).alias("length"))
 
 
 def explode_pixels(images: DataFrame, most_rows: int = 1 << 18) -> DataFrame:

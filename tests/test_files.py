@@ -193,3 +193,16 @@ def test_comparison_shuffles_chunks(spark):
     assert Counter(map(tuple, (r.values() for r in table.to_pylist()))) == Counter(rows)
     found = V.golden_diff(df, df.limit(0).unionByName(df.dropDuplicates()), ["k", "name"], ["v", "w", "s"]).collect()
     assert [tuple(r) for r in found] == [(1, "a", "extra", 1)]
+
+
+def test_many_files_in_few_folders(spark, sf_dir, tmp_path):
+    """One file a row whatever the folder, in a bounded number of folders, ids of any sign; the query reads and walks each file once."""
+    from tessera.plans.media_queries import QUERIES
+    from tessera.sources.media import FOLDERS, read_files, write_files
+
+    ids = [-1, -(1 << 63), (1 << 63) - 1, *range(700)]
+    write_files(spark.createDataFrame([(i, str(i).encode()) for i in ids], "file_id long, content binary"), str(tmp_path / "files"))
+    assert len(list((tmp_path / "files").glob("*/part-*"))) == len(ids) and len(list((tmp_path / "files").glob("folder=*"))) <= FOLDERS
+    assert sorted((r.file_id, bytes(r.content)) for r in read_files(spark, str(tmp_path / "files")).collect()) == sorted((i, str(i).encode()) for i in ids)
+    plan = QUERIES["s1_read_media"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
